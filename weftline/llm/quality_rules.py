@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest over rule statistics, with a cut calibrated on labelled rows.
 
 Statistics of a text (null: empty) are exact and cover all of it. The forest is fitted on a bounded
-sample of labelled rows (``SAMPLE``), taken in an order by hash, and its cut is where labelled good
-rows are all but kept. Every row is then scored by the same trees. Ties on the hash and repeated
+sample of labelled rows (``SAMPLE``), least by a hash of the id, in which bad rows are thinned out
+until they are rare; its cut is where labelled good rows are all but kept. Every row is then scored by the same trees. Ties on the hash and repeated
 rows give the same statistics; without labels the forest is not fitted and only the base rules act.
 """
 
@@ -20,6 +20,8 @@ from weftline.llm.common import chunks, small_batches, text_bytes, with_columns
 #: Labelled rows that the forest and its cut are fitted on, at most.
 SAMPLE = 6000
 TREES, LEAF_SAMPLE = 100, 256
+#: Rows labelled bad that the trees see, to rows labelled good.
+RARE = 0.02
 #: The base rules: fewer words than this, or a larger percentage of repeated words, fail a document.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BASE = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
@@ -68,9 +70,10 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """What the trees split on: ratios that do not grow with a text's length."""
+    """What the trees split on: mean word length, and roots of shares, that do not grow with a text's length."""
     words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["n_lines"], 1)
-    return np.stack([s["word_chars"] / words, s["n_symbols"] / words, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["n_upper"] / chars, s["n_marks"] / words, s["n_end_marks"] / words, s["n_same_next"] / words], axis=1)
+    shares = np.stack([s["n_symbols"] / words, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["n_upper"] / chars, s["n_marks"] / words, s["n_end_marks"] / words], axis=1)
+    return np.concatenate([np.minimum(s["word_chars"] / words, 16)[:, None] / 16, np.sqrt(np.minimum(shares, 1.0))], axis=1)
 
 
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -129,6 +132,13 @@ def calibrate(scores: np.ndarray, good: np.ndarray, cost: float = 10.0) -> float
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
 
 
+def mostly_good(x: np.ndarray, good: np.ndarray, share: float = RARE) -> np.ndarray:
+    """The good rows, and of the others, spread evenly, no more than ``share`` of them: anomalies must be few for splits to isolate them."""
+    bad = np.flatnonzero(~good)
+    few = max(1, int(share * good.sum()))
+    return x[np.sort(np.concatenate([np.flatnonzero(good), bad[:: max(1, -(-len(bad) // few))]]))] if len(x) else x
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, value: str = "quality") -> list[tuple[bytes, int]]:
     """(text, label) of at most ``most`` labelled rows, least by a hash of their id; nulls are left out."""
     few = labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(value).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
@@ -140,11 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Fores
     """The forest, and its cut, from at most ``sample`` labelled rows."""
     rows = labelled_sample(docs, labels, sample)
     if not rows:
-        return Forest(np.zeros((0, 8))), 2.0
+        return Forest(np.zeros((0, 7))), 2.0
     s = statistics([t for t, _ in rows])
     x, ok = features(s), ~base_failed(s)
-    forest = Forest(x[ok] if ok.any() else x)
-    return forest, calibrate(forest.score(x[ok]), np.array([y for _, y in rows])[ok] == 1)
+    good = np.array([y for _, y in rows])[ok] == 1
+    forest = Forest(mostly_good(x[ok], good))
+    return forest, calibrate(forest.score(x[ok]), good)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

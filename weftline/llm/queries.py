@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
+from weftline.llm.license_rules import oracle as license_sql
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.jaccard_join import jaccard_components
 
@@ -47,12 +54,24 @@ FROM t GROUP BY conv_id
 """
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality_knn import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.license_rules import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.mixing import mix_sources
 
@@ -65,7 +84,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.embedding_join import embedding_components
+
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_chat_format, op5_bpe, op7_mix_sources, op8_quality_rules)
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_jaccard_join, op3_chat_format, op4_quality_knn, op5_bpe, op6_license_rules, op7_mix_sources, op8_quality_rules, op9_embedding_join, op10_pii)
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op6_license_rules": license_sql()}
