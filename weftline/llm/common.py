@@ -6,6 +6,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; ``bytes.split()`` splits on exactly those si
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def chunks(texts: list[bytes], most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes together (one longer text is a range of its own)."""
     start = total = 0

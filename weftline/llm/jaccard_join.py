@@ -10,9 +10,11 @@ one node from the start (the pivot at distance zero). Then
    cells than it can touch, so the projections of both sets onto some cell are equal: every
    distinct projection is a pivot whose region's window is 0 wide, and nodes go to their regions
    as 8-byte keys.
-3. Nodes that share a region are joined into candidate regions (connected components), so that
-   each text is sent to one region only. A region too large for a task is cut by rings about
-   pivots, with windows as wide as the largest linked distance, into pairs of blocks.
+3. Inside such a region a coarser metric bounds D from below: the Hamming distance of parity
+   bitmaps of the sets. Pairs that it leaves connect nodes into candidate regions (components), so
+   that each text is sent to one region only; regions of more than ``GROUP`` nodes connect as they
+   are. A candidate region too large for a task is cut by rings about a pivot, with windows as
+   wide as the largest linked distance, into pairs of blocks.
 4. A region is joined exactly in memory: a pivot meets every node, those within its ball are
    linked with it, and the rest recurs with a pivot of its own. Pairs from two balls that are not
    yet connected are compared only inside the window that the triangle inequality leaves.
@@ -33,11 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Stage, chunks, connected_components, mix64, small_batches, text_bytes
+from weftline.llm.common import Stage, chunks, connected_components, mix64, release, small_batches, text_bytes
 
 SHINGLE, PERCENT = 5, 80
 #: Nodes (or shingles) of a region that one task joins; larger regions are cut into blocks of so many.
 REGION_NODES, REGION_SHINGLES = 6000, 6_000_000
+#: Nodes under one key that are compared by bitmaps before they connect; more connect at once.
+GROUP = 4096
+#: Nodes of one block of texts that a key is sent for, at most.
+LOCAL = 64
+#: Candidate nodes that are broadcast (16 bytes each) to pick their texts, at most; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 #: Ratio of a ring's bounds.
 RING = 1.4
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -134,21 +142,52 @@ def region_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return key[take], np.repeat(who, m)[take]
 
 
-def _combine(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Map-side combine: each key once; nodes that share it in this block become pairs under keys of their own.
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of parities, of at least |s| bits (a power of two): two sets' bitmaps differ in no more places than the sets."""
+    size = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((mix64(s + _FACTORS[2]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    So no key, however common, leaves a block more than once, and each pair once, however many keys it shares.
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def near_pairs(ids: list[int], sizes: list[int], bits: list[bytes]) -> list[tuple[int, int]]:
+    """Edges that connect the nodes of a group wherever sizes and bitmaps allow a link: D <= (|A| + |B|) / 9."""
+    n = np.array(sizes, dtype=np.int64)
+    maps = [np.frombuffer(b, dtype=np.uint64) for b in bits]
+    words = min(map(len, maps))
+    rows = np.stack([_fold(m, words) for m in maps])
+    links = Links(len(ids))
+    for i in range(len(ids) - 1):
+        rest = np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(1, dtype=np.int64)
+        ok = ((100 + PERCENT) * rest <= (100 - PERCENT) * (n[i + 1 :] + n[i])) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
+        for j in (np.flatnonzero(ok) + i + 1).tolist():
+            links.join(i, j)
+    return [(ids[k], ids[r]) for k in range(len(ids)) if (r := links.root(k)) != k and ids[k] != ids[r]]
+
+
+def _combine(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Map-side combine: (keys, nodes) to send, and pairs (head, member) that connect at once.
+
+    A key that more than ``LOCAL`` nodes of this block share is sent with its least node alone, and
+    the others connect with that one; so no key, however common, leaves a block more than that
+    often, and each pair leaves it once, however many keys it shares.
     """
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
-    if new.all():
-        return keys, sets
-    head = sets[new][np.cumsum(new) - 1]
-    pair = np.unique(np.stack([head[~new], sets[~new]], axis=1), axis=0)
-    pair = pair[pair[:, 0] != pair[:, 1]]
-    own = mix64(mix64(pair[:, 0]) + pair[:, 1] * _FACTORS[1])
-    return np.concatenate([keys[new], own, own]), np.concatenate([sets[new], pair[:, 0], pair[:, 1]])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[first, len(keys)])
+    many = np.repeat(size > LOCAL, size)
+    lead = np.zeros(len(keys), dtype=bool)
+    lead[first] = True
+    head = np.repeat(sets[first], size)
+    pair = np.unique(np.stack([head[many & ~lead], sets[many & ~lead]], axis=1), axis=0)
+    return keys[~many | lead], sets[~many | lead], pair[:, 0], pair[:, 1]
 
 
 class Links:
@@ -324,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def deal(batches):
-        """A row (id, n, name, short) for each text, under a key of its own, and rows (key, short) for the regions of each new set."""
+        """A row (id, n, name, short, bits) for each text, under a key of its own, and rows (key, short) for the regions of each new set."""
         seen: set[bytes] = set()  # sets this task has sent; bounded, a repeat only costs rows
         for batch in batches:
             texts, every = text_bytes(batch.column(1)), batch.column(0).to_pylist()
@@ -337,36 +376,103 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                             seen.clear()
                         seen.add(x), fresh.append(s), new.append(int.from_bytes(x[:8], "little"))
                 k, who = region_keys(fresh)
-                k, x = _combine(k, np.array(new, dtype=np.uint64)[who])
+                k, x, head, tied = _combine(k, np.array(new, dtype=np.uint64)[who])
+                own = mix64(mix64(head) + tied * _FACTORS[1])
                 short = [int.from_bytes(v[:8], "little", signed=True) if v else None for v in name]
                 spread = mix64(np.array([(v or 0) & 0xFFFFFFFFFFFFFFFF for v in ids], dtype=np.uint64)).view(np.int64)
-                none = pa.nulls(len(k), pa.int64())
-                cols = [pa.concat_arrays(c) for c in ((pa.array(k.view(np.int64)), pa.array(spread)), (pa.array(x.view(np.int64)), pa.array(short, pa.int64())), (none, pa.array(ids, pa.int64())), (none, pa.array([len(s) for s in sets], pa.int64())), (pa.nulls(len(k), pa.binary()), pa.array(name, pa.binary())))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "short", "id", "n", "name"])
-
-    def stars(batches):
-        """Passes texts' rows on and pairs, of rows sorted by key, each region's least node with its others."""
-        key = head = None
-        for batch in batches:
-            mine = batch.column(3).is_valid()
-            sets, rest = batch.filter(mine), batch.filter(pc.invert(mine))
-            if sets.num_rows:
-                none = pa.nulls(sets.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(sets.column(c) for c in (2, 3, 4, 1))], names=["src", "dst", "id", "n", "name", "short"])
-            if rest.num_rows:
+                signed = lambda v: pa.array(v.view(np.int64))
+                more = len(k) + len(own)
+                cols = [pa.concat_arrays(c) for c in (
+                    (signed(k), signed(own), pa.array(spread)), (signed(x), signed(tied), pa.array(short, pa.int64())),
+                    (pa.nulls(len(k), pa.int64()), signed(head), pa.array(ids, pa.int64())), (pa.nulls(more, pa.int64()), pa.array([len(s) for s in sets], pa.int64())),
+                    (pa.nulls(more, pa.binary()), pa.array(name, pa.binary())), (pa.nulls(more, pa.binary()), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())),
+                )]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "short", "id", "n", "name", "bits"])
+
+    def groups(batches):
+        """Passes texts' rows on; of rows sorted by key, the distinct groups of two nodes or more, as rows (group, member).
+
+        A group larger than ``GROUP`` streams by as rows (head, member) instead.
+        """
+        sent: set[int] = set()  # groups this task has sent; bounded, a repeat only costs rows
+        key, tail, head = None, np.zeros(0, dtype=np.int64), None  # the last key and its nodes so far, or its head if they are many
+        for batch in chain(batches, [None]):
+            if batch is None:
+                k = s = np.zeros(0, dtype=np.int64)
+            else:
+                mine, tied = batch.column(3).is_valid(), batch.column(2).is_valid()
+                sets, pairs = batch.filter(mine), batch.filter(pc.and_(tied, pc.invert(mine)))
+                rest = batch.filter(pc.invert(pc.or_(tied, mine)))
+                if pairs.num_rows:
+                    yield _row(pairs.num_rows, head=pairs.column(2), member=pairs.column(1))
+                if sets.num_rows:
+                    yield _row(sets.num_rows, id=sets.column(2), n=sets.column(3), name=sets.column(4), short=sets.column(1), bits=sets.column(5))
+                if not rest.num_rows:
+                    continue
                 k, s = rest.column(0).to_numpy(), rest.column(1).to_numpy()
-                new = np.r_[k[0] != key, k[1:] != k[:-1]]
-                heads = np.r_[np.int64(0 if head is None else head), s[new]][np.cumsum(new)]
-                hit = heads != s
-                pair = np.unique(np.stack([heads[hit], s[hit]], axis=1), axis=0)
-                none = pa.nulls(len(pair), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.binary()), none], names=["src", "dst", "id", "n", "name", "short"])
-                key, head = k[-1], heads[-1]
-
-    dealt = rows.mapInArrow(deal, "key long, short long, id long, n long, name binary").repartition(_partitions(spark), "key").sortWithinPartitions("key", "short")
-    both = Stage(dealt.mapInArrow(stars, "src long, dst long, id long, n long, name binary, short long"), "sets")
+            if head is not None and len(k) and k[0] == key:  # go on with a large group
+                m = int(np.searchsorted(k != key, True)) if k[-1] != key else len(k)
+                many = np.unique(s[:m][s[:m] != head])
+                yield _row(len(many), head=np.full(len(many), head), member=many)
+                k, s = k[m:], s[m:]
+                if not len(k):
+                    continue
+            head = None
+            k, s = np.concatenate([np.full(len(tail), key if key is not None else 0, dtype=np.int64), k]), np.concatenate([tail, s])
+            if not len(k):
+                continue
+            new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+            k, s = k[new], s[new]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            end = np.r_[first[1:], len(k)]
+            if batch is not None:  # the last group may go on
+                key, tail = k[-1], s[first[-1] :]
+                first, end = first[:-1], end[:-1]
+                if len(tail) > GROUP:
+                    head, many, tail = tail[0], tail[1:], tail[:0]
+                    yield _row(len(many), head=np.full(len(many), head), member=many)
+            two = first[end - first == 2]
+            name = mix64(mix64(s[two].view(np.uint64)) + s[two + 1].view(np.uint64) * _FACTORS[3]).view(np.int64)
+            name, at = np.unique(name, return_index=True)
+            group, member = [name, name], [s[two][at], s[two + 1][at]]
+            for a, b in zip(first.tolist(), end.tolist(), strict=True):
+                if b - a > 2:
+                    x = xxhash.xxh3_64_intdigest(s[a:b].tobytes())
+                    if x not in sent:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.add(x)
+                        group.append(np.full(b - a, x - (x >> 63 << 64), dtype=np.int64)), member.append(s[a:b])
+            group, member = np.concatenate(group), np.concatenate(member)
+            yield _row(len(group), group=group, member=member)
+
+    def near(batches):
+        """Of rows sorted by group, the edges that bitmaps leave."""
+        now, ids, sizes, bits, src, dst = None, [], [], [], [], []
+        for batch in batches:
+            for g, i, n, b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if g != now:
+                    edges = near_pairs(ids, sizes, bits) if len(ids) > 1 else []
+                    src += [x for x, _ in edges]
+                    dst += [y for _, y in edges]
+                    now, ids, sizes, bits = g, [], [], []
+                ids.append(i), sizes.append(n), bits.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            src, dst = [], []
+        edges = near_pairs(ids, sizes, bits) if len(ids) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], names=["src", "dst"])
+
+    dealt = rows.mapInArrow(deal, "key long, short long, id long, n long, name binary, bits binary").repartition(_partitions(spark), "key").sortWithinPartitions("key", "short")
+    both = Stage(dealt.mapInArrow(groups, ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())), "sets")
+    del dealt
+    release(spark)
     sets = both.df.where("n is not null").select("id", "n", "name", "short")
-    regions = connected_components(both.df.where("src is not null").select("src", "dst"))
+    marks = both.df.where("n > 0").groupBy("name").agg(F.first("short").alias("short"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    members = both.df.where("`group` is not null").select("group", "member").distinct().join(marks, F.col("member") == F.col("short")).select("group", "member", "n", "bits")
+    pairs = members.repartition(_partitions(spark), "group").sortWithinPartitions("group").mapInArrow(near, "src long, dst long")
+    pairs = Stage(pairs.unionByName(both.df.where("head is not null").select(F.col("head").alias("src"), F.col("member").alias("dst"))).distinct(), "pairs")
+    regions = connected_components(pairs.df)
+    pairs.drop()
 
     # one document stands for each set; sets whose region holds another are sent there with their text
     one = sets.where("name is not null and id is not null").groupBy("name", "short").agg(F.min("id").alias("id"), F.first("n").alias("n"))
@@ -374,7 +480,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     regions.drop()
     sizes = nodes.df.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     big = sizes.where((F.col("k") > region_nodes) | (F.col("s") > region_shingles)).select("region")
-    texts = rows.join(nodes.df, F.col("id") == F.col("node_id")).select("region", "id", "text", "n")
+    picked = nodes.df if nodes.df.count() > BROADCAST_NODES else F.broadcast(nodes.df)
+    texts = rows.join(picked, F.col("id") == F.col("node_id")).select("region", "id", "text", "n")
     edges = texts.join(big, "region", "left_anti").select("region", "id", "text").repartition(_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_rows, "src long, dst long")
     if big.limit(1).count():
         cut = _blocks(texts.join(big, "region", "left_semi"), region_nodes, region_shingles)
@@ -387,5 +494,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sets.join(least, "name", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+_COLUMNS = {"group": "long", "member": "long", "head": "long", "id": "long", "n": "long", "name": "binary", "short": "long", "bits": "binary"}
+
+
+def _row(length: int, /, **given) -> pa.RecordBatch:
+    """A batch of so many rows with the given columns, null elsewhere."""
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([given[k] if isinstance(given.get(k), pa.Array) else pa.array(given[k], kinds[v]) if k in given else pa.nulls(length, kinds[v]) for k, v in _COLUMNS.items()], names=list(_COLUMNS))
+
+
 def _partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -179,15 +179,14 @@ class Model:
                 self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
-        """The log10 probability of each text of tokens laid end to end."""
-        out = np.zeros(len(lengths))
-        source, target, text = windows(lengths)
+        """The log10 probability of each token of texts laid end to end, given those before it in its text."""
+        out = np.zeros(len(tokens))
+        source, target, _ = windows(lengths)
         for a in range(0, len(source), block):
             s, t = source[a : a + block], target[a : a + block]
             ids, there = self._inputs(tokens, s), t >= 0
             h = self._forward(ids, s == -1)
-            found, _ = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[t[there]]])
-            out += np.bincount(np.repeat(text[a : a + block], STRIDE)[there.ravel()], weights=found, minlength=len(lengths))
+            out[t[there]] = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[t[there]]])[0]
         return out / _LOG10
 
 

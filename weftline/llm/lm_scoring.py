@@ -4,8 +4,10 @@ Words of all training texts are counted by a distributed aggregation. The most f
 (``TOP``, broadcast) give the base counts of most tokens and the subword vocabulary: the pieces of a
 public tokenizer that cover most of them, with bytes for everything else, so that any text has a
 probability. Their pieces' pairs start the model's output; attention is trained on a bounded sample
-of training texts. Every text is cut into overlapping windows and each of its tokens scored once.
-Words outside the broadcast meet their counts in a join by word.
+of training texts. Every text is cut into overlapping windows and each of its tokens scored once. A
+word's probability is the product of its pieces', mixed with its share of the counted words at a
+weight that is fitted on sample texts kept back. Words outside the broadcast have no such share, and
+meet their counts for the base in a join by word.
 """
 
 from __future__ import annotations
@@ -103,17 +105,19 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
     few = train.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     sample = train.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= SAMPLE_BYTES).select("_id", "text")
     texts = [t.encode().lower().split() for _, t in sorted(map(tuple, sample.toLocalIterator()))]
-    model = Model(piece_pairs(pieces, frequent, ends))
-    model.train([np.array([i for w in t for i in pieces.word(w)] + [END]) for t in texts], steps)
-    sent = spark.sparkContext.broadcast((model, pieces.number, frequent, ranks_of(pieces), ends))
+    model, kept = Model(piece_pairs(pieces, frequent, ends)), max(1, len(texts) // 12)
+    model.train([np.array([i for w in t for i in pieces.word(w)] + [END]) for t in texts[kept:]], steps)
+    learnt = {"model": model, "counts": frequent, "ends": ends, "covered": sum(frequent.values()) + ends}
+    learnt["share"] = fit_share(learnt | {"pieces": pieces}, texts[:kept])
+    sent = spark.sparkContext.broadcast((learnt, pieces.number, ranks_of(pieces)))
     state: dict = {}
 
     def run(batches):
         if not state:
-            model, number, frequent, ranks, n_ends = sent.value
+            learnt, number, ranks = sent.value
             own = Pieces(ranks, {})
             own.number = number
-            state.update(model=model, pieces=own, counts=frequent, ends=n_ends)
+            state.update(learnt, pieces=own)
         at = _row_ids()
         for batch in batches:
             ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
@@ -150,7 +154,7 @@ def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tup
     number: dict[bytes, int] = {}
     put = number.setdefault
     ids = np.fromiter((put(w, len(number)) for w in chain.from_iterable(rows)), dtype=np.int64, count=int(size.sum()))
-    words, count_of, cut = list(number), state["counts"].get, state["pieces"].word
+    words, count_of = list(number), state["counts"].get
     c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
     text = np.repeat(np.arange(len(rows)), size)
     seen = c[ids] if len(ids) else np.zeros(0, dtype=np.int64)
@@ -159,14 +163,38 @@ def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tup
     logs = np.bincount(text[there], weights=np.log10(seen[there] + 1.0), minlength=len(rows)) + np.log10(state["ends"] + 1.0)
     pair, n = np.unique(text[~there] * max(1, len(words)) + ids[~there], return_counts=True)
     rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
-    # the pieces of every word, laid end to end, with an end after each text
-    parts = [cut(w) for w in words] + [[END]]
+    words_logs, own_logs, owner = _word_logs(state, words, c, ids, size)
+    score = np.bincount(owner, weights=mix(words_logs, own_logs, state["share"]), minlength=len(rows))
+    return [size + 1, known, logs, score], rare
+
+
+def _word_logs(state: dict, words: list[bytes], c: np.ndarray, ids: np.ndarray, size: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word and end of the texts: log10 of its share of the counted words (``less`` counts fewer), that of its pieces' product, and its text."""
+    parts = [state["pieces"].word(w) for w in words] + [[END]]
     width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(width.sum()))
     first = np.cumsum(width) - width
-    stream = np.insert(ids, np.cumsum(size), len(words))
+    stream = np.insert(ids, np.cumsum(size), len(words))  # an end after each text
     k = width[stream]
     tokens = flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-    owner = np.repeat(np.arange(len(rows)), size + 1)
-    lengths = np.bincount(owner, weights=k, minlength=len(rows)).astype(np.int64)
-    return [size + 1, known, logs, state["model"].score(tokens, lengths)], rare
+    owner = np.repeat(np.arange(len(size)), size + 1)
+    lengths = np.bincount(owner, weights=k, minlength=len(size)).astype(np.int64)
+    pieces = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(k) - k)
+    shares = np.maximum(np.append(c, state["ends"])[stream] - less, 0) / max(1, state["covered"])
+    return np.log10(np.maximum(shares, 1e-300)), pieces, owner
+
+
+def mix(shares: np.ndarray, pieces: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of weight * share + (1 - weight) * product."""
+    return np.logaddexp(shares * np.log(10) + np.log(weight), pieces * np.log(10) + np.log(1 - weight)) / np.log(10)
+
+
+def fit_share(state: dict, texts: list[list[bytes]]) -> float:
+    """The weight of counted shares that makes texts the model was not trained on likeliest; their own words count one less."""
+    if not texts:
+        return 0.3
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for t in texts for w in t], dtype=np.int64)
+    c = np.array([state["counts"].get(w, 0) for w in number], dtype=np.int64)
+    shares, pieces, _ = _word_logs(state, list(number), c, ids, np.array([len(t) for t in texts]), less=1)
+    return max((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), key=lambda w: float(mix(shares, pieces, w).sum()))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Stage
@@ -83,7 +83,7 @@ def _rounder(level: int, last: bool):
         if last and kept >= 0:  # the root's fraction falls to one side by its probability
             part[kept] = float(_uniform(pdf["hash"].to_numpy()[kept : kept + 1], level + 1)[0] < part[kept])
         pdf["part"] = part
-        return pdf[["hash", "_source", "size", "part"]]
+        return pdf[["_row", "hash", "_source", "size", "part"]]
 
     return run
 
@@ -97,20 +97,17 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     spark, keep = docs.sparkSession, [id_col, *(c for c in carry if c != id_col)]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    base = docs.select(*keep, F.col(source_col).alias("_source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(source_col).alias("_source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
     held = Stage(base, "sizes")
     sizes = [(r[0], r[1]) for r in held.df.groupBy("_source").agg(F.sum("size")).toLocalIterator()]  # one row for each source
     goal = targets(sizes, weights, budget, most)
     plan = spark.createDataFrame([(s, int(n), float(goal[s])) for s, n in sizes], "_s string, source_size long, target double")
-    # rows with the same hash (repeats) are told apart by their rank, as are all rows that share it
-    rows = held.df.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     want = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    rows = rows.withColumn("copies", F.floor(want)).withColumn("part", want - F.floor(want))
-    groups = rows.groupBy(*keep, "_source", "size", "source_size", "target", "hash", "copies", "part").agg(F.count("*").alias("_n"))
-    rows = groups.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n").withColumn("hash", F.xxhash64("hash", "_k")).drop("_k")
-    whole = Stage(rows, "copies")
-    held.drop()
-    parts = whole.df.where("part > 0 and part < 1").select("hash", "_source", "size", "part")
+    rows = held.df.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("copies", F.floor(want)).withColumn("part", want - F.floor(want))
+    # repeated rows share a hash and are told apart by their rank, so that each draws its own numbers
+    same = Window.partitionBy("hash").orderBy("_row")
+    whole = Stage(rows.where("part > 0 and part < 1").select("_row", "_source", "size", "part", "hash").withColumn("hash", F.xxhash64("hash", F.row_number().over(same))), "parts")
+    parts = whole.df.select("_row", "hash", "_source", "size", "part")
     done, level = [], 0
     while True:
         counts = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.count("*")).toLocalIterator()}
@@ -118,15 +115,16 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         last = max(blocks.values(), default=1) == 1
         cut = spark.createDataFrame([(s, b) for s, b in blocks.items()] or [(None, 1)], "_s string, _b int")
 
-        dealt = parts.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_s"))).select("hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
-        out = Stage(dealt.groupBy("_source", "_block").applyInPandas(_rounder(level, last), "hash long, _source string, size long, part double"), f"round{level}")
-        done.append(out.df.where("part >= 1").select("hash"))
+        dealt = parts.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_s"))).select("_row", "hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
+        out = Stage(dealt.groupBy("_source", "_block").applyInPandas(_rounder(level, last), "_row long, hash long, _source string, size long, part double"), f"round{level}")
+        done.append(out.df.where("part >= 1").select("_row"))
         if last:
             break
         parts, level = out.df.where("part > 0 and part < 1"), level + 1
     extra = done[0]
     for d in done[1:]:
         extra = extra.unionByName(d)
+    whole.drop()
     extra = extra.withColumn("_more", F.lit(1))
-    out = whole.df.join(extra, "hash", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
+    out = rows.join(extra, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
