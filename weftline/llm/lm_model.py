@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 32, 24, 48, 32, 24
+SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 32, 20, 32, 24, 20
 VOCABULARY = SIDE * SIDE
 _LOG10 = float(np.log(10.0))
 

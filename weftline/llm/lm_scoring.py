@@ -38,6 +38,7 @@ class Pieces:
     def __init__(self, ranks: dict[bytes, int], counts: dict[bytes, int]):
         import tiktoken
 
+        self.kept: dict[bytes, list[int]] = {}
         self.cut = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes = {v: k for k, v in ranks.items()}
         seen: dict[int, int] = {}
@@ -48,6 +49,14 @@ class Pieces:
         self.number = {i: END + 1 + k for k, i in enumerate(best)}
 
     def word(self, w: bytes) -> list[int]:
+        """A word's ids; those of a bounded number of words are kept."""
+        if (out := self.kept.get(w)) is None:
+            if len(self.kept) > 150_000:
+                self.kept.clear()
+            out = self.kept[w] = self._word(w)
+        return out
+
+    def _word(self, w: bytes) -> list[int]:
         out: list[int] = []
         for i in self.cut(b" " + w):
             out += (self.number[i],) if i in self.number else self.bytes[i]
@@ -147,13 +156,20 @@ def ranks_of(pieces: Pieces) -> dict[bytes, int]:
     return {v: k for k, v in pieces.bytes.items()}
 
 
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
     """n_tokens, known and log10(count + 1) sums (frequent words and ends), scores; and (text, word, n) of the other words."""
     rows = [t.lower().split() for t in texts]
     size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    ids = np.fromiter((put(w, len(number)) for w in chain.from_iterable(rows)), dtype=np.int64, count=int(size.sum()))
+    number = _Numbers()
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(size.sum()))
     words, count_of = list(number), state["counts"].get
     c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
     text = np.repeat(np.arange(len(rows)), size)
