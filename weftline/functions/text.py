@@ -83,10 +83,14 @@ def fill_languages(template: Column, source: Column, target: Column) -> Column:
     """``{{ .LanguageSource }}`` and ``{{ .LanguageTarget }}``; here no space may follow the dot."""
     for key, value in (("LanguageSource", source), ("LanguageTarget", target)):
         parts = F.split(template, r"\{\{\s*\." + key + r"\s*\}\}", -1)
-        template = F.array_join(F.transform(parts, lambda x: x), value) if isinstance(value, str) else F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), parts[0], lambda a, x, v=value: F.concat(a, v, x))
+        template = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _after(value)), ""))
     return template
 
 
+def _after(value: Column):
+    return lambda x: F.concat(value, x)
+
+
 def graphemes(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\X"))
 

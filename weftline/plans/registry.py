@@ -422,8 +422,8 @@ def json_subtract(spark, sf_dir):
 
 # --- runs and streams ------------------------------------------------------------------------------------
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000.0 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT event_id, user_id, n, at AS start_ms FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, greatest(e.at, s.start_ms + 600000.0) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000.0 AS arr, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_id, user_id, n, arr AS start_ms FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, greatest(e.arr, s.start_ms + 600000.0) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
 SELECT event_id, round(start_ms)::BIGINT AS start_ms FROM s""")
 def rpm_schedule(spark, sf_dir):
     """One request in ten minutes for each user."""
