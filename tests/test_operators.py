@@ -114,7 +114,7 @@ def test_events():
 def test_live_fold_agrees(spark, tmp_path):
     rows = [(f"r{k}", i, f'{{"choices":[{{"delta":{{"content":"{i} "}}}}]}}') for k in range(3) for i in range(4)] + [(f"r{k}", 9, "[DONE]") for k in range(3)]
     spark.createDataFrame(rows, "request_id string, seq int, data string").write.parquet(str(tmp_path / "in"))
-    live = fold.fold_live(spark.readStream.schema("request_id string, seq int, data string").parquet(str(tmp_path / "in")))
+    live = fold.fold_live(spark.readStream.schema("request_id string, seq int, data string").parquet(str(tmp_path / "in")), None)
     q = live.writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(60)

@@ -100,10 +100,11 @@ def idle_gaps(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame
     return events.withColumn("gap_s", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(before.cast("timestamp")) / 1e6).where(F.col("gap_s") > seconds)
 
 
-def fold_live(events: DataFrame, idle_minutes: float = 5) -> DataFrame:
+def fold_live(events: DataFrame, idle_minutes: float | None = 5) -> DataFrame:
     """A streaming DataFrame (request_id, seq, ts, data) to one row per ended request.
 
-    State holds a request's items in order of arrival; [DONE], an error or an idle timeout ends it.
+    State holds a request's items in order of arrival; [DONE], an error or an idle timeout
+    (none if None; with one, batches go on while a state waits) ends it.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -126,6 +127,7 @@ def fold_live(events: DataFrame, idle_minutes: float = 5) -> DataFrame:
             yield pd.DataFrame([(*key, f["text"], f["error"])], columns=["request_id", "text", "error"])
         else:
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(int(idle_minutes * 60_000))
+            if idle_minutes is not None:
+                state.setTimeoutDuration(int(idle_minutes * 60_000))
 
-    return events.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, error string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, error string", "held string", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
