@@ -129,6 +129,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     counts = found.df.where("links is not null").groupBy(F.col("id").alias("_c")).agg(F.max("links").alias("links"))
     near = nodes.df.select("name", "id").join(counts, F.col("id") == F.col("_c"), "left").join(joined.df, F.col("id") == F.col("node"), "left")
     near = near.select("name", (F.col("links") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    near = Stage(near, "near").df  # so that a hot vector's rows, not its aggregate, are dealt and can be split
     out = read_rows.df.select("vec_id", "name").join(near, "name", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

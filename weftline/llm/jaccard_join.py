@@ -491,6 +491,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found.drop(), nodes.drop()
     least = sets.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("least"))
     least = least.join(joined.df, F.col("least") == F.col("node"), "left").select("name", F.coalesce("component", "least").alias("component"))
+    least = Stage(least, "least").df  # so that a hot set's rows, not its aggregate, are dealt and can be split
     return sets.join(least, "name", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
