@@ -3,7 +3,8 @@
 Each source's target is a number of words. A document of a source starts with target / source_size
 copies: a whole part and a fraction. Two documents with fractions are paired and word mass moves
 from one to the other, by a random choice that keeps each expectation, until one fraction becomes 0
-or 1; so the words taken stay as they were. Blocks of documents each leave one fraction, and these
+or 1; so the words taken stay as they were. Large documents are rounded first, against each other
+and then against the smaller ones together. Blocks of documents each leave one fraction, and these
 residuals meet in further rounds of blocks, a reduction tree of fan-in ``BLOCK``.
 """
 
@@ -42,44 +43,58 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
-def round_block(size: np.ndarray, part: np.ndarray, rnd: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounds fractions pairwise, keeping the sum of size * part; the row that keeps a fraction, or -1.
+def _settle(p: float) -> float:
+    return 0.0 if p < 1e-12 else 1.0 if p > 1 - 1e-12 else p
 
-    ``rnd`` holds a uniform number for each row. Of a pair (i, j) mass can go from j to i up to
-    ``a`` words or from i to j up to ``b``; the first is chosen with probability b / (a + b), so
-    that neither fraction changes on average.
+
+def round_block(size: np.ndarray, part: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """Rounds fractions, keeping the sum of size * part; the row that keeps a fraction, or -1.
+
+    Rows come in an order by size. The larger half is rounded in pairs: mass can go from j to i up
+    to ``a`` words or from i to j up to ``b``, and goes the first way with probability b / (a + b),
+    so that no fraction changes on average. What one row of it keeps is paired in the same way with
+    the smaller half as a whole, whose fractions move alike; then that half is halved in turn. So
+    the fraction that remains is a small document's, unless there are too few to take up a large one.
     """
-    part = part.copy()
-    held = -1
-    for j in range(len(part)):
-        if not 0 < part[j] < 1:
-            continue
-        if held < 0:
-            held = j
-            continue
-        i, si, sj = held, float(size[held]), float(size[j])
-        a = min((1 - part[i]) * si, part[j] * sj)
-        b = min(part[i] * si, (1 - part[j]) * sj)
-        move = a if rnd[j] * (a + b) < b else -b
-        pi, pj = part[i] + move / si, part[j] - move / sj
-        part[i], part[j] = (0.0 if pi < 1e-12 else 1.0 if pi > 1 - 1e-12 else pi), (0.0 if pj < 1e-12 else 1.0 if pj > 1 - 1e-12 else pj)
-        held = i if 0 < part[i] < 1 else j if 0 < part[j] < 1 else -1
-    return part, held
-
-
-def _uniform(hashes: np.ndarray, level: int) -> np.ndarray:
-    from weftline.llm.common import mix64
-
-    return (mix64(hashes.astype(np.uint64) + np.uint64(level * 0x9E3779B9 + 1)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    rng, p = np.random.default_rng(seed), part.astype(np.float64).copy()
+
+    def fractional(rows: np.ndarray) -> np.ndarray:
+        return rows[(p[rows] > 0) & (p[rows] < 1)]
+
+    rows = fractional(np.arange(len(p)))
+    while len(rows) > 1:
+        low, high = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+        held = -1
+        for j in high.tolist():
+            if held < 0:
+                held = j
+                continue
+            i, si, sj = held, float(size[held]), float(size[j])
+            a, b = min((1 - p[i]) * si, p[j] * sj), min(p[i] * si, (1 - p[j]) * sj)
+            move = a if rng.random() * (a + b) < b else -b
+            p[i], p[j] = _settle(p[i] + move / si), _settle(p[j] - move / sj)
+            held = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else -1
+        while held >= 0 and len(low):
+            si, total = float(size[held]), float(size[low].sum())
+            a, b = min((1 - p[held]) * si, p[low].min() * total), min(p[held] * si, (1 - p[low].max()) * total)
+            move = a if rng.random() * (a + b) < b else -b
+            p[held] = _settle(p[held] + move / si)
+            p[low] = [_settle(x) for x in (p[low] - move / total).tolist()]
+            low = fractional(low)
+            held = held if 0 < p[held] < 1 else -1
+        rows = low if held < 0 else np.append(fractional(low), held)
+        if held >= 0 and len(rows) == 1:
+            break
+    return p, int(rows[0]) if len(rows) and 0 < p[rows[0]] < 1 else -1
 
 
 def _rounder(level: int, last: bool):
-    """Rounds one block, its documents in an order by size so that pairs are alike."""
+    """Rounds one block, its documents in an order by size and hash, its random numbers seeded by their hashes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "hash"], kind="stable", ignore_index=True)
-        rnd = _uniform(pdf["hash"].to_numpy(), level)
-        part, kept = round_block(pdf["size"].to_numpy(), pdf["part"].to_numpy(), rnd)
+        seed = int(np.bitwise_xor.reduce(pdf["hash"].to_numpy().astype(np.uint64))) ^ level
+        part, kept = round_block(pdf["size"].to_numpy(), pdf["part"].to_numpy(), seed)
         if last and kept >= 0:  # the root's fraction falls to one side by its probability
             part[kept] = float(_uniform(pdf["hash"].to_numpy()[kept : kept + 1], level + 1)[0] < part[kept])
         pdf["part"] = part
