@@ -96,7 +96,7 @@ def _rounder(level: int, last: bool):
         seed = int(np.bitwise_xor.reduce(pdf["hash"].to_numpy().astype(np.uint64))) ^ level
         part, kept = round_block(pdf["size"].to_numpy(), pdf["part"].to_numpy(), seed)
         if last and kept >= 0:  # the root's fraction falls to one side by its probability
-            part[kept] = float(_uniform(pdf["hash"].to_numpy()[kept : kept + 1], level + 1)[0] < part[kept])
+            part[kept] = float(np.random.default_rng((seed, 1)).random() < part[kept])
         pdf["part"] = part
         return pdf[["_row", "hash", "_source", "size", "part"]]
 
