@@ -19,6 +19,8 @@ from weftline.llm.common import Stage
 
 #: Documents that one block rounds, about; the fan-in of the tree.
 BLOCK = 4096
+#: Rounded-up rows (12 bytes each) that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 WEIGHTS, BUDGET, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -140,6 +142,8 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     for d in done[1:]:
         extra = extra.unionByName(d)
     whole.drop()
-    extra = extra.withColumn("_more", F.lit(1))
+    extra = Stage(extra.withColumn("_more", F.lit(1)), "extra").df
+    if extra.count() <= BROADCAST_ROWS:  # then the carried texts stay where they are
+        extra = F.broadcast(extra)
     out = rows.join(extra, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
