@@ -329,3 +329,11 @@ def test_pipeline_stages(spark):
         if name == "pii":
             assert not any(base_by_regex(t) for _, t in rows_of(docs))
         assert docs.count() > 0
+
+
+def test_lm_context():
+    """Every place but a text's first ones sees 8 to 31 tokens before it, and the width of layers is as first built."""
+    source, target, _ = lm_model.windows(np.array([100]))
+    sees = {int(t): int((source[w, : lm_model.WINDOW - lm_model.STRIDE + k + 1] >= 0).sum()) for w, row in enumerate(target) for k, t in enumerate(row) if t >= 0}
+    assert min(sees[t] for t in range(32, 100)) >= 9 and max(sees.values()) == 32
+    assert (lm_model.WIDTH, lm_model.HIDDEN) == (24, 48)
