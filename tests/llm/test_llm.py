@@ -337,3 +337,28 @@ def test_lm_context():
     sees = {int(t): int((source[w, : lm_model.WINDOW - lm_model.STRIDE + k + 1] >= 0).sum()) for w, row in enumerate(target) for k, t in enumerate(row) if t >= 0}
     assert min(sees[t] for t in range(32, 100)) >= 9 and max(sees.values()) == 32
     assert (lm_model.WIDTH, lm_model.HIDDEN) == (24, 48)
+
+
+def test_lm_pairs_and_rare_words(spark):
+    """Pairs of pieces are those of the texts in their order; words outside the broadcast have shares too."""
+    from weftline.llm import lm_scoring as lm
+
+    path, rng = tokenizer_path("byte_bpe_50k.tiktoken"), random.Random(6)
+    rows = [(i, text(rng, rng.randint(0, 30))) for i in range(50)] + [(50, None), (51, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = lm.Pieces(lm.read_ranks(path), {w.encode(): 1 for w in WORDS[:9]})
+    want = np.zeros((lm_model.VOCABULARY + 1, lm_model.VOCABULARY))
+    for _, t in rows:
+        ids = [i for w in (t or "").encode().lower().split() for i in pieces.word(w)] + [lm.END]
+        for a, b in zip([lm_model.VOCABULARY, *ids], ids, strict=False):
+            want[a, b] += 1
+    assert (lm.count_pairs(docs, pieces) == want).all()
+    # a score does not depend on how many words are broadcast, but by the pieces that those select
+    every = [(i, "ab cd " * (i % 5) + "ef ab gh") for i in range(40)] + [(99, "zz ab")]
+    docs = spark.createDataFrame(every, "doc_id long, text string")
+    lm_pieces, lm.Pieces = lm.Pieces, lambda ranks, counts: lm_pieces(ranks, {})
+    try:
+        a, b = ({r.doc_id: r.score for r in lm.score_documents(docs, path, top=n, steps=0).collect()} for n in (1, 99))
+    finally:
+        lm.Pieces = lm_pieces
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)

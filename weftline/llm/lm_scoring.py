@@ -3,11 +3,12 @@
 Words of all training texts are counted by a distributed aggregation. The most frequent ones
 (``TOP``, broadcast) give the base counts of most tokens and the subword vocabulary: the pieces of a
 public tokenizer that cover most of them, with bytes for everything else, so that any text has a
-probability. Their pieces' pairs start the model's output; attention is trained on a bounded sample
+probability. Adjacent pieces of all training texts, with starts and ends, are counted by another one
+and start the model's output; attention is trained on a bounded sample
 of training texts. Every text is cut into overlapping windows and each of its tokens scored once. A
 word's probability is the product of its pieces', mixed with its share of the counted words at a
-weight that is fitted on sample texts kept back. Words outside the broadcast have no such share, and
-meet their counts for the base in a join by word.
+weight that is fitted on sample texts kept back. Words outside the broadcast meet their counts, for
+the base and for their shares, in a join by word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Stage, chunks, crc_mod, small_batches, text_bytes
@@ -71,17 +72,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def piece_pairs(pieces: Pieces, counts: dict[bytes, int], ends: int) -> np.ndarray:
-    """Expected pairs of pieces: exact inside words, and across words and ends as if words were drawn by their counts."""
-    pairs, first, last = np.zeros((VOCABULARY + 1, VOCABULARY)), np.zeros(VOCABULARY), np.zeros(VOCABULARY + 1)
-    for w, c in counts.items():
-        ids = pieces.word(w)
-        for a, b in zip(ids, ids[1:], strict=False):
-            pairs[a, b] += c
-        first[ids[0]] += c
-        last[ids[-1]] += c
-    first[END] = last[VOCABULARY] = max(1, ends)
-    return pairs + np.outer(last, first / first.sum())
+def _executor_pieces(ranks: dict[bytes, int], number: dict[int, int]) -> Pieces:
+    own = Pieces(ranks, {})
+    own.number = number
+    return own
+
+
+def count_pairs(train: DataFrame, pieces: Pieces) -> np.ndarray:
+    """How often piece b follows piece a in all texts of ``train`` (row VOCABULARY: at a start); ends follow too.
+
+    Each task adds up its own table, and the tables meet by pair: at most VOCABULARY * (VOCABULARY + 1) rows come back.
+    """
+    sent = train.sparkSession.sparkContext.broadcast((ranks_of(pieces), pieces.number))
+
+    def run(batches):
+        own, seen = _executor_pieces(*sent.value), np.zeros((VOCABULARY + 1) * VOCABULARY, dtype=np.int64)
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for a, b in chunks(texts):
+                tokens, lengths = tokens_of(own, texts[a:b])
+                before = np.append(VOCABULARY, tokens[:-1])
+                before[np.cumsum(lengths)[:-1]] = VOCABULARY
+                pair, n = np.unique(before * VOCABULARY + tokens, return_counts=True)
+                seen[pair] += n
+        pairs = np.flatnonzero(seen)
+        for a in range(0, len(pairs), 100_000):
+            some = pairs[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["pair", "n"])
+
+    counted = train.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    out = np.zeros((VOCABULARY + 1) * VOCABULARY)
+    out[counted["pair"].to_numpy()] = counted["n"].to_numpy()
+    return out.reshape(VOCABULARY + 1, VOCABULARY)
 
 
 def _row_ids() -> int:
@@ -114,19 +137,20 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
     few = train.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     sample = train.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= SAMPLE_BYTES).select("_id", "text")
     texts = [t.encode().lower().split() for _, t in sorted(map(tuple, sample.toLocalIterator()))]
-    model, kept = Model(piece_pairs(pieces, frequent, ends)), max(1, len(texts) // 12)
+    model, kept = Model(count_pairs(train, pieces)), max(1, len(texts) // 12)
     model.train([np.array([i for w in t for i in pieces.word(w)] + [END]) for t in texts[kept:]], steps)
-    learnt = {"model": model, "counts": frequent, "ends": ends, "covered": sum(frequent.values()) + ends}
-    learnt["share"] = fit_share(learnt | {"pieces": pieces}, texts[:kept])
+    learnt = {"model": model, "counts": frequent, "ends": ends, "total": total}
+    other = {w for t in texts[:kept] for w in t} - frequent.keys()
+    wanted = spark.createDataFrame([(w.decode(),) for w in other], "word string")
+    rare = {r[0].encode(): r[1] for r in counts.df.join(F.broadcast(wanted), "word").select("word", "c").collect()}
+    learnt["share"] = share = fit_share(learnt | {"pieces": pieces, "counts": frequent | rare}, texts[:kept])
     sent = spark.sparkContext.broadcast((learnt, pieces.number, ranks_of(pieces)))
     state: dict = {}
 
     def run(batches):
         if not state:
             learnt, number, ranks = sent.value
-            own = Pieces(ranks, {})
-            own.number = number
-            state.update(learnt, pieces=own)
+            state.update(learnt, pieces=_executor_pieces(ranks, number))
         at = _row_ids()
         for batch in batches:
             ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
@@ -139,17 +163,28 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
                 cols = [
                     pa.concat_arrays([pa.array(row), pa.array(row[rare[0]])]), pa.concat_arrays([ids.slice(a, n), nulls[ids.type]]), pa.concat_arrays([held.slice(a, n), nulls[pa.bool_()]]),
                     *(pa.concat_arrays([pa.array(x), nulls[pa.int64()]]) for x in out[:2]), *(pa.concat_arrays([pa.array(x), nulls[pa.float64()]]) for x in out[2:]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]), pa.concat_arrays([pa.nulls(n, rare[3].type), rare[3]]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "n"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "n", "own"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = Stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, n long"), "scores")
-    met = scored.df.where("n is not null").select("row", "word", "n").join(counts.df, "word", "left")
-    met = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_logs"))
+    scored = Stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, n long, own array<double>"), "scores")
+    met = scored.df.where("n is not null").select("row", "word", "n", "own").join(counts.df, "word", "left")
+    met = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_logs"), F.sum(_mixed(F.col("c"), F.col("own"), share, total)).alias("more_score"))
     out = scored.df.where("n is null").join(met, "row", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+
+
+def _mixed(c: Column, own: Column, weight: float, total: int) -> Column:
+    """The sum of ``mix`` over a word's places, for a word counted ``c`` times (null: never)."""
+    counted = F.log10(c) + F.lit(float(np.log10(weight / max(1, total))))
+
+    def one(x: Column) -> Column:
+        rest = x + F.lit(float(np.log10(1 - weight)))
+        return F.when(c > 0, F.greatest(counted, rest) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(counted - rest)))).otherwise(rest)
+
+    return F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + one(x))
 
 
 def ranks_of(pieces: Pieces) -> dict[bytes, int]:
@@ -164,40 +199,62 @@ class _Numbers(dict):
         return n
 
 
-def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """n_tokens, known and log10(count + 1) sums (frequent words and ends), scores; and (text, word, n) of the other words."""
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of texts, each once, which of them stand where, and how many each text has."""
     rows = [t.lower().split() for t in texts]
     size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     number = _Numbers()
     ids = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(size.sum()))
-    words, count_of = list(number), state["counts"].get
-    c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
-    text = np.repeat(np.arange(len(rows)), size)
-    seen = c[ids] if len(ids) else np.zeros(0, dtype=np.int64)
-    there = seen >= 0
-    known = np.bincount(text[there], minlength=len(rows)).astype(np.int64) + (state["ends"] > 0)
-    logs = np.bincount(text[there], weights=np.log10(seen[there] + 1.0), minlength=len(rows)) + np.log10(state["ends"] + 1.0)
-    pair, n = np.unique(text[~there] * max(1, len(words)) + ids[~there], return_counts=True)
-    rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
-    words_logs, own_logs, owner = _word_logs(state, words, c, ids, size)
-    score = np.bincount(owner, weights=mix(words_logs, own_logs, state["share"]), minlength=len(rows))
-    return [size + 1, known, logs, score], rare
+    return list(number), ids, size
 
 
-def _word_logs(state: dict, words: list[bytes], c: np.ndarray, ids: np.ndarray, size: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word and end of the texts: log10 of its share of the counted words (``less`` counts fewer), that of its pieces' product, and its text."""
-    parts = [state["pieces"].word(w) for w in words] + [[END]]
+def _pieces_of(pieces: Pieces, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and ends (number len(words)) of the texts in order, how many pieces each has, and the pieces."""
+    parts = [pieces.word(w) for w in words] + [[END]]
     width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(width.sum()))
     first = np.cumsum(width) - width
     stream = np.insert(ids, np.cumsum(size), len(words))  # an end after each text
     k = width[stream]
-    tokens = flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+    return stream, k, flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+
+
+def tokens_of(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of texts laid end to end, each with its end, and how many each text has."""
+    words, ids, size = _numbered(texts)
+    _, k, tokens = _pieces_of(pieces, words, ids, size)
+    return tokens, np.bincount(np.repeat(np.arange(len(size)), size + 1), weights=k, minlength=len(size)).astype(np.int64)
+
+
+def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray, pa.Array]]:
+    """n_tokens, known and log10(count + 1) sums and scores (frequent words and ends); and (text, word, n, own logs) of the other words."""
+    words, ids, size = _numbered(texts)
+    count_of = state["counts"].get
+    c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
+    text = np.repeat(np.arange(len(size)), size)
+    seen = c[ids] if len(ids) else np.zeros(0, dtype=np.int64)
+    there = seen >= 0
+    known = np.bincount(text[there], minlength=len(size)).astype(np.int64) + (state["ends"] > 0)
+    logs = np.bincount(text[there], weights=np.log10(seen[there] + 1.0), minlength=len(size)) + np.log10(state["ends"] + 1.0)
+    words_logs, own_logs, owner, stream = _word_logs(state, words, c, ids, size)
+    there = np.append(c, 0)[stream] >= 0
+    score = np.bincount(owner[there], weights=mix(words_logs[there], own_logs[there], state["share"]), minlength=len(size))
+    key = owner[~there] * max(1, len(words)) + stream[~there]
+    order = np.argsort(key, kind="stable")
+    pair, n = np.unique(key, return_counts=True)
+    own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(own_logs[~there][order], pa.float64()))
+    rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64), own)
+    return [size + 1, known, logs, score], rare
+
+
+def _word_logs(state: dict, words: list[bytes], c: np.ndarray, ids: np.ndarray, size: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word and end of the texts: log10 of its share of the counted words (``less`` counts fewer), that of its pieces' product, its text, and its number."""
+    stream, k, tokens = _pieces_of(state["pieces"], words, ids, size)
     owner = np.repeat(np.arange(len(size)), size + 1)
     lengths = np.bincount(owner, weights=k, minlength=len(size)).astype(np.int64)
     pieces = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(k) - k)
-    shares = np.maximum(np.append(c, state["ends"])[stream] - less, 0) / max(1, state["covered"])
-    return np.log10(np.maximum(shares, 1e-300)), pieces, owner
+    shares = np.maximum(np.append(c, state["ends"])[stream] - less, 0) / max(1, state["total"])
+    return np.log10(np.maximum(shares, 1e-300)), pieces, owner, stream
 
 
 def mix(shares: np.ndarray, pieces: np.ndarray, weight: float) -> np.ndarray:
@@ -212,5 +269,5 @@ def fit_share(state: dict, texts: list[list[bytes]]) -> float:
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for t in texts for w in t], dtype=np.int64)
     c = np.array([state["counts"].get(w, 0) for w in number], dtype=np.int64)
-    shares, pieces, _ = _word_logs(state, list(number), c, ids, np.array([len(t) for t in texts]), less=1)
+    shares, pieces, *_ = _word_logs(state, list(number), c, ids, np.array([len(t) for t in texts]), less=1)
     return max((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), key=lambda w: float(mix(shares, pieces, w).sum()))
