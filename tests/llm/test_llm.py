@@ -362,3 +362,23 @@ def test_lm_pairs_and_rare_words(spark):
     finally:
         lm.Pieces = lm_pieces
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
+def test_lm_trains_on_all_rows(spark, monkeypatch):
+    """Every window of every training text is taken once, those of long texts too, and the weights move to them."""
+    from weftline.llm import lm_scoring as lm
+
+    rng = random.Random(8)
+    rows = [(i, text(rng, rng.randint(0, 90)) if i % 9 else None) for i in range(200)] + [(500, "long " * 6_000)]
+    seen, one = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda train, pieces, model, rate: seen.append((one(train, pieces, model, rate), [r.doc_id for r in train.collect()], pieces)))
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path("byte_bpe_50k.tiktoken"), steps=5)
+    learnt = {i: t or "" for i, t in rows if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD_OUT}
+    assert 500 in learnt and sorted(i for _, ids, _ in seen for i in ids) == sorted(learnt)
+    _, lengths = lm.tokens_of(seen[0][2], [t.encode() for t in learnt.values()])
+    assert sum(n for n, *_ in seen) == sum(-(-int(n) // lm_model.STRIDE) for n in lengths)
+    model = lm_model.Model(np.ones((lm_model.VOCABULARY + 1, lm_model.VOCABULARY)))
+    tokens, lengths = lm.tokens_of(seen[0][2], [t.encode() for t in learnt.values()])
+    before = model.score(tokens, lengths).sum()
+    one(spark.createDataFrame([(t,) for t in learnt.values()], "text string"), seen[0][2], model, 0.01)
+    assert model.score(tokens, lengths).sum() > before

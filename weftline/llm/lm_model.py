@@ -8,11 +8,15 @@ WINDOW - STRIDE to WINDOW - 1 tokens before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 32, 24, 48, 32, 24
 VOCABULARY = SIDE * SIDE
 _LOG10 = float(np.log(10.0))
+#: Parameters counted over all texts, that training leaves as they are.
+COUNTED = ("G", "H")
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +90,7 @@ class Model:
             keep.update(x=x, late=late, q=q, k=k, v=v, s=s, m=m, u=u, f=f)
         return h
 
-    def _out(self, h: np.ndarray, last: np.ndarray, place: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    def _out(self, h: np.ndarray, last: np.ndarray, place: np.ndarray, grads: dict | None = None, counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of the places after hidden rows and the tokens before; with ``grads``, also the gradient of their negative sum by h."""
         p, every = self.p, np.arange(len(h))
         group, rank = place // SIDE, place % SIDE
@@ -100,8 +104,10 @@ class Model:
             g = e / total[:, None]
             g[every, group] -= 1
             grads["C"], grads["c"] = h.T @ g, g.sum(0)
-            grads["G"] = np.stack([np.bincount(last, weights=g[:, k], minlength=VOCABULARY + 1) for k in range(SIDE)], axis=1)
-            grads["T"], grads["t"], grads["H"] = np.zeros_like(p["T"]), np.zeros_like(p["t"]), np.zeros_like(p["H"])
+            grads["T"], grads["t"] = np.zeros_like(p["T"]), np.zeros_like(p["t"])
+            if counted:
+                grads["G"] = np.stack([np.bincount(last, weights=g[:, k], minlength=VOCABULARY + 1) for k in range(SIDE)], axis=1)
+                grads["H"] = np.zeros_like(p["H"])
             back = g @ p["C"].T
         order = np.argsort(group.astype(np.int16), kind="stable")
         ends = np.searchsorted(group[order], np.arange(SIDE + 1))
@@ -120,17 +126,18 @@ class Model:
                 g = e / total[:, None]
                 g[np.arange(len(rows)), r] -= 1
                 grads["T"][k], grads["t"][k] = hk.T @ g, g.sum(0)
-                np.add.at(grads["H"], (last[rows], k), g)
+                if counted:
+                    np.add.at(grads["H"], (last[rows], k), g)
                 back[rows] += g @ p["T"][k].T
         return out, back
 
-    def loss(self, tokens: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log probability of the predicted places, and its gradient by every parameter."""
+    def loss(self, tokens: np.ndarray, source: np.ndarray, target: np.ndarray, counted: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log probability of the predicted places, and its gradient by every parameter (without ``counted``, by the trained ones)."""
         p, keep, g = self.p, {}, {}
         ids, gone = self._inputs(tokens, source), source == -1
         h = self._forward(ids, gone, keep)
         there = target >= 0
-        out, back = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[target[there]]], g)
+        out, back = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[target[there]]], g, counted)
         n = max(1, len(out))
         dh = np.zeros_like(h)
         dh[there] = back
@@ -166,17 +173,34 @@ class Model:
         rng = np.random.default_rng(seed)
         tokens = np.concatenate(texts)
         source, target, _ = windows(np.array([len(t) for t in texts]))
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        adam = _Adam(self)
         for step in range(1, steps + 1):
             take = rng.integers(0, len(source), batch)
-            _, g = self.loss(tokens, source[take], target[take])
-            now = rate * min(1.0, step / 20) * (1 - 0.95 * step / steps)
-            for k, v in g.items():
-                if k in ("G", "H"):  # counted over all texts; not to be bent to the sample
-                    continue
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.01 * (v * v - second[k])
-                self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            adam.step(tokens, source[take], target[take], rate * min(1.0, step / 20) * (1 - 0.95 * step / steps))
+
+    def learn(self, groups: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, batch: int = 128, seed: int = 9) -> int:
+        """Adam over every window of groups of texts (tokens, lengths), each taken once; how many there were."""
+        rng, adam, n = np.random.default_rng(seed), _Adam(self), 0
+        for tokens, lengths in groups:
+            source, target, _ = windows(lengths)
+            order = rng.permutation(len(source))
+            for a in range(0, len(order), batch):
+                take = order[a : a + batch]
+                adam.step(tokens, source[take], target[take], rate * min(1.0, (adam.n + 1) / 20) * len(take) / batch)
+            n += len(source)
+        return n
+
+    def trained(self) -> np.ndarray:
+        """All trained parameters, end to end."""
+        return np.concatenate([v.ravel() for k, v in self.p.items() if k not in COUNTED])
+
+    def put(self, values: np.ndarray) -> None:
+        """Sets all trained parameters from one array."""
+        at = 0
+        for k, v in self.p.items():
+            if k not in COUNTED:
+                self.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
         """The log10 probability of each token of texts laid end to end, given those before it in its text."""
@@ -190,5 +214,22 @@ class Model:
         return out / _LOG10
 
 
+class _Adam:
+    """Steps of Adam over a model's trained parameters."""
+
+    def __init__(self, model: Model):
+        self.model, self.n = model, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.p.items() if k not in COUNTED} for _ in range(2))
+
+    def step(self, tokens: np.ndarray, source: np.ndarray, target: np.ndarray, rate: float) -> None:
+        self.n += 1
+        _, g = self.model.loss(tokens, source, target, counted=False)
+        for k, first in self.first.items():
+            second = self.second[k]
+            first += 0.1 * (g[k] - first)
+            second += 0.01 * (g[k] * g[k] - second)
+            self.model.p[k] -= (rate * (first / (1 - 0.9**self.n)) / (np.sqrt(second / (1 - 0.99**self.n)) + 1e-6)).astype(np.float32)
+
+
 #: A late place sees no place after its own.
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e4).astype(np.float32)

@@ -4,8 +4,9 @@ Words of all training texts are counted by a distributed aggregation. The most f
 (``TOP``, broadcast) give the base counts of most tokens and the subword vocabulary: the pieces of a
 public tokenizer that cover most of them, with bytes for everything else, so that any text has a
 probability. Adjacent pieces of all training texts, with starts and ends, are counted by another one
-and start the model's output; attention is trained on a bounded sample
-of training texts. Every text is cut into overlapping windows and each of its tokens scored once. A
+and start the model's output. Attention starts from a bounded sample and is then trained on all
+training texts, whatever their length, in ``ROUNDS`` rounds: each takes its share of the rows, every
+task trains on each window of its own ones, and the tasks' weights are averaged. Every text is cut into overlapping windows and each of its tokens scored once. A
 word's probability is the product of its pieces', mixed with its share of the counted words at a
 weight that is fitted on sample texts kept back. Words outside the broadcast meet their counts, for
 the base and for their shares, in a join by word.
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Stage, chunks, crc_mod, small_batches, text_bytes
-from weftline.llm.lm_model import VOCABULARY, Model
+from weftline.llm.lm_model import COUNTED, VOCABULARY, Model
 
 #: Words that are broadcast, at most, and their length in bytes.
 TOP, LONGEST = 65_536, 64
-#: Training texts (no longer than so many bytes) that attention is trained on, at most; steps.
+#: Training texts (no longer than so many bytes) that attention starts from, at most; steps.
 SAMPLE, SAMPLE_BYTES, STEPS = 1500, 20_000, 1200
+#: Rounds that take all training texts together, the rate of the first one, and slices that weights are averaged in.
+ROUNDS, RATE, SLICES = 4, 0.003, 16
 #: Remainder of crc32(doc_id) that is held out.
 FOLDS, HELD_OUT = 7, 2
 END = 256  # after the 256 bytes
@@ -107,6 +110,39 @@ def count_pairs(train: DataFrame, pieces: Pieces) -> np.ndarray:
     return out.reshape(VOCABULARY + 1, VOCABULARY)
 
 
+def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) -> int:
+    """Trains ``model`` on every window of ``train``; how many there were.
+
+    Each task starts from the model as it is and takes its own windows; the weights are averaged by
+    windows, slice by slice, so that no task and not the driver meets those of all tasks.
+    """
+    sent = train.sparkSession.sparkContext.broadcast((model, ranks_of(pieces), pieces.number))
+
+    def run(batches):
+        (model, *known), part = sent.value, _row_ids() >> 33
+        own, mine = _executor_pieces(*known), Model.__new__(Model)
+        mine.place, mine.p = model.place, {k: v.copy() if k not in COUNTED else v for k, v in model.p.items()}
+        texts = (t for batch in batches for t in [text_bytes(batch.column(0))])
+        n = mine.learn((tokens_of(own, t[a:b]) for t in texts for a, b in chunks(t)), rate, seed=part)
+        if n:
+            values = np.array_split(mine.trained().astype(np.float64) * n, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int64()), pa.array([n] * SLICES, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["slice", "part", "n", "sums"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows, total = rows.sort_by("part"), 0.0
+        for v in rows["sums"]:
+            total = total + np.frombuffer(v.as_py())
+        return pa.table({"slice": rows["slice"][:1], "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = train.select("text").mapInArrow(run, "slice int, part long, n long, sums binary")
+    got = sorted(map(tuple, rows.groupBy("slice").applyInArrow(add, "slice int, n long, sums binary").collect()))
+    sent.destroy()
+    if not got:
+        return 0
+    model.put(np.concatenate([np.frombuffer(v) for *_, v in got]) / got[0][1])
+    return got[0][1]
+
+
 def _row_ids() -> int:
     """The first row number of this task: rows are numbered by partition, whatever their ids."""
     from pyspark import TaskContext
@@ -136,14 +172,20 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
     pieces = Pieces(read_ranks(ranks_path), frequent)
     few = train.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     sample = train.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= SAMPLE_BYTES).select("_id", "text")
-    texts = [t.encode().lower().split() for _, t in sorted(map(tuple, sample.toLocalIterator()))]
+    drawn = sorted(map(tuple, sample.toLocalIterator()))
+    texts = [t.encode().lower().split() for _, t in drawn]
     model, kept = Model(count_pairs(train, pieces)), max(1, len(texts) // 12)
     model.train([np.array([i for w in t for i in pieces.word(w)] + [END]) for t in texts[kept:]], steps)
+    held_back = F.col("doc_id").isin([i for i, _ in drawn[:kept]])  # until the weight is fitted
+    rounds = train.withColumn("_round", F.when(held_back, ROUNDS - 1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))))
+    for k in range(ROUNDS - 1):
+        train_round(rounds.where(F.col("_round") == k), pieces, model, RATE * (1 - k / ROUNDS))
     learnt = {"model": model, "counts": frequent, "ends": ends, "total": total}
     other = {w for t in texts[:kept] for w in t} - frequent.keys()
     wanted = spark.createDataFrame([(w.decode(),) for w in other], "word string")
     rare = {r[0].encode(): r[1] for r in counts.df.join(F.broadcast(wanted), "word").select("word", "c").collect()}
     learnt["share"] = share = fit_share(learnt | {"pieces": pieces, "counts": frequent | rare}, texts[:kept])
+    train_round(rounds.where(F.col("_round") == ROUNDS - 1), pieces, model, RATE / ROUNDS)
     sent = spark.sparkContext.broadcast((learnt, pieces.number, ranks_of(pieces)))
     state: dict = {}
 
