@@ -382,3 +382,20 @@ def test_lm_trains_on_all_rows(spark, monkeypatch):
     before = model.score(tokens, lengths).sum()
     one(spark.createDataFrame([(t,) for t in learnt.values()], "text string"), seen[0][2], model, 0.01)
     assert model.score(tokens, lengths).sum() > before
+
+
+def test_wrapped_licenses():
+    import textwrap
+
+    notice = {k: rows[0].capitalize() + "." for k, rows in license_rules.SENTENCES.items()}
+    name = "Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    read = lambda parts, mark="": license_rules.apply_rules(license_rules.identifiers("\n\n".join(textwrap.fill(p, 60) for p in parts).replace("\n", "\n" + mark)))
+    for mark in ("", " * ", "# ", "// "):
+        assert read(["Some Project", notice["mit-grant"], notice["mit-notice"], notice["as-is"]], mark) == (["MIT"], 0)
+        assert read([notice["gpl-free"]], mark) == (["GPL-3.0-or-later"], 0)
+        bsd = [notice["bsd-terms"].replace("met.", "met:"), "1. " + notice["bsd-source"], "2. " + notice["bsd-binary"]]
+        assert read(bsd, mark) == (["BSD-2-Clause"], 0)
+        assert read([*bsd, "3. " + name], mark) == (["BSD-3-Clause"], 0)
+        assert read([*bsd[:1], "a) " + bsd[1][3:], "b) " + bsd[2][3:]], mark) == (["BSD-2-Clause"], 0)
+    assert license_rules.identifiers("Released under the MIT\n\nlicense") == []
+    assert license_rules.identifiers("all\nrights reserved") == ["all-rights"]

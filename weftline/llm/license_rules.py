@@ -1,6 +1,8 @@
 """Licence scans by sentence rules: known sentences become identifiers, ordered rules read their sequence.
 
-A text is cut into sentences (at line ends, and after . ; : ! ? before white space). A sentence is
+A text is cut into sentences (at line ends, and after . ; : ! ? before white space). Known sentences
+that are wrapped, or begin behind a list mark, are found as well: a sentence may go on over single line
+ends, to where one ends. A sentence is
 normalised (lower case, runs of anything but letters and digits become one space) and looked up in
 the known sentences. Of the identifiers found, in order, each rule takes its sequence wherever it
 stands side by side, longer and more specific rules first; what a rule took is gone for the later
@@ -39,23 +41,63 @@ RULES = [
     ("BSD-2-Clause", ("bsd-terms", "bsd-source", "bsd-binary")), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-only", ("gpl2",)), ("GPL-3.0-only", ("gpl3",)), ("LGPL-2.1-only", ("lgpl2 1",)), ("LGPL-3.0-only", ("lgpl3",)),
     ("Apache-1.1", ("apache1.1",)), ("Apache-2.0", ("apache2.0",)), *((k.upper(), (k,)) for k in SENTENCES if k.startswith("cc-")), ("MIT", ("mit-name",)), ("Public-domain", ("public-domain",)), ("Proprietary", ("all-rights",)),
 ]
+#: What the SQL, which cuts at line ends alone, does not have: the third BSD clause and its rules, which come first.
+_BSD_NAME = re.compile(r"neither the names? of .{1,120} nor the names of (?:(?:its|their|any|other) )?contributors may be used to endorse or promote products derived from this software without specific prior written permission").fullmatch
+MORE_RULES = [("BSD-3-Clause", ("all-rights", "bsd-terms", "bsd-source", "bsd-binary", "bsd-name")), ("BSD-3-Clause", ("bsd-terms", "bsd-source", "bsd-binary", "bsd-name"))]
 KNOWN = {s: k for k, rows in SENTENCES.items() for s in rows}
 #: A word of each known sentence without which a text holds none of them.
-_HINT = re.compile(r"licens|all rights|permission|redistribut|warranty|public domain|free software", re.I).search
+_HINT = re.compile(r"licens|all[\W_]+rights|permission|redistribut|warranty|public[\W_]+domain|free[\W_]+software", re.I).search
+_FIRST, _LONGEST = {s.split()[0] for s in KNOWN} | {"neither"}, max(len(s.split()) for s in KNOWN)
+#: A paragraph's end, a list mark or comment sign that begins a line, and the sentence ends that are no line ends.
+_PARAGRAPH, _MARK = re.compile(r"\n[^\S\n]*(?:(?://+|[#*;]+|--)[^\S\n]*)?(?=\n)"), re.compile(r"^\s*(?:(?://+|/\*+|[#*;]+|--)\s*)?(?:(?:\(?(?:[0-9]{1,2}|[a-z])[.)]|[-*])\s+)?", re.I)
 _CUT, _WORDS = re.compile(r"\n|(?<=[.;:!?])\s+"), re.compile(r"[^a-z0-9]+")
 
 
 def identifiers(text: str) -> list[str]:
-    """Known sentences of a text, in order."""
+    """Known sentences of a text, in order: those that are whole lines' sentences, and those wrapped over lines."""
     if not _HINT(text):
         return []
-    return [k for s in _CUT.split(text) if (k := KNOWN.get(_WORDS.sub(" ", s.lower()).strip()))]
+    found = []
+    for paragraph in _PARAGRAPH.split(text):
+        lines = [_CUT.split(line) for line in paragraph.split("\n")]
+        # (normalised sentence, without a mark that begins its line, whether it ends where its line does, without an end of its own)
+        parts = [(_norm(s), _norm(_MARK.sub("", s) if i == 0 else s), i == len(line) - 1 and not s.rstrip().endswith((".", ";", ":", "!", "?"))) for line in lines for i, s in enumerate(line)]
+        i = 0
+        while i < len(parts):
+            whole, bare, _ = parts[i]
+            k, i = (_known(whole) or _known(bare), i + 1)
+            if k is None:
+                k, i = _wrapped(parts, i - 1)
+            if k is not None:
+                found.append(k)
+    return found
+
+
+def _norm(s: str) -> str:
+    return _WORDS.sub(" ", s.lower()).strip()
+
+
+def _known(words: str) -> str | None:
+    return KNOWN.get(words) or ("bsd-name" if words.startswith("neither the name") and _BSD_NAME(words) else None)
+
+
+def _wrapped(parts: list[tuple[str, str, bool]], i: int) -> tuple[str | None, int]:
+    """The known sentence that starts with part i and goes on over line ends, and the part after it; or None and the next part."""
+    words, j = parts[i][1], i
+    if words.split(" ", 1)[0] not in _FIRST:
+        return None, i + 1
+    while (parts[j][2] or words.startswith("neither the name")) and j + 1 < len(parts) and words.count(" ") < _LONGEST:
+        j += 1
+        words = f"{words} {parts[j][1]}".strip()
+        if k := _known(words):
+            return k, j + 1
+    return None, i + 1
 
 
 def apply_rules(found: list[str]) -> tuple[list[str], int]:
     """The licences stated, in the order of the rules, and how many sentences no rule took."""
     line, out = "|" + "".join(f"{k}||" for k in found), []
-    for name, rule in RULES:
+    for name, rule in MORE_RULES + RULES:
         want = "|" + "||".join(rule) + "|"
         if want in line:
             line = line.replace(want, "|/|")
