@@ -399,3 +399,11 @@ def test_wrapped_licenses():
         assert read([*bsd[:1], "a) " + bsd[1][3:], "b) " + bsd[2][3:]], mark) == (["BSD-2-Clause"], 0)
     assert license_rules.identifiers("Released under the MIT\n\nlicense") == []
     assert license_rules.identifiers("all\nrights reserved") == ["all-rights"]
+
+
+def test_pii_redacts_the_union(spark):
+    t = "call +1 555 123 4567.joe@x.com now"
+    assert pii.base_spans(t) == [(5, 3, 20), (16, 0, 30)]
+    hidden = pii.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string"), carry=("doc_id", "text"), redact=True).first().text
+    assert hidden == "call <PHONE><EMAIL> now" and not base_by_regex(hidden)
+    assert pii.replace("abcdef", [(0, 3, 4), (1, 0, 2), (3, 0, 5)]) == "<PHONE><EMAIL>f"

@@ -179,7 +179,7 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: st
 
     Spans print as kind:start:end (code points, end exclusive), in order, joined by commas. A null
     or empty text has none. With ``redact`` the text column, if carried, holds ``<EMAIL>`` and so
-    on in place of the spans (of overlapping ones, the first). Repeated rows give equal results;
+    on in place of the spans (of overlapping ones, in place of all that they cover). Repeated rows give equal results;
     without any span no classifier is trained; no rows give none.
     """
     small_batches(docs.sparkSession, 5000)
@@ -224,4 +224,7 @@ def replace(text: str, spans: list[tuple[int, int, int]]) -> str:
         if a >= at:
             out += [text[at:a], f"<{KINDS[k].upper()}>"]
             at = b
+        elif b > at:  # reaches past the spans before it
+            out.append(f"<{KINDS[k].upper()}>")
+            at = b
     return "".join(out) + text[at:]
