@@ -201,6 +201,15 @@ def tag_extract(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.extract_tagged(F.expr(_TAGGED), "<think>", "</think>").alias("text"))
 
 
+_WHOLE = "concat('<think>', text, '</think>', text, '<think> \n </think><think></think><think> kept ', doc_id, ' </think>')"
+
+
+@query(rf"SELECT doc_id, array_to_string([regexp_replace(x, '\A\s+|\s+\z', '', 'g') for x in regexp_extract_all(t, '(?s)<think>(.*?)</think>', 1) if x <> ''], chr(10) || chr(10)) AS text FROM (SELECT doc_id, {_WHOLE} AS t FROM documents)")
+def tag_extract_whole(spark, sf_dir):
+    """Whole texts stand between the tags."""
+    return load(spark, sf_dir, "documents").select("doc_id", tx.extract_tagged(F.expr(_WHOLE), "<think>", "</think>").alias("text"))
+
+
 _TEMPLATE = "From {{ .Source }} in {{.Lang}}: {{ .Text }} ({{ .Unknown }})"
 
 
@@ -211,6 +220,13 @@ def template_fill(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.fill_template(F.lit(_TEMPLATE), values).alias("text"))
 
 
+@query("SELECT doc_id, 'From ' || source || ' in ' || lang || ': ' || text || ' {{ .Lang }} ({{ .Unknown }})' AS text FROM documents")
+def template_fill_whole(spark, sf_dir):
+    """Whole texts are put in."""
+    values = {"Source": F.col("source"), "Lang": F.col("lang"), "Text": F.concat("text", F.lit(" {{ .Lang }}"))}
+    return load(spark, sf_dir, "documents").select("doc_id", tx.fill_template(F.lit(_TEMPLATE), values).alias("text"))
+
+
 _LINES_SQL = f"SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split({NORM.format('text')}, chr(10))) AS l FROM {_J}) WHERE {NOT_BLANK.format('l')}"
 
 
@@ -364,6 +380,19 @@ def merge_retries(spark, sf_dir):
     return resume.merge_retries(rows(400, "old ", 3).where("line_no < 500"), rows(450, "new ", 4).where("line_no % 2 = 0"))
 
 
+_RETRY_ALL = """o AS (SELECT 'request-' || (doc_id // 3) AS custom_id, doc_id AS line_no, 'old ' || text AS line FROM documents),
+r AS (SELECT 'request-' || (doc_id // 2) AS custom_id, doc_id AS line_no, 'new ' || text AS line, doc_id % 3 = 0 AS is_error FROM documents)"""
+
+
+@query(f"""WITH {_RETRY_ALL}, g AS (SELECT custom_id, arg_max(line, line_no) AS new, arg_max(is_error, line_no) AS bad, min(line_no) AS first FROM r GROUP BY 1), k AS (SELECT * FROM g WHERE NOT bad)
+SELECT coalesce(new, line) AS line, 0 AS part, line_no AS ord FROM o LEFT JOIN k USING (custom_id) UNION ALL SELECT new, 1, first FROM k WHERE custom_id NOT IN (SELECT custom_id FROM o)""")
+def merge_retries_whole(spark, sf_dir):
+    """Every document is an original and a retry; ids repeat on both sides, and a third of the retried ids are new."""
+    d = load(spark, sf_dir, "documents")
+    rows = lambda m, name, bad: d.select(F.concat(F.lit("request-"), F.expr(f"doc_id div {m}")).alias("custom_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit(name), "text").alias("line"), (F.col("doc_id") % bad == 0).alias("is_error"))
+    return resume.merge_retries(rows(3, "old ", 4), rows(2, "new ", 3))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 a AS (SELECT doc_id // 2 AS pair, pos, line FROM l WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS pair, pos, line FROM l WHERE doc_id % 2 = 1)
 SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.pos, b.pos)::INT AS pos, coalesce(a.line, '') AS left_line, coalesce(b.line, '') AS right_line FROM a FULL JOIN b ON a.pair = b.pair AND a.pos = b.pos""")
