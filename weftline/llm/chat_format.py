@@ -7,8 +7,8 @@ The template writes each turn as a mark line, the escaped text and an end mark:
 Roles other than plain words and texts are escaped with a backslash before every backslash, ``<``
 and ``#``: no mark can then arise inside a text, and the parser needs no look-ahead. The rendered
 text is read back by a deterministic split on the unescaped end mark, turns are unescaped and
-compared with the source; texts that do not come back are escaped character by character, until
-all are identical. Results are derived from what was read back, never from the source.
+compared with the source. All these characters are escaped once, whether they conflict or not; the
+escape is total, so there is no second pass, and ``identical`` only reports the comparison. Results are derived from what was read back, never from the source.
 """
 
 from __future__ import annotations
