@@ -28,10 +28,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; rows that repeat an id count once, rows without one stay."""
-    first = jaccard_components(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of each group of near copies: that with the least id (null last), whatever ids repeat; rows are numbered for it."""
+    rows = Stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered").df
+    groups = jaccard_components(rows.select("_row", "text"), id_col="_row").select(F.col("id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,15 @@ def test_pii_redacts_the_union(spark):
     hidden = pii.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string"), carry=("doc_id", "text"), redact=True).first().text
     assert hidden == "call <PHONE><EMAIL> now" and not base_by_regex(hidden)
     assert pii.replace("abcdef", [(0, 3, 4), (1, 0, 2), (3, 0, 5)]) == "<PHONE><EMAIL>f"
+
+
+def test_keep_first_by_rows(spark):
+    """Rows that share an id but hold different texts stay; near copies without an id do not."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
+    rows = [(1, a), (1, b), (None, c), (None, c), (7, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in p.keep_first(spark, docs, "").collect())
+    assert got == sorted([("1", a), ("1", b), ("None", c)])
