@@ -268,30 +268,70 @@ def test_licenses():
 
 def test_model_gradient_and_windows():
     rng = np.random.default_rng(0)
-    m = lm_model.Model(rng.integers(0, 5, (lm_model.VOCABULARY + 1, lm_model.VOCABULARY)).astype(float))
+    m = lm_model.Model(rng.integers(0, 5, lm_model.VOCABULARY).astype(float))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    tokens = rng.integers(0, lm_model.VOCABULARY, 120)
-    source, target, _ = lm_model.windows(np.array([70, 50]))
+    tokens, lengths = rng.integers(0, lm_model.VOCABULARY, 120), np.array([70, 50])
+    inputs, target = lm_model.windows(tokens, lengths)
     assert sorted(target[target >= 0].tolist()) == list(range(120))  # each token once
-    _, g = m.loss(tokens, source, target)
+    _, g = m.loss(tokens, inputs, target)
     for k, v in m.p.items():
-        i = tuple(rng.integers(0, n) for n in v.shape) if k not in ("E", "G", "H") else (int(tokens[3]), *(rng.integers(0, n) for n in v.shape[1:]))
+        i = tuple(rng.integers(0, n) for n in v.shape) if k != "E" else (int(tokens[3]), *(rng.integers(0, n) for n in v.shape[1:]))
         held, low, high = v[i], 0.0, 0.0
         v[i] = held + 1e-5
-        high = m.loss(tokens, source, target)[0]
+        high = m.loss(tokens, inputs, target)[0]
         v[i] = held - 1e-5
-        low = m.loss(tokens, source, target)[0]
+        low = m.loss(tokens, inputs, target)[0]
         v[i] = held
         assert abs((high - low) / 2e-5 - g[k][i]) < 1e-6
     # later tokens change no earlier score, and probabilities of a place sum to one
     other = tokens.copy()
     other[60:70] = 1
-    a, b = m.score(tokens, np.array([70, 50])), m.score(other, np.array([70, 50]))
+    a, b = m.score(tokens, lengths), m.score(other, lengths)
     assert np.allclose(a[:60], b[:60])
     total = sum(10 ** m.score(np.array([3, 9, k]), np.array([3]))[2] for k in range(lm_model.VOCABULARY))
     assert abs(total - 1) < 1e-6
 
 
+def plain_scores(m, tokens):
+    """log10 probabilities of one text's tokens, place by place and in double precision."""
+    p, out = {k: v.astype(float) for k, v in m.p.items()}, []
+    for t, token in enumerate(tokens):
+        k = t // lm_model.STRIDE * lm_model.STRIDE - (lm_model.WINDOW - lm_model.STRIDE)  # the window's first place
+        seen = [p["E"][tokens[j - 1] if j > 0 else lm_model.VOCABULARY] + p["P"][j - k] for j in range(k, t + 1)]
+        weights = [math.exp(seen[-1] @ p["M"] @ x) for x in seen]
+        u = seen[-1] + sum(w * x for w, x in zip(weights, seen, strict=True)) / sum(weights) @ p["V"]
+        h = u + np.maximum(u @ p["A"] + p["a"], 0) @ p["B"]
+        group, rank = divmod(int(m.place[token]), lm_model.SIDE)
+        outer, inner = np.exp(h @ p["C"] + p["c"]), np.exp(h @ p["T"][group] + p["t"][group])
+        out.append(math.log10(outer[group] / outer.sum() * inner[rank] / inner.sum()))
+    return out
+
+
+def test_lm_score_by_brute_force(spark):
+    """Scores of whole texts are the sums of plainly computed probabilities, and next words' masses stay below one."""
+    from weftline.llm import lm_scoring as lm
+
+    rng = random.Random(7)
+    rows = [(i, text(rng, rng.randint(0, 60)).title()) for i in range(40)] + [(40, None), (41, " \t"), (42, "x" * 20_000), (42, "x" * 20_000), (None, "né 中 the")]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    real, lm.train_model = lm.train_model, lambda train, pieces, counts: held.update(pieces=pieces, model=real(train, pieces, counts)) or held["model"]
+    try:
+        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs, tokenizer_path("word_bpe_49k.json")).collect())
+    finally:
+        lm.train_model = real
+    pieces, model, want = held["pieces"], held["model"], []
+    for i, t in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        ids = [k for w in words for k in pieces.word(w)] + [lm.END]
+        want.append((str(i), len(words) + 1, sum(plain_scores(model, ids))))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * (1 - b[2])
+    first = [w.encode() for w in WORDS] + [b"x", b"zz", b"a", b"the", "é".encode()]
+    mass = sum(10 ** sum(plain_scores(model, pieces.word(w))) for w in first) + 10 ** plain_scores(model, [lm.END])[0]
+    assert 0 < mass <= 1
+    assert len({tuple(pieces.word(w)) for w in first}) == len(first) and all(x == y or x[: len(y)] != y for x in map(pieces.word, first) for y in map(pieces.word, first))
+
+
 def test_lm_base(docs):
     from weftline.llm.lm_scoring import score_documents
 
@@ -300,7 +340,7 @@ def test_lm_base(docs):
     c = Counter(w for i, ws in tok if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tok)
-    got = score_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), top=20, steps=5).collect()
+    got = score_documents(docs, tokenizer_path("word_bpe_49k.json"), top=20).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
 
@@ -333,35 +373,36 @@ def test_pipeline_stages(spark):
 
 def test_lm_context():
     """Every place but a text's first ones sees 8 to 31 tokens before it, and the width of layers is as first built."""
-    source, target, _ = lm_model.windows(np.array([100]))
-    sees = {int(t): int((source[w, : lm_model.WINDOW - lm_model.STRIDE + k + 1] >= 0).sum()) for w, row in enumerate(target) for k, t in enumerate(row) if t >= 0}
+    tokens = np.arange(100)
+    inputs, target = lm_model.windows(tokens, np.array([100]))
+    sees = {int(t): int((inputs[w, : lm_model.WINDOW - lm_model.STRIDE + k + 1] < lm_model.VOCABULARY).sum()) for w, row in enumerate(target) for k, t in enumerate(row) if t >= 0}
     assert min(sees[t] for t in range(32, 100)) >= 9 and max(sees.values()) == 32
-    assert (lm_model.WIDTH, lm_model.HIDDEN) == (24, 48)
+    assert all(inputs[w, lm_model.WINDOW - lm_model.STRIDE + k] == (t - 1 if t else lm_model.VOCABULARY) for w, row in enumerate(target) for k, t in enumerate(row) if t >= 0)
+    assert (lm_model.WIDTH, lm_model.HIDDEN, lm_model.WINDOW, lm_model.STRIDE) == (24, 48, 32, 24)
 
 
-def test_lm_pairs_and_rare_words(spark):
-    """Pairs of pieces are those of the texts in their order; words outside the broadcast have shares too."""
+def test_lm_words_and_pieces(spark):
+    """Counts of words and pieces are those of the texts; the base does not depend on how many words are broadcast."""
     from weftline.llm import lm_scoring as lm
 
-    path, rng = tokenizer_path("byte_bpe_50k.tiktoken"), random.Random(6)
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(6)
     rows = [(i, text(rng, rng.randint(0, 30))) for i in range(50)] + [(50, None), (51, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    pieces = lm.Pieces(lm.read_ranks(path), {w.encode(): 1 for w in WORDS[:9]})
-    want = np.zeros((lm_model.VOCABULARY + 1, lm_model.VOCABULARY))
-    for _, t in rows:
-        ids = [i for w in (t or "").encode().lower().split() for i in pieces.word(w)] + [lm.END]
-        for a, b in zip([lm_model.VOCABULARY, *ids], ids, strict=False):
-            want[a, b] += 1
-    assert (lm.count_pairs(docs, pieces) == want).all()
-    # a score does not depend on how many words are broadcast, but by the pieces that those select
-    every = [(i, "ab cd " * (i % 5) + "ef ab gh") for i in range(40)] + [(99, "zz ab")]
-    docs = spark.createDataFrame(every, "doc_id long, text string")
-    lm_pieces, lm.Pieces = lm.Pieces, lambda ranks, counts: lm_pieces(ranks, {})
-    try:
-        a, b = ({r.doc_id: r.score for r in lm.score_documents(docs, path, top=n, steps=0).collect()} for n in (1, 99))
-    finally:
-        lm.Pieces = lm_pieces
-    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+    counts = lm.count_words(docs.select("text"))
+    every = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    assert {r.word.encode(): r.c for r in counts.collect()} == every
+    pieces = lm.Pieces(lm.read_ranks(path))
+    want = Counter(i for w, n in every.items() for i in pieces.cut(w + b" ") for _ in range(n))
+    assert lm.count_pieces(counts, pieces) == want
+    reduced = pieces.choose(want, 52)
+    assert reduced[lm.END] == 52 and reduced.sum() == 52 + sum(n * len(pieces.word(w)) for w, n in every.items())
+    some = lm.frequent_words(counts, 5)
+    assert len(some) <= 5 and all(every[w] == n for w, n in some.items()) and min(some.values(), default=9) >= max(n for w, n in every.items() if w not in some)
+    assert lm.frequent_words(counts, 99) == every and lm.frequent_words(counts.where("c < 0"), 9) == {}
+    a, b = ({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs, path, top=n).collect()} for n in (1, 99))
+    assert a == b
+    none = lm.score_documents(docs.limit(0), path)
+    assert none.count() == 0 and len(none.columns) == 7
 
 
 def test_lm_trains_on_all_rows(spark, monkeypatch):
@@ -372,12 +413,12 @@ def test_lm_trains_on_all_rows(spark, monkeypatch):
     rows = [(i, text(rng, rng.randint(0, 90)) if i % 9 else None) for i in range(200)] + [(500, "long " * 6_000)]
     seen, one = [], lm.train_round
     monkeypatch.setattr(lm, "train_round", lambda train, pieces, model, rate: seen.append((one(train, pieces, model, rate), [r.doc_id for r in train.collect()], pieces)))
-    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path("byte_bpe_50k.tiktoken"), steps=5)
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path("word_bpe_49k.json"))
     learnt = {i: t or "" for i, t in rows if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD_OUT}
     assert 500 in learnt and sorted(i for _, ids, _ in seen for i in ids) == sorted(learnt)
     _, lengths = lm.tokens_of(seen[0][2], [t.encode() for t in learnt.values()])
     assert sum(n for n, *_ in seen) == sum(-(-int(n) // lm_model.STRIDE) for n in lengths)
-    model = lm_model.Model(np.ones((lm_model.VOCABULARY + 1, lm_model.VOCABULARY)))
+    model = lm_model.Model(np.ones(lm_model.VOCABULARY))
     tokens, lengths = lm.tokens_of(seen[0][2], [t.encode() for t in learnt.values()])
     before = model.score(tokens, lengths).sum()
     one(spark.createDataFrame([(t,) for t in learnt.values()], "text string"), seen[0][2], model, 0.01)

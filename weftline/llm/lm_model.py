@@ -1,235 +1,249 @@
 """A small causal self-attention model in numpy: one attention layer, one feed-forward layer, two-level output.
 
-The token distribution is p(class) * p(token | class) with ``SIDE`` classes of ``SIDE`` tokens by
-frequency, so that each token costs 2 * SIDE exponentials. Windows hold ``WINDOW`` inputs, of which
-the last ``STRIDE`` predict: windows overlap, and each token of a text is predicted once, with
-WINDOW - STRIDE to WINDOW - 1 tokens before it.
+With one head as wide as the model only the products of query and key weights (``M``) and of value
+and output weights (``V``) matter, so these are what is stored. The token distribution is
+p(class) * p(token | class) with ``SIDE`` classes of ``SIDE`` tokens by frequency, so that each token
+costs 2 * SIDE exponentials and all next tokens' probabilities sum to one. Windows hold ``WINDOW``
+inputs, of which the last ``STRIDE`` predict: windows overlap, and each token of a text is predicted
+once, with WINDOW - STRIDE to WINDOW - 1 tokens before it. Places before a text's start hold the
+start mark. Blocks of windows are small enough for a core's cache.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable
 
 import numpy as np
 
 SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 32, 24, 48, 32, 24
 VOCABULARY = SIDE * SIDE
+#: Windows that are scored together, and that a step of training takes.
+BLOCK = 256
+STEP = 512
 _LOG10 = float(np.log(10.0))
-#: Parameters counted over all texts, that training leaves as they are.
-COUNTED = ("G", "H")
+_BACK = WINDOW - STRIDE
+_ONES = np.ones(max(WINDOW, SIDE), dtype=np.float32)
+#: A late place sees no place after its own.
+_SEEN = (np.arange(WINDOW)[None, :] <= np.arange(_BACK, WINDOW)[:, None]).astype(np.float32)
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end: input places (-1: none), places predicted (-1: none), and the text of each window.
+def windows(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: the inputs of each window, and the places in ``tokens`` that it predicts (-1: none).
 
-    The input of place i is the token before it, or the start mark (place -2) for a text's first.
+    The input of a place is the token before it, or the start mark (VOCABULARY).
     """
     count = -(-lengths // STRIDE)
-    text = np.repeat(np.arange(len(lengths)), count)
-    start = np.cumsum(lengths) - lengths
-    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    at = (k * STRIDE)[:, None] + np.arange(WINDOW - STRIDE, WINDOW) - (WINDOW - STRIDE)
-    target = np.where(at < lengths[text][:, None], at + start[text][:, None], -1)
-    place = (k * STRIDE - (WINDOW - STRIDE))[:, None] + np.arange(WINDOW)  # the position whose input this is
-    source = np.where((place < 0) | (place >= lengths[text][:, None]), -1, np.where(place == 0, -2, place - 1 + start[text][:, None]))
-    return source, target, text
+    start, room = np.cumsum(lengths) - lengths, count * STRIDE + _BACK + 1
+    base = np.cumsum(room) - room
+    line = np.full(int(room.sum()), VOCABULARY, dtype=np.int64)
+    line[np.arange(len(tokens)) + np.repeat(base + _BACK + 1 - start, lengths)] = tokens
+    k = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    inputs = line[(np.repeat(base, count) + k)[:, None] + np.arange(WINDOW)]
+    place = (np.repeat(start, count) + k)[:, None] + np.arange(STRIDE)
+    return inputs, np.where(place < np.repeat(start + lengths, count)[:, None], place, -1)
 
 
 class Model:
     """Parameters, loss with gradients, training and scoring."""
 
-    def __init__(self, pairs: np.ndarray, seed: int = 5):
-        """``pairs[a, b]``: how often b follows a in the training texts (row VOCABULARY: at a start).
-
-        Counts set the classes and where the output starts: at smoothed bigrams. Attention learns the rest.
-        """
+    def __init__(self, counts: np.ndarray, seed: int = 5):
+        """``counts``: how often each token stands in the training texts; they set the classes and the first output biases."""
         rng = np.random.default_rng(seed)
-        counts = pairs.sum(0)
         order = np.argsort(-counts, kind="stable")
         self.place = np.empty(VOCABULARY, dtype=np.int64)  # token -> class * SIDE + rank in it
         self.place[order] = np.arange(VOCABULARY)
         share = ((counts[order] + 0.5) / (counts.sum() + 0.5 * VOCABULARY)).reshape(SIDE, SIDE)
-        seen = pairs[:, order]
-        held = np.maximum((seen > 0).sum(1, keepdims=True) * 1.0, 1.0)  # as much weight for unigrams as there are kinds of followers
-        after = ((seen + held * share.reshape(1, -1)) / (seen.sum(1, keepdims=True) + held)).reshape(-1, SIDE, SIDE)
         d = lambda *s, k=1.0: (rng.normal(size=s) * k / np.sqrt(s[0])).astype(np.float32)
         self.p = {
-            "E": (rng.normal(size=(VOCABULARY + 1, WIDTH)) * 0.3).astype(np.float32), "P": (rng.normal(size=(WINDOW, WIDTH)) * 0.1).astype(np.float32),
-            "Q": d(WIDTH, WIDTH), "K": d(WIDTH, WIDTH), "V": d(WIDTH, WIDTH), "O": d(WIDTH, WIDTH, k=0.5),
+            "E": (rng.normal(size=(VOCABULARY + 1, WIDTH)) * 0.3).astype(np.float32), "P": (rng.normal(size=(WINDOW, WIDTH)) * 0.1).astype(np.float32), "M": d(WIDTH, WIDTH, k=0.5), "V": d(WIDTH, WIDTH, k=0.5),
             "A": d(WIDTH, HIDDEN), "a": np.zeros(HIDDEN, dtype=np.float32), "B": d(HIDDEN, WIDTH, k=0.5),
-            "C": d(WIDTH, SIDE, k=0.1), "c": np.zeros(SIDE, dtype=np.float32), "T": (rng.normal(size=(SIDE, WIDTH, SIDE)) * 0.02).astype(np.float32), "t": np.zeros((SIDE, SIDE), dtype=np.float32),
-            "G": np.log(after.sum(2)).astype(np.float32), "H": np.log(after / after.sum(2, keepdims=True)).astype(np.float32),
+            "C": d(WIDTH, SIDE, k=0.1), "c": np.log(share.sum(1)).astype(np.float32), "T": (rng.normal(size=(SIDE, WIDTH, SIDE)) * 0.02).astype(np.float32), "t": np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
         }
 
-    def _inputs(self, tokens: np.ndarray, source: np.ndarray) -> np.ndarray:
-        """Embedding rows of window inputs; the start mark has the last row."""
-        return np.where(source >= 0, tokens[np.maximum(source, 0)], VOCABULARY)
-
-    def _forward(self, ids: np.ndarray, gone: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def _forward(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Hidden rows of the last STRIDE places of each window; every place sees itself and those before it."""
         p = self.p
-        x = p["E"][ids] + p["P"]
-        late = x[:, WINDOW - STRIDE :]
-        q, k, v = late @ (p["Q"] / np.float32(np.sqrt(WIDTH))), x @ p["K"], x @ p["V"]
-        s = q @ k.transpose(0, 2, 1)
+        x = p["E"].take(ids, axis=0)
+        x += p["P"]
+        late = np.ascontiguousarray(x[:, _BACK:]).reshape(-1, WIDTH)
+        q = (late @ p["M"]).reshape(-1, STRIDE, WIDTH)
+        s = q @ x.transpose(0, 2, 1)
         np.clip(s, -50, 50, out=s)  # then no maximum need be taken off
-        s += _MASK
-        if gone.any():
-            s -= np.float32(1e4) * gone[:, None, :]
         np.exp(s, out=s)
-        total = s.sum(-1, keepdims=True)
-        if keep is None:
-            m = (s @ v) / total
-        else:
-            s /= total
-            m = s @ v
-        u = late + m @ p["O"]
-        f = np.maximum(u @ p["A"] + p["a"], 0)
-        h = u + f @ p["B"]
+        s *= _SEEN
+        total = s.reshape(-1, WINDOW) @ _ONES[:WINDOW]
+        np.divide(1, total, out=total)
+        y = (s @ x).reshape(-1, WIDTH)
+        y *= total[:, None]
+        u = y @ p["V"]
+        u += late
+        f = u @ p["A"]
+        f += p["a"]
+        np.maximum(f, 0, out=f)
+        h = f @ p["B"]
+        h += u
         if keep is not None:
-            keep.update(x=x, late=late, q=q, k=k, v=v, s=s, m=m, u=u, f=f)
+            s *= total.reshape(-1, STRIDE, 1)
+            keep.update(x=x, late=late, q=q, s=s, y=y, u=u, f=f)
         return h
 
-    def _out(self, h: np.ndarray, last: np.ndarray, place: np.ndarray, grads: dict | None = None, counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities of the places after hidden rows and the tokens before; with ``grads``, also the gradient of their negative sum by h."""
+    def _out(self, h: np.ndarray, place: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probabilities of the places after hidden rows; with ``grads``, also the gradient of their negative sum by h.
+
+        Rows are sorted by class, so that each class is one product.
+        """
         p, every = self.p, np.arange(len(h))
+        order = np.argsort((place // SIDE).astype(np.int16), kind="stable")
+        place = place.take(order)
         group, rank = place // SIDE, place % SIDE
-        z = h @ p["C"] + p["c"] + p["G"][last]
-        np.clip(z, -60, 60, out=z)
-        e = np.exp(z)
-        total = e.sum(1)
-        out = z[every, group] - np.log(total)
-        back = None
-        if grads is not None:
-            g = e / total[:, None]
-            g[every, group] -= 1
-            grads["C"], grads["c"] = h.T @ g, g.sum(0)
-            grads["T"], grads["t"] = np.zeros_like(p["T"]), np.zeros_like(p["t"])
-            if counted:
-                grads["G"] = np.stack([np.bincount(last, weights=g[:, k], minlength=VOCABULARY + 1) for k in range(SIDE)], axis=1)
-                grads["H"] = np.zeros_like(p["H"])
-            back = g @ p["C"].T
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        ends = np.searchsorted(group[order], np.arange(SIDE + 1))
-        for k in range(SIDE):
-            rows = order[ends[k] : ends[k + 1]]
-            if not len(rows):
-                continue
-            hk, r = h[rows], rank[rows]
-            z = hk @ p["T"][k] + p["t"][k]
-            z += p["H"][last[rows], k]
+        ends = np.searchsorted(group, np.arange(SIDE + 1)).tolist()
+        h = h.take(order, axis=0)
+        outer, inner = h @ p["C"], np.empty((len(h), SIDE), dtype=h.dtype)
+        outer += p["c"]
+        parts = [(k, slice(ends[k], ends[k + 1])) for k in range(SIDE) if ends[k] < ends[k + 1]]
+        for k, at in parts:
+            np.matmul(h[at], p["T"][k], out=inner[at])
+            inner[at] += p["t"][k]
+        logs, totals = [], []
+        for z, at in ((outer, group), (inner, rank)):
             np.clip(z, -60, 60, out=z)
-            e = np.exp(z)
-            total = e.sum(1)
-            out[rows] += z[np.arange(len(rows)), r] - np.log(total)
-            if grads is not None:
-                g = e / total[:, None]
-                g[np.arange(len(rows)), r] -= 1
-                grads["T"][k], grads["t"][k] = hk.T @ g, g.sum(0)
-                if counted:
-                    np.add.at(grads["H"], (last[rows], k), g)
-                back[rows] += g @ p["T"][k].T
-        return out, back
-
-    def loss(self, tokens: np.ndarray, source: np.ndarray, target: np.ndarray, counted: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log probability of the predicted places, and its gradient by every parameter (without ``counted``, by the trained ones)."""
+            mine = z[every, at]
+            np.exp(z, out=z)
+            totals.append(z @ _ONES[:SIDE])
+            logs.append(mine - np.log(totals[-1]))
+        out = np.empty_like(logs[0])
+        out[order] = logs[0] + logs[1]
+        if grads is None:
+            return out, None
+        for z, total, at in ((outer, totals[0], group), (inner, totals[1], rank)):
+            z *= (1 / total)[:, None]
+            z[every, at] -= 1
+        grads["C"], grads["c"], back = h.T @ outer, _ones(len(h)) @ outer, outer @ p["C"].T
+        grads["T"], grads["t"] = np.zeros_like(p["T"]), np.zeros_like(p["t"])
+        for k, at in parts:
+            z = inner[at]
+            np.matmul(h[at].T, z, out=grads["T"][k])
+            np.matmul(_ones(len(z)), z, out=grads["t"][k])
+            back[at] += z @ p["T"][k].T
+        where = np.empty(len(h), dtype=np.int64)
+        where[order] = every
+        return out, back.take(where, axis=0)
+
+    def loss(self, tokens: np.ndarray, inputs: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log probability of the predicted places, and its gradient by every parameter."""
         p, keep, g = self.p, {}, {}
-        ids, gone = self._inputs(tokens, source), source == -1
-        h = self._forward(ids, gone, keep)
-        there = target >= 0
-        out, back = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[target[there]]], g, counted)
-        n = max(1, len(out))
-        dh = np.zeros_like(h)
-        dh[there] = back
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g["B"] = flat(keep["f"]).T @ flat(dh)
-        df = (dh @ p["B"].T) * (keep["f"] > 0)
-        g["A"], g["a"] = flat(keep["u"]).T @ flat(df), flat(df).sum(0)
-        du = dh + df @ p["A"].T
-        g["O"] = flat(keep["m"]).T @ flat(du)
-        dm = du @ p["O"].T
-        s = keep["s"]
-        dv = s.transpose(0, 2, 1) @ dm
-        ds = dm @ keep["v"].transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ keep["k"], ds.transpose(0, 2, 1) @ keep["q"]
-        g["Q"] = flat(keep["late"]).T @ flat(dq) * scale
-        g["K"], g["V"] = flat(keep["x"]).T @ flat(dk), flat(keep["x"]).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, WINDOW - STRIDE :] += du + dq @ p["Q"].T * scale
-        g["P"] = dx.sum(0)
+        h, target = self._forward(inputs, keep), target.ravel()
+        there = np.flatnonzero(target >= 0)
+        whole = len(there) == len(target)
+        out, back = self._out(h if whole else h.take(there, axis=0), self.place[tokens[target if whole else target[there]]], g)
+        dh = back
+        if not whole:
+            dh = np.zeros_like(h)
+            dh[there] = back
+        one, x, s = _ones(len(h)), keep["x"], keep["s"]
+        g["B"] = keep["f"].T @ dh
+        df = dh @ p["B"].T
+        df *= keep["f"] > 0
+        g["A"], g["a"] = keep["u"].T @ df, one @ df
+        du = df @ p["A"].T
+        du += dh
+        g["V"] = keep["y"].T @ du
+        dy = du @ p["V"].T
+        same = np.einsum("ij,ij->i", dy, keep["y"]).reshape(-1, STRIDE, 1)
+        dy = dy.reshape(-1, STRIDE, WIDTH)
+        ds = dy @ x.transpose(0, 2, 1)
+        ds -= same
+        ds *= s
+        dx = s.transpose(0, 2, 1) @ dy
+        dx += ds.transpose(0, 2, 1) @ keep["q"]
+        dq = (ds @ x).reshape(-1, WIDTH)
+        g["M"] = keep["late"].T @ dq
+        du += dq @ p["M"].T
+        dx[:, _BACK:] += du.reshape(-1, STRIDE, WIDTH)
+        g["P"] = (_ones(len(dx)) @ dx.reshape(len(dx), -1)).reshape(WINDOW, WIDTH)
         g["E"] = np.zeros_like(p["E"])
-        order = np.argsort(ids.ravel(), kind="stable")
-        rows, first = np.unique(ids.ravel()[order], return_index=True)
-        g["E"][rows] = np.add.reduceat(flat(dx)[order], first, axis=0)
-        return -float(out.sum()) / n, {k: v / n for k, v in g.items()}
-
-    def train(self, texts: list[np.ndarray], steps: int, batch: int = 128, rate: float = 0.01, seed: int = 9) -> None:
-        """Adam over random windows of the texts, with a falling rate."""
-        texts = [t for t in texts if len(t)]
-        if not texts or not steps:
-            return
-        rng = np.random.default_rng(seed)
-        tokens = np.concatenate(texts)
-        source, target, _ = windows(np.array([len(t) for t in texts]))
-        adam = _Adam(self)
-        for step in range(1, steps + 1):
-            take = rng.integers(0, len(source), batch)
-            adam.step(tokens, source[take], target[take], rate * min(1.0, step / 20) * (1 - 0.95 * step / steps))
-
-    def learn(self, groups: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, batch: int = 128, seed: int = 9) -> int:
+        ids = inputs.ravel()
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["E"][ids[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+        n = max(1, len(out))
+        for v in g.values():
+            v /= n
+        return -float(out.sum(dtype=np.float64)) / n, g
+
+    def learn(self, groups: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, batch: int = STEP, seed: int = 9) -> int:
         """Adam over every window of groups of texts (tokens, lengths), each taken once; how many there were."""
         rng, adam, n = np.random.default_rng(seed), _Adam(self), 0
         for tokens, lengths in groups:
-            source, target, _ = windows(lengths)
-            order = rng.permutation(len(source))
+            inputs, target = windows(tokens, lengths)
+            order = rng.permutation(len(inputs))
             for a in range(0, len(order), batch):
                 take = order[a : a + batch]
-                adam.step(tokens, source[take], target[take], rate * min(1.0, (adam.n + 1) / 20) * len(take) / batch)
-            n += len(source)
+                adam.step(tokens, inputs[take], target[take], rate * min(1.0, (adam.n + 1) / 20) * len(take) / batch)
+            n += len(inputs)
         return n
 
     def trained(self) -> np.ndarray:
-        """All trained parameters, end to end."""
-        return np.concatenate([v.ravel() for k, v in self.p.items() if k not in COUNTED])
+        """All parameters, end to end."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
 
     def put(self, values: np.ndarray) -> None:
-        """Sets all trained parameters from one array."""
+        """Sets all parameters from one array."""
         at = 0
         for k, v in self.p.items():
-            if k not in COUNTED:
-                self.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
-                at += v.size
+            self.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
+    def copy(self) -> Model:
+        """A model with the same classes and parameters of its own."""
+        out = Model.__new__(Model)
+        out.place, out.p = self.place, {k: v.copy() for k, v in self.p.items()}
+        return out
+
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """The log10 probability of each token of texts laid end to end, given those before it in its text."""
         out = np.zeros(len(tokens))
-        source, target, _ = windows(lengths)
-        for a in range(0, len(source), block):
-            s, t = source[a : a + block], target[a : a + block]
-            ids, there = self._inputs(tokens, s), t >= 0
-            h = self._forward(ids, s == -1)
-            out[t[there]] = self._out(h[there], ids[:, WINDOW - STRIDE :][there], self.place[tokens[t[there]]])[0]
+        inputs, target = windows(tokens, lengths)
+        for a in range(0, len(inputs), block):
+            t = target[a : a + block].ravel()
+            h, there = self._forward(inputs[a : a + block]), np.flatnonzero(t >= 0)
+            t = t[there]
+            out[t] = self._out(h.take(there, axis=0), self.place[tokens[t]])[0]
         return out / _LOG10
 
 
+def keep_memory() -> None:
+    """Lets this process keep freed arrays for the next ones: else each is mapped and cleared anew, which costs as much as the products."""
+    import ctypes
+
+    with contextlib.suppress(AttributeError, OSError):  # only the C library of Linux has it
+        for what in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(what, 256 << 20)
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, dtype=np.float32)
+
+
 class _Adam:
-    """Steps of Adam over a model's trained parameters."""
+    """Steps of Adam over a model's parameters."""
 
     def __init__(self, model: Model):
         self.model, self.n = model, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.p.items() if k not in COUNTED} for _ in range(2))
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
 
-    def step(self, tokens: np.ndarray, source: np.ndarray, target: np.ndarray, rate: float) -> None:
+    def step(self, tokens: np.ndarray, inputs: np.ndarray, target: np.ndarray, rate: float) -> None:
         self.n += 1
-        _, g = self.model.loss(tokens, source, target, counted=False)
+        _, g = self.model.loss(tokens, inputs, target)
+        one, two = rate / (1 - 0.9**self.n), 1 / np.sqrt(1 - 0.99**self.n)
         for k, first in self.first.items():
-            second = self.second[k]
-            first += 0.1 * (g[k] - first)
-            second += 0.01 * (g[k] * g[k] - second)
-            self.model.p[k] -= (rate * (first / (1 - 0.9**self.n)) / (np.sqrt(second / (1 - 0.99**self.n)) + 1e-6)).astype(np.float32)
-
-
-#: A late place sees no place after its own.
-_MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e4).astype(np.float32)
+            second, d = self.second[k], g[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * d
+            d *= d
+            d *= np.float32(0.01)
+            second *= np.float32(0.99)
+            second += d
+            self.model.p[k] -= np.float32(one) * first / (np.sqrt(second) * np.float32(two) + np.float32(1e-6))

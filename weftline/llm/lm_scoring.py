@@ -1,113 +1,147 @@
 """Language-model scores: a numpy self-attention model over subword ids, and a unigram base.
 
-Words of all training texts are counted by a distributed aggregation. The most frequent ones
-(``TOP``, broadcast) give the base counts of most tokens and the subword vocabulary: the pieces of a
-public tokenizer that cover most of them, with bytes for everything else, so that any text has a
-probability. Adjacent pieces of all training texts, with starts and ends, are counted by another one
-and start the model's output. Attention starts from a bounded sample and is then trained on all
-training texts, whatever their length, in ``ROUNDS`` rounds: each takes its share of the rows, every
-task trains on each window of its own ones, and the tasks' weights are averaged. Every text is cut into overlapping windows and each of its tokens scored once. A
-word's probability is the product of its pieces', mixed with its share of the counted words at a
-weight that is fitted on sample texts kept back. Words outside the broadcast meet their counts, for
-the base and for their shares, in a join by word.
+Words of all training texts are counted by a distributed aggregation. Their subword ids are pieces
+of a public tokenizer (a word's last piece carries the word's end), the commonest ones; other pieces
+fall into bytes, so that any text has a probability. The model is trained on every window of all
+training texts, whatever their length, once: in rounds that take growing shares of the rows, every
+task trains on its own windows from the same start, and the tasks' weights are averaged by windows.
+Every text is cut into overlapping windows and each of its tokens scored once; a text's score is
+the sum of its tokens' log10 probabilities, which the model sums to one over all next tokens. The
+most frequent words (``TOP`` at most, broadcast) give most counts of the base; the others meet
+theirs in a join by word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Stage, chunks, crc_mod, small_batches, text_bytes
-from weftline.llm.lm_model import COUNTED, VOCABULARY, Model
+from weftline.llm.lm_model import VOCABULARY, Model, keep_memory
 
 #: Words that are broadcast, at most, and their length in bytes.
-TOP, LONGEST = 65_536, 64
-#: Training texts (no longer than so many bytes) that attention starts from, at most; steps.
-SAMPLE, SAMPLE_BYTES, STEPS = 1500, 20_000, 1200
-#: Rounds that take all training texts together, the rate of the first one, and slices that weights are averaged in.
-ROUNDS, RATE, SLICES = 4, 0.003, 16
+TOP, LONGEST = 262_144, 64
+#: Distinct words that a task counts before it sends them.
+HELD_WORDS = 400_000
+#: Where rounds of training end, in sixteenths of the rows; the rates of the rounds; slices that weights are averaged in.
+ROUNDS, RATES, SLICES = (1, 2, 4, 8, 16), (0.01, 0.006, 0.004, 0.002, 0.001), 16
 #: Remainder of crc32(doc_id) that is held out.
 FOLDS, HELD_OUT = 7, 2
 END = 256  # after the 256 bytes
-_AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed: the mark of a word's end in the vocabulary file; a space stands for it here.
+WORD_END = "</w>"
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a BPE file with word ends, a space in place of the end mark; ids follow the merges' ranks."""
+    import json
+
+    from weftline.llm.bpe import byte_letters
+
+    letters = byte_letters()
+    with open(path, "rb") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    out = {}
+    for token, i in vocab.items():
+        ends = token.endswith(WORD_END)
+        bare = token[: -len(WORD_END)] if ends else token
+        if all(c in letters for c in bare):
+            out[bytes(letters[c] for c in bare) + b" " * ends] = i
+    return out
 
 
 class Pieces:
     """Reduced subword ids of words: bytes, the end, then the commonest pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], counts: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], number: dict[int, int] | None = None):
         import tiktoken
 
         self.kept: dict[bytes, list[int]] = {}
         self.cut = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes = {v: k for k, v in ranks.items()}
-        seen: dict[int, int] = {}
-        for w, c in counts.items():
-            for i in self.cut(b" " + w):
-                seen[i] = seen.get(i, 0) + c
+        self.number = number or {}
+
+    def choose(self, seen: dict[int, int], ends: int) -> np.ndarray:
+        """Numbers the commonest of the counted pieces; how often each reduced id then stands, an end for each text."""
         best = sorted((i for i in seen if len(self.bytes[i]) > 1), key=lambda i: (-seen[i], i))[: VOCABULARY - END - 1]
         self.number = {i: END + 1 + k for k, i in enumerate(best)}
+        self.kept.clear()
+        counts = np.zeros(VOCABULARY)
+        counts[END] = ends
+        for i, n in seen.items():
+            for k in (self.number[i],) if i in self.number else self.bytes[i]:
+                counts[k] += n
+        return counts
 
     def word(self, w: bytes) -> list[int]:
         """A word's ids; those of a bounded number of words are kept."""
         if (out := self.kept.get(w)) is None:
-            if len(self.kept) > 150_000:
+            if len(self.kept) > HELD_WORDS:
                 self.kept.clear()
             out = self.kept[w] = self._word(w)
         return out
 
     def _word(self, w: bytes) -> list[int]:
         out: list[int] = []
-        for i in self.cut(b" " + w):
+        for i in self.cut(w + b" "):
             out += (self.number[i],) if i in self.number else self.bytes[i]
         return out
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ranks of a tiktoken file."""
-    import base64
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c) of all words of the only column, lower-cased; each task adds up its own before the shuffle."""
 
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def run(batches):
+        held: Counter = Counter()
 
+        def send():
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            held.clear()
+
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                held.update(t.lower().split())
+                if len(held) > HELD_WORDS:
+                    yield from send()
+        yield from send()
 
-def _executor_pieces(ranks: dict[bytes, int], number: dict[int, int]) -> Pieces:
-    own = Pieces(ranks, {})
-    own.number = number
-    return own
+    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(train: DataFrame, pieces: Pieces) -> np.ndarray:
-    """How often piece b follows piece a in all texts of ``train`` (row VOCABULARY: at a start); ends follow too.
+def frequent_words(counts: DataFrame, most: int = TOP, longest: int = LONGEST) -> dict[bytes, int]:
+    """The words that stand so often that no more than ``most`` do, with their counts.
 
-    Each task adds up its own table, and the tables meet by pair: at most VOCABULARY * (VOCABULARY + 1) rows come back.
+    The limit is found from numbers of words by bands of counts (16 to a doubling), never by a sort.
     """
-    sent = train.sparkSession.sparkContext.broadcast((ranks_of(pieces), pieces.number))
+    rows = counts.where(F.octet_length("word") <= longest).withColumn("_band", F.floor(16 * F.log2(F.col("c"))))
+    left, least = most, None
+    for band, n in sorted((tuple(r) for r in rows.groupBy("_band").count().collect()), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, band
+    return {} if least is None else {r[0].encode(): r[1] for r in rows.where(F.col("_band") >= least).select("word", "c").toLocalIterator()}
+
+
+def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
+    """How often each piece of the tokenizer stands in all counted words; at most a row for each piece comes back."""
+    sent = counts.sparkSession.sparkContext.broadcast(ranks_of(pieces))
 
     def run(batches):
-        own, seen = _executor_pieces(*sent.value), np.zeros((VOCABULARY + 1) * VOCABULARY, dtype=np.int64)
+        cut, seen = Pieces(sent.value).cut, Counter()
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in chunks(texts):
-                tokens, lengths = tokens_of(own, texts[a:b])
-                before = np.append(VOCABULARY, tokens[:-1])
-                before[np.cumsum(lengths)[:-1]] = VOCABULARY
-                pair, n = np.unique(before * VOCABULARY + tokens, return_counts=True)
-                seen[pair] += n
-        pairs = np.flatnonzero(seen)
-        for a in range(0, len(pairs), 100_000):
-            some = pairs[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["pair", "n"])
-
-    counted = train.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+            for w, c in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for i in cut(w + b" "):
+                    seen[i] += c
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+
+    out = {r[0]: r[1] for r in counts.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n")).collect()}
     sent.destroy()
-    out = np.zeros((VOCABULARY + 1) * VOCABULARY)
-    out[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    return out.reshape(VOCABULARY + 1, VOCABULARY)
+    return out
 
 
 def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) -> int:
@@ -119,23 +153,24 @@ def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) ->
     sent = train.sparkSession.sparkContext.broadcast((model, ranks_of(pieces), pieces.number))
 
     def run(batches):
+        keep_memory()
         (model, *known), part = sent.value, _row_ids() >> 33
-        own, mine = _executor_pieces(*known), Model.__new__(Model)
-        mine.place, mine.p = model.place, {k: v.copy() if k not in COUNTED else v for k, v in model.p.items()}
+        own, mine = Pieces(*known), model.copy()
         texts = (t for batch in batches for t in [text_bytes(batch.column(0))])
         n = mine.learn((tokens_of(own, t[a:b]) for t in texts for a, b in chunks(t)), rate, seed=part)
         if n:
             values = np.array_split(mine.trained().astype(np.float64) * n, SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int64()), pa.array([n] * SLICES, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["slice", "part", "n", "sums"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        rows, total = rows.sort_by("part"), 0.0
-        for v in rows["sums"]:
-            total = total + np.frombuffer(v.as_py())
-        return pa.table({"slice": rows["slice"][:1], "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+    def merge(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["sums"].to_pylist(), strict=True))
+        total = np.zeros(len(rows[0][2]) // 8)
+        for *_, v in rows:
+            total += np.frombuffer(v)
+        return pa.table({"slice": table["slice"][:1], "n": pa.array([sum(r[1] for r in rows)], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     rows = train.select("text").mapInArrow(run, "slice int, part long, n long, sums binary")
-    got = sorted(map(tuple, rows.groupBy("slice").applyInArrow(add, "slice int, n long, sums binary").collect()))
+    got = sorted(map(tuple, rows.groupBy("slice").applyInArrow(merge, "slice int, n long, sums binary").collect()))
     sent.destroy()
     if not got:
         return 0
@@ -143,6 +178,15 @@ def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) ->
     return got[0][1]
 
 
+def train_model(train: DataFrame, pieces: Pieces, counts: np.ndarray, id_col: str = "doc_id") -> Model:
+    """The model after one pass over all windows of ``train``, in rounds."""
+    model, share, low = Model(counts), F.pmod(F.xxhash64(id_col), F.lit(ROUNDS[-1])), 0
+    for high, rate in zip(ROUNDS, RATES, strict=True):
+        train_round(train.where((share >= low) & (share < high)), pieces, model, rate)
+        low = high
+    return model
+
+
 def _row_ids() -> int:
     """The first row number of this task: rows are numbered by partition, whatever their ids."""
     from pyspark import TaskContext
@@ -150,7 +194,7 @@ def _row_ids() -> int:
     return (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
 
-def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, steps: int = STEPS) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     A null or empty text is one token, its end. Learns from the rows whose crc32(id) mod ``FOLDS``
@@ -162,37 +206,20 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
     small_batches(spark, 5000)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(id_col, FOLDS) == HELD_OUT).alias("held_out"))
     train = rows.where("not held_out")
-    words = train.select(F.explode(F.split(F.translate("text", _AZ, _az), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = Stage(words.groupBy("word").agg(F.count("*").alias("c")), "words")
+    counts = Stage(count_words(train.select("text")), "words")
     ends = train.count()
     total, kinds = counts.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
-    frequent = {r[0].encode(): r[1] for r in counts.df.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(top).toLocalIterator()}
-
-    pieces = Pieces(read_ranks(ranks_path), frequent)
-    few = train.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    sample = train.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= SAMPLE_BYTES).select("_id", "text")
-    drawn = sorted(map(tuple, sample.toLocalIterator()))
-    texts = [t.encode().lower().split() for _, t in drawn]
-    model, kept = Model(count_pairs(train, pieces)), max(1, len(texts) // 12)
-    model.train([np.array([i for w in t for i in pieces.word(w)] + [END]) for t in texts[kept:]], steps)
-    held_back = F.col("doc_id").isin([i for i, _ in drawn[:kept]])  # until the weight is fitted
-    rounds = train.withColumn("_round", F.when(held_back, ROUNDS - 1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))))
-    for k in range(ROUNDS - 1):
-        train_round(rounds.where(F.col("_round") == k), pieces, model, RATE * (1 - k / ROUNDS))
-    learnt = {"model": model, "counts": frequent, "ends": ends, "total": total}
-    other = {w for t in texts[:kept] for w in t} - frequent.keys()
-    wanted = spark.createDataFrame([(w.decode(),) for w in other], "word string")
-    rare = {r[0].encode(): r[1] for r in counts.df.join(F.broadcast(wanted), "word").select("word", "c").collect()}
-    learnt["share"] = share = fit_share(learnt | {"pieces": pieces, "counts": frequent | rare}, texts[:kept])
-    train_round(rounds.where(F.col("_round") == ROUNDS - 1), pieces, model, RATE / ROUNDS)
-    sent = spark.sparkContext.broadcast((learnt, pieces.number, ranks_of(pieces)))
+    pieces = Pieces(read_ranks(vocabulary_path))
+    model = train_model(train, pieces, pieces.choose(count_pieces(counts.df, pieces), ends))
+    sent = spark.sparkContext.broadcast(({"model": model, "counts": frequent_words(counts.df, top), "ends": ends}, ranks_of(pieces), pieces.number))
     state: dict = {}
 
     def run(batches):
         if not state:
-            learnt, number, ranks = sent.value
-            state.update(learnt, pieces=_executor_pieces(ranks, number))
+            learnt, *known = sent.value
+            state.update(learnt, pieces=Pieces(*known))
+            keep_memory()
         at = _row_ids()
         for batch in batches:
             ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
@@ -205,28 +232,17 @@ def score_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
                 cols = [
                     pa.concat_arrays([pa.array(row), pa.array(row[rare[0]])]), pa.concat_arrays([ids.slice(a, n), nulls[ids.type]]), pa.concat_arrays([held.slice(a, n), nulls[pa.bool_()]]),
                     *(pa.concat_arrays([pa.array(x), nulls[pa.int64()]]) for x in out[:2]), *(pa.concat_arrays([pa.array(x), nulls[pa.float64()]]) for x in out[2:]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]), pa.concat_arrays([pa.nulls(n, rare[3].type), rare[3]]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "n", "own"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "n"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = Stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, n long, own array<double>"), "scores")
-    met = scored.df.where("n is not null").select("row", "word", "n", "own").join(counts.df, "word", "left")
-    met = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_logs"), F.sum(_mixed(F.col("c"), F.col("own"), share, total)).alias("more_score"))
+    scored = Stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, n long"), "scores")
+    met = scored.df.where("n is not null").select("row", "word", "n").join(counts.df, "word")  # a word without a count adds log10(1)
+    met = met.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     out = scored.df.where("n is null").join(met, "row", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
-
-
-def _mixed(c: Column, own: Column, weight: float, total: int) -> Column:
-    """The sum of ``mix`` over a word's places, for a word counted ``c`` times (null: never)."""
-    counted = F.log10(c) + F.lit(float(np.log10(weight / max(1, total))))
-
-    def one(x: Column) -> Column:
-        rest = x + F.lit(float(np.log10(1 - weight)))
-        return F.when(c > 0, F.greatest(counted, rest) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(counted - rest)))).otherwise(rest)
-
-    return F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + one(x))
+    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def ranks_of(pieces: Pieces) -> dict[bytes, int]:
@@ -250,26 +266,25 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(number), ids, size
 
 
-def _pieces_of(pieces: Pieces, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and ends (number len(words)) of the texts in order, how many pieces each has, and the pieces."""
+def _pieces_of(pieces: Pieces, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of the texts laid end to end, each with its end, and how many each text has."""
     parts = [pieces.word(w) for w in words] + [[END]]
     width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(width.sum()))
     first = np.cumsum(width) - width
     stream = np.insert(ids, np.cumsum(size), len(words))  # an end after each text
     k = width[stream]
-    return stream, k, flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+    tokens = flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+    return tokens, np.add.reduceat(k, np.cumsum(size + 1) - size - 1) if len(size) else size
 
 
 def tokens_of(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of texts laid end to end, each with its end, and how many each text has."""
-    words, ids, size = _numbered(texts)
-    _, k, tokens = _pieces_of(pieces, words, ids, size)
-    return tokens, np.bincount(np.repeat(np.arange(len(size)), size + 1), weights=k, minlength=len(size)).astype(np.int64)
+    return _pieces_of(pieces, *_numbered(texts))
 
 
-def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray, pa.Array]]:
-    """n_tokens, known and log10(count + 1) sums and scores (frequent words and ends); and (text, word, n, own logs) of the other words."""
+def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """n_tokens, known and log10(count + 1) sums (frequent words and ends) and scores; and (text, word, n) of the other words."""
     words, ids, size = _numbered(texts)
     count_of = state["counts"].get
     c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
@@ -278,38 +293,8 @@ def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tup
     there = seen >= 0
     known = np.bincount(text[there], minlength=len(size)).astype(np.int64) + (state["ends"] > 0)
     logs = np.bincount(text[there], weights=np.log10(seen[there] + 1.0), minlength=len(size)) + np.log10(state["ends"] + 1.0)
-    words_logs, own_logs, owner, stream = _word_logs(state, words, c, ids, size)
-    there = np.append(c, 0)[stream] >= 0
-    score = np.bincount(owner[there], weights=mix(words_logs[there], own_logs[there], state["share"]), minlength=len(size))
-    key = owner[~there] * max(1, len(words)) + stream[~there]
-    order = np.argsort(key, kind="stable")
-    pair, n = np.unique(key, return_counts=True)
-    own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(own_logs[~there][order], pa.float64()))
-    rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64), own)
+    tokens, lengths = _pieces_of(state["pieces"], words, ids, size)
+    score = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(lengths) - lengths) if len(size) else np.zeros(0)
+    pair, n = np.unique(text[~there] * max(1, len(words)) + ids[~there], return_counts=True)
+    rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
     return [size + 1, known, logs, score], rare
-
-
-def _word_logs(state: dict, words: list[bytes], c: np.ndarray, ids: np.ndarray, size: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word and end of the texts: log10 of its share of the counted words (``less`` counts fewer), that of its pieces' product, its text, and its number."""
-    stream, k, tokens = _pieces_of(state["pieces"], words, ids, size)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    lengths = np.bincount(owner, weights=k, minlength=len(size)).astype(np.int64)
-    pieces = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(k) - k)
-    shares = np.maximum(np.append(c, state["ends"])[stream] - less, 0) / max(1, state["total"])
-    return np.log10(np.maximum(shares, 1e-300)), pieces, owner, stream
-
-
-def mix(shares: np.ndarray, pieces: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of weight * share + (1 - weight) * product."""
-    return np.logaddexp(shares * np.log(10) + np.log(weight), pieces * np.log(10) + np.log(1 - weight)) / np.log(10)
-
-
-def fit_share(state: dict, texts: list[list[bytes]]) -> float:
-    """The weight of counted shares that makes texts the model was not trained on likeliest; their own words count one less."""
-    if not texts:
-        return 0.3
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for t in texts for w in t], dtype=np.int64)
-    c = np.array([state["counts"].get(w, 0) for w in number], dtype=np.int64)
-    shares, pieces, *_ = _word_logs(state, list(number), c, ids, np.array([len(t) for t in texts]), less=1)
-    return max((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), key=lambda w: float(mix(shares, pieces, w).sum()))

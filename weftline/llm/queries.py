@@ -20,7 +20,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.lm_scoring import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
