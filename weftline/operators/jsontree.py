@@ -1,56 +1,65 @@
-"""JSON trees: flattening by level joins of variants, missing paths, merging and splitting."""
+"""JSON trees: flattening by a chain of variant explodes, missing paths, merging and splitting."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Levels of a tree that are exploded by the engine itself; what is nested deeper is folded in Arrow batches.
+LEVELS = 8
 
-def flatten(docs: DataFrame, id_col: str, json_col: str, most_depth: int = 64) -> DataFrame:
+
+def flatten(docs: DataFrame, id_col: str, json_col: str, levels: int = LEVELS) -> DataFrame:
     """(id, path, value): leaves with their path (array<string>, arrays by index) and JSON text; empty containers vanish.
 
-    One narrow pass per document: the fold is a pandas function over Arrow batches, so that no
-    level of the tree is shuffled.
+    Each level is one generator over the rows of the level above, in which leaves pass through: one
+    scan, nothing shuffled. Null and malformed texts have no leaves. A number keeps its value, not
+    its spelling.
     """
+    rows = docs.select(F.col(id_col), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(json_col)).alias("value")).where("value is not null")
+    for _ in range(levels):
+        view = f"_weftline_{uuid.uuid4().hex}"
+        rows.withColumn("nested", _nested()).createOrReplaceTempView(view)
+        rows = rows.sparkSession.sql(f"""select r.`{id_col}`, case when r.nested then concat(r.path, array(coalesce(e.key, cast(e.pos as string)))) else r.path end as path, case when r.nested then e.value else r.value end as value
+          from {view} r, lateral variant_explode_outer(case when r.nested then r.value end) e where not (r.nested and e.pos is null)""")
+        rows.sparkSession.catalog.dropTempView(view)
+    rows = rows.select(id_col, "path", F.to_json("value").alias("value"), _nested().alias("_nested"))
+    kind = dict(docs.dtypes)[id_col]
 
-    def leaves(v, path):
-        rows = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else None
-        if rows is None:
-            yield path, json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-        else:
-            for k, x in rows:
-                yield from leaves(x, [*path, str(k)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, p, n, v) for i, t in zip(pdf[id_col], pdf[json_col], strict=True) if t is not None for n, (p, v) in enumerate(leaves(_load(t), []))]
-            yield pd.DataFrame(out, columns=[id_col, "path", "ord", "value"])
+            out = [(i, [*p, *q], v) for i, p, t in zip(pdf[id_col], pdf["path"], pdf["value"], strict=True) for q, v in _leaves(json.loads(t), [])]
+            yield pd.DataFrame(out, columns=[id_col, "path", "value"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, json_col).mapInPandas(run, f"{id_col} {kind}, path array<string>, ord int, value string")
+    rest = rows.where("_nested").select(id_col, "path", "value").mapInPandas(deeper, f"`{id_col}` {kind}, path array<string>, value string")
+    return rows.where("not _nested").select(id_col, "path", "value").unionByName(rest)
 
 
-def flatten_native(docs: DataFrame, id_col: str, variant_col: str, levels: int) -> DataFrame:
-    """The same for trees of a known depth, by variant_explode: one generator a level, JVM only."""
-    rows = docs.select(id_col, F.array().cast("array<string>").alias("path"), F.col(variant_col).alias("value"))
-    done = None
-    for level in range(levels + 1):
-        kind = F.schema_of_variant("value")
-        nested = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
-        leaf = rows.where(~nested).select(id_col, "path", F.to_json("value").alias("value"))
-        done = leaf if done is None else done.unionByName(leaf)
-        if level < levels:
-            rows.createOrReplaceTempView("_weftline_level")
-            rows = rows.sparkSession.sql(f"select r.{id_col}, concat(r.path, array(coalesce(e.key, cast(e.pos as string)))) as path, e.value from _weftline_level r, lateral variant_explode(r.value) e")
-    return done
+def _nested():
+    kind = F.schema_of_variant("value")
+    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
 
-def _load(text: str):
-    return json.loads(text)
+def _leaves(v, path):
+    rows = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else None
+    if rows is None:
+        yield path, json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    else:
+        for k, x in rows:
+            yield from _leaves(x, [*path, str(k)])
+
+
+def _load(text: str | None):
+    """A text's tree, None if it is null or malformed."""
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
 
 
 def missing_paths(source: DataFrame, target: DataFrame, id_col: str) -> DataFrame:
@@ -70,7 +79,9 @@ def deep_merge(target, source):
 
 
 def find_missing(source, target):
-    """What of the source's tree the target lacks, None if nothing; the topmost missing key carries its whole subtree."""
+    """What of the source's tree the target lacks, None if nothing or if it is a scalar; the topmost missing key carries its whole subtree."""
+    if not isinstance(source, dict | list):
+        return None
     out = {}
     rows = source.items() if isinstance(source, dict) else ((str(k), v) for k, v in enumerate(source))
     keyed = target if isinstance(target, dict) else {str(k): v for k, v in enumerate(target)} if isinstance(target, list) else {}
@@ -128,7 +139,7 @@ def split_tree(tree, kilobytes: float = 20) -> list[dict]:
 
 
 def map_pairs(df: DataFrame, left: str, right: str, carry: list[str], how: str) -> DataFrame:
-    """Merges ('merge') or subtracts ('missing') two JSON columns row by row, in Arrow batches."""
+    """Merges ('merge') or subtracts ('missing') two JSON columns row by row, in Arrow batches; null and malformed texts count as null."""
     act = {"merge": deep_merge, "missing": find_missing}[how]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

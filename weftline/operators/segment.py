@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank, java_pattern
@@ -30,10 +30,10 @@ def explode_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> D
     return docs.select(id_col, F.posexplode(chunks).alias("pos", "chunk"))
 
 
-def number_chunks(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Drops blank chunks and numbers the others of each document from 1."""
-    order = Window.partitionBy(id_col).orderBy("pos")
-    return chunks.where(~is_blank(F.col("chunk"))).withColumn("chunk_no", F.row_number().over(order))
+def numbered_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk_no, chunk): chunks that are not blank, numbered from 1 in each document. Blank ones go before the explode, so nothing is shuffled."""
+    kept = F.filter(chunks, lambda x: ~is_blank(x))
+    return docs.select(id_col, F.posexplode(kept).alias("_pos", "chunk")).select(id_col, (F.col("_pos") + 1).alias("chunk_no"), "chunk")
 
 
 def named_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
@@ -48,16 +48,16 @@ def first_chunk(chunks: Column) -> Column:
 def size_parts(text: Column, most_bytes: float) -> Column:
     """Packs whole lines (with their newline) into parts of at most so many bytes; a longer line is a part of its own.
 
-    A fold over the lines, as the count starts anew with each part.
+    One fold over the lines keeps where each part ends (in characters), and the text is cut there.
     """
     lines = F.regexp_extract_all(text, F.lit(r"(?s)[^\n]*\n|[^\n]+$"), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
     def step(acc: Column, line: Column) -> Column:
-        new = (acc["part"] < 0) | ((acc["n"] > 0) & (acc["n"] + F.octet_length(line) > most_bytes))
-        part = F.when(new, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(F.when(new, F.octet_length(line).cast("long")).otherwise(acc["n"] + F.octet_length(line)).alias("n"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+        size = F.octet_length(line).cast("long")
+        over = (acc["n"] > 0) & (acc["n"] + size > most_bytes)
+        return F.struct(F.when(over, size).otherwise(acc["n"] + size).alias("n"), (acc["at"] + F.char_length(line)).alias("at"), F.when(over, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"))
 
-    where = F.aggregate(lines, start, step)["parts"]
-    pairs = F.arrays_zip(where.alias("p"), lines.alias("l"))
-    return F.transform(F.array_distinct(where), lambda k: F.array_join(F.transform(F.filter(pairs, lambda x: x["p"] == k), lambda x: x["l"]), ""))
+    cut = lambda s: F.zip_with(F.concat(F.array(F.lit(0)), s["cuts"]), F.concat(s["cuts"], F.array(s["at"])), lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+    where = F.aggregate(lines, start, step, cut)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(where, lambda w: F.substring(text, w["from"] + 1, w["to"] - w["from"])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import graphemes, is_blank, normalize
 from weftline.operators.jsonl import BODY, number_at, result_code, text_at
+from weftline.sources.staging import staged
 
 #: Costs are summed as integers of a billionth.
 NANO = 1_000_000_000
@@ -22,12 +23,15 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def line_averages(text: Column) -> tuple[Column, Column]:
-    """Mean graphemes and mean bytes of a text's lines that are not blank, rounded half up; 0 without any. No explode."""
-    lines = F.filter(F.split(normalize(text), "\n", -1), lambda x: ~is_blank(x))
-    total = lambda f: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + f(x))
-    mean = lambda s: F.when(F.size(lines) > 0, half_up(s / F.size(lines))).otherwise(F.lit(0)).cast("long")
-    return mean(total(graphemes)), mean(total(F.octet_length))
+def line_averages(text: Column) -> Column:
+    """struct(graphemes, bytes): means over a text's lines that are not blank, rounded half up; 0 without any. One fold, no explode."""
+    start = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("n", "graphemes", "bytes")))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(is_blank(x), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["graphemes"] + graphemes(x)).alias("graphemes"), (a["bytes"] + F.octet_length(x)).alias("bytes")))
+
+    mean = lambda s, k: F.when(s["n"] > 0, half_up(s[k] / s["n"])).otherwise(F.lit(0)).cast("long").alias(k)
+    return F.aggregate(F.split(normalize(text), "\n", -1), start, step, lambda s: F.struct(mean(s, "graphemes"), mean(s, "bytes")))
 
 
 def token_stats(counts: DataFrame) -> DataFrame:
@@ -36,7 +40,11 @@ def token_stats(counts: DataFrame) -> DataFrame:
 
 
 def token_outliers(counts: DataFrame) -> DataFrame:
-    """Rows of at least twice or three times the median; the one-row median is broadcast."""
+    """Rows of at least twice or three times the median; the one-row median is broadcast.
+
+    The counts are written once and read for both, so that no text is counted twice.
+    """
+    counts = staged(counts, "tokens")
     m = counts.agg(F.median("tokens").alias("median"))
     rows = counts.crossJoin(F.broadcast(m))
     return rows.withColumn("outlier", F.when(F.col("tokens") >= 3 * F.col("median"), "triple").when(F.col("tokens") >= 2 * F.col("median"), "double")).where("outlier is not null").drop("median")

@@ -79,7 +79,7 @@ def fixed(spark, sf_dir, lines=5):
 def compile_fixed(spark, sf_dir):
     """Documents, five lines a chunk, to chat request lines."""
     docs, chunks = fixed(spark, sf_dir)
-    return request.compile_requests(segment.number_chunks(segment.explode_chunks(docs, chunks)))
+    return request.compile_requests(segment.numbered_chunks(docs, chunks))
 
 
 _PATTERN = r"^[A-D]\w+"
@@ -91,7 +91,7 @@ c AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS chunk FROM n)
 def compile_regex(spark, sf_dir):
     """The same, cut where lines begin with a word in A to D."""
     docs, _ = fixed(spark, sf_dir)
-    return request.compile_requests(segment.number_chunks(segment.explode_chunks(docs, segment.pattern_chunks(F.col("text"), _PATTERN))))
+    return request.compile_requests(segment.numbered_chunks(docs, segment.pattern_chunks(F.col("text"), _PATTERN)))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, 'chunk-' || (pos + 1) AS chunk_name, chunk FROM c WHERE {NOT_BLANK.format('chunk')}")
@@ -188,7 +188,7 @@ def double_newline(spark, sf_dir):
     return junk(spark, sf_dir).select("doc_id", tx.double_newlines(F.col("text")).alias("text"))
 
 
-_TAGGED = "concat('<think>', substr(text, 1, 40), '</think>', text, '<think> \n </think><think></think><think> kept ', doc_id, ' </think>')"
+_TAGGED = "concat('<think>', text, '</think>', text, '<think> \n </think><think></think><think> kept ', doc_id, ' </think>')"
 
 
 @query(f"SELECT doc_id, regexp_replace(t, '(?s)<think>.*?</think>', '', 'g') AS text FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
@@ -198,31 +198,16 @@ def tag_delete(spark, sf_dir):
 
 @query(rf"SELECT doc_id, array_to_string([regexp_replace(x, '\A\s+|\s+\z', '', 'g') for x in regexp_extract_all(t, '(?s)<think>(.*?)</think>', 1) if x <> ''], chr(10) || chr(10)) AS text FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
 def tag_extract(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", tx.extract_tagged(F.expr(_TAGGED), "<think>", "</think>").alias("text"))
-
-
-_WHOLE = "concat('<think>', text, '</think>', text, '<think> \n </think><think></think><think> kept ', doc_id, ' </think>')"
-
-
-@query(rf"SELECT doc_id, array_to_string([regexp_replace(x, '\A\s+|\s+\z', '', 'g') for x in regexp_extract_all(t, '(?s)<think>(.*?)</think>', 1) if x <> ''], chr(10) || chr(10)) AS text FROM (SELECT doc_id, {_WHOLE} AS t FROM documents)")
-def tag_extract_whole(spark, sf_dir):
     """Whole texts stand between the tags."""
-    return load(spark, sf_dir, "documents").select("doc_id", tx.extract_tagged(F.expr(_WHOLE), "<think>", "</think>").alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.extract_tagged(F.expr(_TAGGED), "<think>", "</think>").alias("text"))
 
 
 _TEMPLATE = "From {{ .Source }} in {{.Lang}}: {{ .Text }} ({{ .Unknown }})"
 
 
-@query("SELECT doc_id, 'From ' || source || ' in ' || lang || ': ' || substr(text, 1, 30) || ' {{ .Lang }} ({{ .Unknown }})' AS text FROM documents")
-def template_fill(spark, sf_dir):
-    """Values are not expanded again, and unknown keys stay."""
-    values = {"Source": F.col("source"), "Lang": F.col("lang"), "Text": F.concat(F.substring("text", 1, 30), F.lit(" {{ .Lang }}"))}
-    return load(spark, sf_dir, "documents").select("doc_id", tx.fill_template(F.lit(_TEMPLATE), values).alias("text"))
-
-
 @query("SELECT doc_id, 'From ' || source || ' in ' || lang || ': ' || text || ' {{ .Lang }} ({{ .Unknown }})' AS text FROM documents")
-def template_fill_whole(spark, sf_dir):
-    """Whole texts are put in."""
+def template_fill(spark, sf_dir):
+    """Whole texts are put in; values are not expanded again, and unknown keys stay."""
     values = {"Source": F.col("source"), "Lang": F.col("lang"), "Text": F.concat("text", F.lit(" {{ .Lang }}"))}
     return load(spark, sf_dir, "documents").select("doc_id", tx.fill_template(F.lit(_TEMPLATE), values).alias("text"))
 
@@ -232,8 +217,8 @@ _LINES_SQL = f"SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split({NORM.f
 
 @query(f"SELECT d.doc_id, coalesce(floor(avg(length_grapheme(l)) + 0.5), 0)::BIGINT AS mean_graphemes, coalesce(floor(avg(strlen(l)) + 0.5), 0)::BIGINT AS mean_bytes FROM documents d LEFT JOIN ({_LINES_SQL}) x USING (doc_id) GROUP BY d.doc_id")
 def avg_line_length(spark, sf_dir):
-    a, b = stats.line_averages(F.col("text"))
-    return junk(spark, sf_dir).select("doc_id", a.alias("mean_graphemes"), b.alias("mean_bytes"))
+    means = junk(spark, sf_dir).select("doc_id", stats.line_averages(F.col("text")).alias("m"))
+    return means.select("doc_id", F.col("m.graphemes").alias("mean_graphemes"), F.col("m.bytes").alias("mean_bytes"))
 
 
 _TOKENS = "(SELECT doc_id, ceil(2.0 * len(regexp_extract_all(text, '[#*0-9]')) + len(regexp_replace(text, '[#*0-9]', '', 'g')) / 4.0)::BIGINT AS tokens FROM documents)"
@@ -368,25 +353,13 @@ def retry_pending(spark, sf_dir):
     return resume.pending_retry(q, s, s.where("toxic = 1"))
 
 
-_RETRY = """o AS (SELECT 'request-' || (doc_id % 400) AS custom_id, doc_id AS line_no, 'old ' || doc_id AS line, doc_id % 3 = 0 AS is_error FROM documents WHERE doc_id < 500),
-r AS (SELECT 'request-' || (doc_id % 450) AS custom_id, doc_id AS line_no, 'new ' || doc_id AS line, doc_id % 4 = 0 AS is_error FROM documents WHERE doc_id % 2 = 0)"""
+_RETRY = """o AS (SELECT 'request-' || (doc_id // 3) AS custom_id, doc_id AS line_no, 'old ' || text AS line FROM documents),
+r AS (SELECT 'request-' || (doc_id // 2) AS custom_id, doc_id AS line_no, 'new ' || text AS line, doc_id % 3 = 0 AS is_error FROM documents)"""
 
 
 @query(f"""WITH {_RETRY}, g AS (SELECT custom_id, arg_max(line, line_no) AS new, arg_max(is_error, line_no) AS bad, min(line_no) AS first FROM r GROUP BY 1), k AS (SELECT * FROM g WHERE NOT bad)
 SELECT coalesce(new, line) AS line, 0 AS part, line_no AS ord FROM o LEFT JOIN k USING (custom_id) UNION ALL SELECT new, 1, first FROM k WHERE custom_id NOT IN (SELECT custom_id FROM o)""")
 def merge_retries(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    rows = lambda m, name, bad: d.select(F.concat(F.lit("request-"), F.col("doc_id") % m).alias("custom_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit(name), "doc_id").alias("line"), (F.col("doc_id") % bad == 0).alias("is_error"))
-    return resume.merge_retries(rows(400, "old ", 3).where("line_no < 500"), rows(450, "new ", 4).where("line_no % 2 = 0"))
-
-
-_RETRY_ALL = """o AS (SELECT 'request-' || (doc_id // 3) AS custom_id, doc_id AS line_no, 'old ' || text AS line FROM documents),
-r AS (SELECT 'request-' || (doc_id // 2) AS custom_id, doc_id AS line_no, 'new ' || text AS line, doc_id % 3 = 0 AS is_error FROM documents)"""
-
-
-@query(f"""WITH {_RETRY_ALL}, g AS (SELECT custom_id, arg_max(line, line_no) AS new, arg_max(is_error, line_no) AS bad, min(line_no) AS first FROM r GROUP BY 1), k AS (SELECT * FROM g WHERE NOT bad)
-SELECT coalesce(new, line) AS line, 0 AS part, line_no AS ord FROM o LEFT JOIN k USING (custom_id) UNION ALL SELECT new, 1, first FROM k WHERE custom_id NOT IN (SELECT custom_id FROM o)""")
-def merge_retries_whole(spark, sf_dir):
     """Every document is an original and a retry; ids repeat on both sides, and a third of the retried ids are new."""
     d = load(spark, sf_dir, "documents")
     rows = lambda m, name, bad: d.select(F.concat(F.lit("request-"), F.expr(f"doc_id div {m}")).alias("custom_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit(name), "text").alias("line"), (F.col("doc_id") % bad == 0).alias("is_error"))
