@@ -388,7 +388,7 @@ def test_lm_words_and_pieces(spark):
     path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(6)
     rows = [(i, text(rng, rng.randint(0, 30))) for i in range(50)] + [(50, None), (51, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    counts = lm.count_words(docs.select("text"))
+    counts = lm.count_words(docs.select("text"), True)
     every = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
     assert {r.word.encode(): r.c for r in counts.collect()} == every
     pieces = lm.Pieces(lm.read_ranks(path))
@@ -396,9 +396,9 @@ def test_lm_words_and_pieces(spark):
     assert lm.count_pieces(counts, pieces) == want
     reduced = pieces.choose(want, 52)
     assert reduced[lm.END] == 52 and reduced.sum() == 52 + sum(n * len(pieces.word(w)) for w, n in every.items())
-    some = lm.frequent_words(counts, 5)
+    some = lm.frequent_words(counts, 5, 64)
     assert len(some) <= 5 and all(every[w] == n for w, n in some.items()) and min(some.values(), default=9) >= max(n for w, n in every.items() if w not in some)
-    assert lm.frequent_words(counts, 99) == every and lm.frequent_words(counts.where("c < 0"), 9) == {}
+    assert lm.frequent_words(counts, 99, 64) == every and lm.frequent_words(counts.where("c < 0"), 9, 64) == {}
     a, b = ({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs, path, top=n).collect()} for n in (1, 99))
     assert a == b
     none = lm.score_documents(docs.limit(0), path)

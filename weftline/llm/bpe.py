@@ -19,9 +19,8 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, small_batches, with_columns
+from weftline.llm.common import Stage, chunks, count_words, frequent_words, small_batches, with_columns
 
 #: Frequent words in the transducer, at most, and the longest of them in bytes.
 LEXICON, LONGEST = 32_768, 48
@@ -29,6 +28,7 @@ LEXICON, LONGEST = 32_768, 48
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Fixed: bytes that a byte-level vocabulary shows as themselves; the others stand as letters from U+0100 on, in order.
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself if visible, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -268,11 +268,12 @@ class Encoder:
         return [(sum([size[p] for p in row]), sha(",".join([shown[p] for p in row]).encode()).hexdigest(), sha(b"".join([back[p] for p in row]).decode("utf-8", "replace").encode()).hexdigest()) for row in rows]
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, at most ``most`` (ties by the word); no longer than LONGEST bytes."""
-    words = docs.select(F.explode(F.split(F.col(text_col), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    top = words.groupBy("w").count().where(F.octet_length("w") < LONGEST).orderBy(F.desc("count"), "w").limit(most)
-    return sorted(r[0] for r in top.select("w").toLocalIterator())
+def corpus_words(docs: DataFrame, most: int = LEXICON, text_col: str = "text") -> list[str]:
+    """The most frequent words of all texts, at most ``most`` and shorter than LONGEST bytes, sorted."""
+    counts = Stage(count_words(docs.select(text_col), False), "words")
+    found = sorted(w.decode() for w in frequent_words(counts.df, most, LONGEST - 1))
+    counts.drop()
+    return found
 
 
 def build_lexicon(vocabulary: Vocabulary, words: list[str]) -> dict[str, np.ndarray]:
@@ -295,7 +296,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] =
     small_batches(docs.sparkSession)
     raw = open(tokenizer_path, "rb").read()  # noqa: SIM115
     vocabulary = Vocabulary(raw)
-    sent = docs.sparkSession.sparkContext.broadcast((raw, pack(build_lexicon(vocabulary, frequent_words(docs, lexicon, text_col)))))
+    sent = docs.sparkSession.sparkContext.broadcast((raw, pack(build_lexicon(vocabulary, corpus_words(docs, lexicon, text_col)))))
     names, state = list(carry), {}
 
     def run(batches):

@@ -7,8 +7,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; ``bytes.split()`` splits on exactly those si
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,38 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
+from weftline.sources.staging import delete, fresh_path
+
+#: Distinct words that a task counts before it sends them.
+HELD_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        _fallback[app] = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(_fallback[app])
-    return _fallback[app]
-
-
 class Stage:
-    """A table written to the shared folder: cuts lineage, survives lost executors, can be dropped."""
+    """A table written to the shared folder: cuts lineage, survives lost executors, can be dropped; what is left is deleted when the driver ends."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, schema = df.sparkSession, df.schema
-        self.path = f"{shared_dir(self.spark)}/weftline/{name}-{uuid.uuid4().hex}"
+        self.path = fresh_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
@@ -83,6 +71,41 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def count_words(texts: DataFrame, lower: bool) -> DataFrame:
+    """(word, c) of all words of the only column, A-Z lower-cased if so asked; each task adds up its own before the shuffle."""
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def send():
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            held.clear()
+
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                held.update((t.lower() if lower else t).split())
+                if len(held) > HELD_WORDS:
+                    yield from send()
+        yield from send()
+
+    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def frequent_words(counts: DataFrame, most: int, longest: int) -> dict[bytes, int]:
+    """The words (word, c) that stand so often that no more than ``most`` do, with their counts; none longer than ``longest`` bytes.
+
+    The limit is found from numbers of words by bands of counts (16 to a doubling), never by a sort:
+    words of one band stay or go together, so that fewer than ``most`` may come back.
+    """
+    rows = counts.where(F.octet_length("word") <= longest).withColumn("_band", F.floor(16 * F.log2(F.col("c"))))
+    left, least = most, None
+    for band, n in sorted((tuple(r) for r in rows.groupBy("_band").count().collect()), reverse=True):  # at most 16 * 63 bands
+        if n > left:
+            break
+        left, least = left - n, band
+    return {} if least is None else {r[0].encode(): r[1] for r in rows.where(F.col("_band") >= least).select("word", "c").collect()}
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), for arrays of uint64."""
     x = x ^ (x >> np.uint64(32))

@@ -21,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Stage, chunks, crc_mod, small_batches, text_bytes
+from weftline.llm.common import HELD_WORDS, Stage, chunks, count_words, crc_mod, frequent_words, small_batches, text_bytes
 from weftline.llm.lm_model import VOCABULARY, Model, keep_memory
 
 #: Words that are broadcast, at most, and their length in bytes.
 TOP, LONGEST = 262_144, 64
-#: Distinct words that a task counts before it sends them.
-HELD_WORDS = 400_000
 #: Where rounds of training end, in sixteenths of the rows; the rates of the rounds; slices that weights are averaged in.
 ROUNDS, RATES, SLICES = (1, 2, 4, 8, 16), (0.01, 0.006, 0.004, 0.002, 0.001), 16
 #: Remainder of crc32(doc_id) that is held out.
@@ -93,40 +91,6 @@ class Pieces:
         return out
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) of all words of the only column, lower-cased; each task adds up its own before the shuffle."""
-
-    def run(batches):
-        held: Counter = Counter()
-
-        def send():
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-            held.clear()
-
-        for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                held.update(t.lower().split())
-                if len(held) > HELD_WORDS:
-                    yield from send()
-        yield from send()
-
-    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def frequent_words(counts: DataFrame, most: int = TOP, longest: int = LONGEST) -> dict[bytes, int]:
-    """The words that stand so often that no more than ``most`` do, with their counts.
-
-    The limit is found from numbers of words by bands of counts (16 to a doubling), never by a sort.
-    """
-    rows = counts.where(F.octet_length("word") <= longest).withColumn("_band", F.floor(16 * F.log2(F.col("c"))))
-    left, least = most, None
-    for band, n in sorted((tuple(r) for r in rows.groupBy("_band").count().collect()), reverse=True):
-        if n > left:
-            break
-        left, least = left - n, band
-    return {} if least is None else {r[0].encode(): r[1] for r in rows.where(F.col("_band") >= least).select("word", "c").toLocalIterator()}
-
-
 def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
     """How often each piece of the tokenizer stands in all counted words; at most a row for each piece comes back."""
     sent = counts.sparkSession.sparkContext.broadcast(ranks_of(pieces))
@@ -206,13 +170,13 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     small_batches(spark, 5000)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(id_col, FOLDS) == HELD_OUT).alias("held_out"))
     train = rows.where("not held_out")
-    counts = Stage(count_words(train.select("text")), "words")
+    counts = Stage(count_words(train.select("text"), True), "words")
     ends = train.count()
     total, kinds = counts.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     pieces = Pieces(read_ranks(vocabulary_path))
     model = train_model(train, pieces, pieces.choose(count_pieces(counts.df, pieces), ends))
-    sent = spark.sparkContext.broadcast(({"model": model, "counts": frequent_words(counts.df, top), "ends": ends}, ranks_of(pieces), pieces.number))
+    sent = spark.sparkContext.broadcast(({"model": model, "counts": frequent_words(counts.df, top, LONGEST), "ends": ends}, ranks_of(pieces), pieces.number))
     state: dict = {}
 
     def run(batches):
@@ -289,12 +253,12 @@ def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tup
     count_of = state["counts"].get
     c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
     text = np.repeat(np.arange(len(size)), size)
-    seen = c[ids] if len(ids) else np.zeros(0, dtype=np.int64)
-    there = seen >= 0
-    known = np.bincount(text[there], minlength=len(size)).astype(np.int64) + (state["ends"] > 0)
-    logs = np.bincount(text[there], weights=np.log10(seen[there] + 1.0), minlength=len(size)) + np.log10(state["ends"] + 1.0)
+    there, log = c >= 0, np.log10(np.maximum(c, 0) + 1.0)  # a word without a count adds 0
+    rare = np.flatnonzero(~there[ids])
+    known = size - np.bincount(text[rare], minlength=len(size)) + (state["ends"] > 0)
+    logs = np.bincount(text, weights=log[ids], minlength=len(size)) + np.log10(state["ends"] + 1.0)
     tokens, lengths = _pieces_of(state["pieces"], words, ids, size)
     score = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(lengths) - lengths) if len(size) else np.zeros(0)
-    pair, n = np.unique(text[~there] * max(1, len(words)) + ids[~there], return_counts=True)
+    pair, n = np.unique(text[rare] * max(1, len(words)) + ids[rare], return_counts=True)
     rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
     return [size + 1, known, logs, score], rare
