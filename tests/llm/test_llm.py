@@ -161,7 +161,63 @@ def test_mixing(docs):
     for s in size:
         assert abs(taken[s] - target[s]) <= largest[s]
     assert math.isclose(sum(target.values()), 1.5 * sum(size.values()))
-    assert mixing.targets([("b", 10), ("a", 10), (None, 5)]) == {"a": 20.0, "b": pytest.approx(17.5 * 2 / 3), None: pytest.approx(17.5 / 3)}
+
+
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0):
+    """Targets by sharing, capping and sharing anew."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, left, free = {}, budget * sum(sizes.values()), list(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        out |= {s: most * sizes[s] for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        free = [s for s in free if s not in over]
+    return out
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(2)
+    for k in range(4):
+        sizes = {f"s{i:02}é" if i % 2 else f"S{i}": rng.choice([0, 1, 5, 40, 900]) for i in range(3 + 9 * k)} | {None: 7}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = plain_targets(sizes)
+        assert {r.source for r in got} == set(want) and all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in got)
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
+def test_rounding_keeps_expectations():
+    """Over many seeds each fraction is rounded up as often as it says, and the words taken stay but for the row that is left."""
+    rng = np.random.default_rng(1)
+    size, part = np.sort(rng.integers(1, 60, 14)), rng.uniform(0.05, 0.95, 14)
+    ups = np.zeros(14)
+    for seed in range(4000):
+        p, kept = mixing.round_block(size, part, seed)
+        assert sum(0 < x < 1 for x in p) <= 1 and math.isclose((p * size).sum(), (part * size).sum())
+        ups += p
+    assert np.abs(ups / 4000 - part).max() < 0.04
+
+
+def test_mixing_tree_and_repeats(spark, monkeypatch):
+    """More than one level of the tree, a hot source, and repeated rows that draw numbers of their own; reruns agree."""
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rng = random.Random(12)
+    rows = [(i, text(rng, rng.randint(1, 40)), "hot" if i % 3 else f"s{i % 5}") for i in range(700)] + [(9_000, "the same words", None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, again = (Counter(map(tuple, mixing.mix_sources(d).collect())) for d in (docs.repartition(6), docs.repartition(2)))
+    assert got == again and sum(got.values()) == 1000
+    sizes, taken, target = Counter(), Counter(), {}
+    of = {i: s for i, _, s in rows}
+    for (i, size, _, goal, _, took), n in got.items():
+        sizes[of[i]] += n * size
+        taken[of[i]] += n * took
+        target[of[i]] = goal
+    want = plain_targets(sizes)
+    assert all(math.isclose(target[s], want[s], abs_tol=1e-6) and abs(taken[s] - want[s]) <= 40 for s in want)
+    assert len({took for (i, _, _, _, _, took) in got if i == 9_000}) > 1 or target[None] in (0, 2 * sizes[None])
 
 
 def test_quality(docs, labels):

@@ -19,30 +19,34 @@ from weftline.llm.common import Stage
 
 #: Documents that one block rounds, about; the fan-in of the tree.
 BLOCK = 4096
-#: Rounded-up rows (12 bytes each) that are broadcast, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 WEIGHTS, BUDGET, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES) -> dict[str | None, float]:
-    """The target of each source: weights repeat over sources by code point, null last.
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES) -> DataFrame:
+    """(source, source_size, target) of sizes (source, source_size): weights repeat over sources by code point, null last.
 
-    A source's share stops at ``most`` times its size; what it leaves is shared anew, by weight,
-    among the others. One row for each source is all that is held.
+    A source's share is its weight times a level, and stops at ``most`` times its size; what that
+    leaves raises the level of the others, until no further source stops. Only sums come to the
+    driver; sources are numbered by ranges, so that no task holds them all.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
-    size = {s: float(n) for s, n in order}
-    out, left, free = {}, budget * sum(size.values()), [s for s, _ in order]
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > most * size[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in free}
-        out |= {s: most * size[s] for s in over}
-        left -= sum(most * size[s] for s in over)
-        free = [s for s in free if s not in over]
-    return out
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = Stage(sizes.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_at")), "sources")
+    begins = parts.df.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    begins = begins.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_begin"))  # a row for each range
+    rank = F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    ranked = parts.df.withColumn("_p", F.shiftright("_at", 33)).join(begins, "_p").select("source", "source_size", weight.alias("_w"), (F.col("source_size") * most / weight).alias("_stop"))
+    rows, level = Stage(ranked, "weights"), -1.0
+    parts.drop()
+    while True:
+        free = F.col("_stop") >= level
+        total, taken, w = rows.df.agg(F.sum("source_size"), F.sum(F.when(~free, F.col("source_size") * most)), F.sum(F.when(free, F.col("_w")))).first()
+        new = max(level, (budget * (total or 0) - (taken or 0.0)) / w) if w else float("inf")
+        if new <= level:
+            break
+        level = new
+    stopped = F.col("_stop") < level
+    return rows.df.select("source", "source_size", F.when(stopped, F.col("source_size") * most).otherwise(F.col("_w") * level).alias("target"))
 
 
 def _settle(p: float) -> float:
@@ -105,6 +109,17 @@ def _rounder(level: int, last: bool):
     return run
 
 
+def _own_hashes(rows: DataFrame) -> DataFrame:
+    """The rows (_row, _source, size, part, hash), the k-th of those with one hash under the hash of both, so that each draws its own numbers.
+
+    Ranks are counted inside the row's partition and offset by the counts of earlier ones, so that no task meets all repeats.
+    """
+    rows = rows.withColumn("_p", F.shiftright("_row", 33))
+    before = rows.groupBy("hash", "_p").agg(F.count("*").alias("_n")).select("hash", "_p", (F.sum("_n").over(Window.partitionBy("hash").orderBy("_p")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("hash", "_p").orderBy("_row")) + F.col("_before")
+    return rows.join(before, ["hash", "_p"]).select("_row", F.xxhash64("hash", rank).alias("hash"), "_source", "size", "part")
+
+
 def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's id (and ``carry``), size, source_size, target, copies and taken = copies * size.
 
@@ -112,28 +127,22 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     is a source of its own, last. Repeated rows are documents of their own and are rounded apart.
     All random numbers follow from hashes of ids and texts, so that reruns agree. No rows give none.
     """
-    spark, keep = docs.sparkSession, [id_col, *(c for c in carry if c != id_col)]
+    keep = [id_col, *(c for c in carry if c != id_col)]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(source_col).alias("_source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
-    held = Stage(base, "sizes")
-    sizes = [(r[0], r[1]) for r in held.df.groupBy("_source").agg(F.sum("size")).toLocalIterator()]  # one row for each source
-    goal = targets(sizes, weights, budget, most)
-    plan = spark.createDataFrame([(s, int(n), float(goal[s])) for s, n in sizes], "_s string, source_size long, target double")
+    held = Stage(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(source_col).alias("_source"), size.alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash")), "sizes")
+    plan = targets(held.df.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, budget, most)
+    plan = plan.withColumnRenamed("source", "_s")
     want = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    rows = held.df.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("copies", F.floor(want)).withColumn("part", want - F.floor(want))
-    # repeated rows share a hash and are told apart by their rank, so that each draws its own numbers
-    same = Window.partitionBy("hash").orderBy("_row")
-    whole = Stage(rows.where("part > 0 and part < 1").select("_row", "_source", "size", "part", "hash").withColumn("hash", F.xxhash64("hash", F.row_number().over(same))), "parts")
-    parts = whole.df.select("_row", "hash", "_source", "size", "part")
-    done, level = [], 0
+    # joins with a row for each source take no hint: Spark broadcasts those that are small, and splits hot sources of others
+    rows = held.df.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("copies", F.floor(want)).withColumn("part", want - F.floor(want))
+    whole = Stage(_own_hashes(rows.where("part > 0 and part < 1").select("_row", "_source", "size", "part", "hash")), "parts")
+    parts, done, made, level = whole.df, [], [], 0
     while True:
-        counts = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.count("*")).toLocalIterator()}
-        blocks = {s: max(1, -(-n // BLOCK)) for s, n in counts.items()}
-        last = max(blocks.values(), default=1) == 1
-        cut = spark.createDataFrame([(s, b) for s, b in blocks.items()] or [(None, 1)], "_s string, _b int")
-
-        dealt = parts.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_s"))).select("_row", "hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
+        blocks = parts.groupBy(F.col("_source").alias("_s")).agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
+        last = (blocks.agg(F.max("_b")).first()[0] or 1) == 1
+        dealt = parts.join(blocks, F.col("_source").eqNullSafe(F.col("_s"))).select("_row", "hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
         out = Stage(dealt.groupBy("_source", "_block").applyInPandas(_rounder(level, last), "_row long, hash long, _source string, size long, part double"), f"round{level}")
+        made.append(out)
         done.append(out.df.where("part >= 1").select("_row"))
         if last:
             break
@@ -141,9 +150,8 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     extra = done[0]
     for d in done[1:]:
         extra = extra.unionByName(d)
-    whole.drop()
-    extra = Stage(extra.withColumn("_more", F.lit(1)), "extra").df
-    if extra.count() <= BROADCAST_ROWS:  # then the carried texts stay where they are
-        extra = F.broadcast(extra)
-    out = rows.join(extra, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
+    extra = Stage(extra.withColumn("_more", F.lit(1)), "extra")
+    for stage in (whole, *made):
+        stage.drop()
+    out = rows.join(extra.df, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
