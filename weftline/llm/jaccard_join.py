@@ -29,6 +29,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -44,8 +45,8 @@ REGION_NODES, REGION_SHINGLES = 6000, 6_000_000
 GROUP = 4096
 #: Nodes of one block of texts that a key is sent for, at most.
 LOCAL = 64
-#: Candidate nodes that are broadcast (16 bytes each) to pick their texts, at most; more are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Bytes of the bitmap of candidate ids that is broadcast, at most; beyond what it can tell apart more texts are shuffled, and none is lost.
+FILTER_BYTES = 32 << 20
 #: Ratio of a ring's bounds.
 RING = 1.4
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -351,12 +352,57 @@ def _blocks(big: DataFrame, nodes: int, shingles: int) -> DataFrame:
     return dealt.withColumn("_pair", F.explode(F.concat(same, above, below))).select(F.xxhash64("region", "_pair").alias("region"), "id", "text")
 
 
+def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix64(ids.view(np.uint64) + f) & np.uint64(bits - 1)).astype(np.int64) for f in _FACTORS[:2]]
+
+
+def id_filter(ids: DataFrame, count: int, most_bytes: int = FILTER_BYTES):
+    """A condition that all of the given longs meet and few others do, and what it broadcasts.
+
+    A bitmap with two places for each id, added up by segments in tasks; its size follows the count
+    up to ``most_bytes``. Only the id column goes to Python, texts stay where they are.
+    """
+    bits = 1 << min(max(13, (16 * max(1, count) - 1).bit_length()), (8 * most_bytes).bit_length() - 1)
+    each = min(bits, 1 << 20) // 8  # bytes of a segment
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for places in _filter_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
+                segment = places // (8 * each)
+                for k in np.unique(segment).tolist():
+                    map_ = held.setdefault(k, np.zeros(8 * each, dtype=bool))
+                    map_[places[segment == k] % (8 * each)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["segment", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        out = np.zeros(each, dtype=np.uint8)
+        for v in table["bits"]:
+            out |= np.frombuffer(v.as_py(), dtype=np.uint8)
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    rows = ids.mapInArrow(fill, "segment int, bits binary").groupBy("segment").applyInArrow(either, "segment int, bits binary").collect()
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for segment, v in rows:
+        whole[segment * each : (segment + 1) * each] = np.frombuffer(v, dtype=np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:  # without nulls, which would turn longs into doubles
+        found = np.ones(len(x), dtype=bool)
+        for places in _filter_places(x.to_numpy().astype(np.int64), 8 * len(sent.value)):
+            found &= (sent.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(found)
+
+    return maybe, sent
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of each row; component_id is the least id reachable by links.
 
     Null and empty texts have no shingles, are linked with nothing and are their own component. A
-    row with a null id counts as text but has no component. Repeated rows and equal texts are one
-    node. No rows give none; other columns are not read.
+    row with a null id links with nothing and has no component (number rows first to link them, as
+    the pipeline does). Repeated rows and equal texts are one node. No rows give none; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark, 10_000)
@@ -480,18 +526,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     regions.drop()
     sizes = nodes.df.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     big = sizes.where((F.col("k") > region_nodes) | (F.col("s") > region_shingles)).select("region")
-    picked = nodes.df if nodes.df.count() > BROADCAST_NODES else F.broadcast(nodes.df)
-    texts = rows.join(picked, F.col("id") == F.col("node_id")).select("region", "id", "text", "n")
+    maybe, sent = id_filter(nodes.df.select("node_id"), nodes.df.count())
+    texts = rows.where(maybe(F.coalesce("id", F.lit(0)))).join(nodes.df, F.col("id") == F.col("node_id")).select("region", "id", "text", "n")
     edges = texts.join(big, "region", "left_anti").select("region", "id", "text").repartition(_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_rows, "src long, dst long")
     if big.limit(1).count():
         cut = _blocks(texts.join(big, "region", "left_semi"), region_nodes, region_shingles)
         edges = edges.unionByName(cut.repartition(_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_rows, "src long, dst long"))
     found = Stage(edges, "links")
     joined = connected_components(found.df)
-    found.drop(), nodes.drop()
+    found.drop(), nodes.drop(), sent.destroy()
     least = sets.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("least"))
     least = least.join(joined.df, F.col("least") == F.col("node"), "left").select("name", F.coalesce("component", "least").alias("component"))
     least = Stage(least, "least").df  # so that a hot set's rows, not its aggregate, are dealt and can be split
+    joined.drop()
     return sets.join(least, "name", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
