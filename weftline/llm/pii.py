@@ -3,14 +3,16 @@
 Base matches (exact patterns and checks) always stay. Wider patterns propose further spans of the
 same kinds; regex, gazetteer and context labelers vote on every span, base or proposed. Votes of
 all documents are counted by pattern, of which there are few; expectation-maximisation estimates
-from the counts how reliable each labeler is, and a logistic classifier is trained on the posterior
-of every pattern, weighted by its count. Proposed spans that it accepts are added.
+from the counts how reliable each labeler is. A logistic classifier of spans is trained on the
+posteriors, weighted by count: it sees, besides the votes, the span (its length, digits, separators,
+alphabet) and its context (the characters and the line around it). Proposed spans that it accepts are added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,12 +115,27 @@ def votes(text: str, span: tuple[int, int, int], strict: bool) -> str:
     return ("1" if strict else "0") + shape + known + alone + cue + number
 
 
+def _side(c: str) -> str:
+    """The class of a character beside a span: none, line end, blank, letter, digit, opening or closing mark, other."""
+    return "e" if not c else "n" if c == "\n" else "b" if c.isspace() else "a" if c.isalpha() else "d" if c.isdigit() else "o" if c in "([{<\"':=" else "c" if c in ")]}>.,;!?" else "x"
+
+
+def shape(text: str, span: tuple[int, int, int]) -> str:
+    """One character for each feature of a span and its context: length, share of digits, separators, letters, the characters before and after, its place in the line."""
+    a, _, b = span
+    s = text[a:b]
+    digits, marks = sum(c.isdigit() for c in s), sum(not c.isalnum() for c in s)
+    before, after = text.rfind("\n", max(0, a - 200), a), text.find("\n", b, b + 200)
+    place = ("1" if before == a - 1 or a == 0 else "0") + ("1" if after == b or b == len(text) else "0")
+    return f"{min(len(s) // 6, 5)}{4 * digits // len(s)}{min(marks, 6)}{'u' if s != s.lower() else 'l' if any(c.isalpha() for c in s) else '-'}{_side(text[a - 1 : a] if a else '')}{_side(text[b : b + 1])}{place}"
+
+
 def scan(text: str) -> list[tuple[tuple[int, int, int], str]]:
-    """Every base and proposed span with its votes."""
+    """Every base and proposed span with its votes and, behind a bar, its features."""
     if not _ANY(text):
         return []
     base = base_spans(text)
-    return [(s, votes(text, s, True)) for s in base] + [(s, votes(text, s, False)) for s in proposals(text, base)]
+    return [(s, f"{votes(text, s, True)}|{shape(text, s)}") for s in base] + [(s, f"{votes(text, s, False)}|{shape(text, s)}") for s in proposals(text, base)]
 
 
 def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -146,20 +163,29 @@ def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 60) -> tuple
     return yes, no, p, prior
 
 
-def _features(kind: int, pattern: str) -> list[float]:
+def _features(kind: int, pattern: str, names: dict[tuple[int, str], int]) -> list[float]:
+    """Kind, votes, and one place for each value of each feature of span and context that was met."""
+    said, seen = pattern.split("|")
     f = [1.0, *(float(kind == k) for k in range(len(KINDS)))]
-    for c in pattern[1:]:  # what the strict labeler says is settled for base spans; the classifier judges the rest
+    for c in said[1:]:  # what the strict labeler says is settled for base spans; the classifier judges the rest
         f += [float(c == "1"), float(c == "0")]
-    return f
+    own = [0.0] * len(names)
+    for place in enumerate(seen):
+        own[names[place]] = 1.0
+    return f + own
 
 
 def train(counts: dict[tuple[int, str], int], rounds: int = 400) -> dict[tuple[int, str], float]:
-    """P(personal) of every vote pattern by a logistic classifier trained on EM's posteriors."""
+    """P(personal) of every pattern of votes and features by a logistic classifier trained on EM's posteriors of the votes."""
     if not counts:
         return {}
-    keys = sorted(counts)
-    y = reliabilities(counts)[2]
-    x = np.array([_features(k, s) for k, s in keys])
+    keys, said = sorted(counts), Counter()
+    for (k, s), n in counts.items():
+        said[k, s.split("|")[0]] += n
+    belief = dict(zip(sorted(said), reliabilities(said)[2].tolist(), strict=True))
+    y = np.array([belief[k, s.split("|")[0]] for k, s in keys])
+    names = {f: i for i, f in enumerate(sorted({f for _, s in keys for f in enumerate(s.split("|")[1])}))}
+    x = np.array([_features(k, s, names) for k, s in keys])
     w = np.array([counts[k] for k in keys], dtype=float)
     w /= w.sum()
     b = np.zeros(x.shape[1])
@@ -194,7 +220,7 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([p for _, p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "votes", "n"])
 
     counted = docs.select(text_col).mapInArrow(count, "kind int, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
-    model = train({(r[0], r[1]): r[2] for r in counted.collect()})  # at most 4 * 3**6 patterns
+    model = train({(r[0], r[1]): r[2] for r in counted.collect()})  # votes and features take few values each, so patterns are bounded whatever the table
 
     def run(batches):
         for batch in batches:
