@@ -32,13 +32,28 @@ SENTENCES = {
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "apache-header": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "apache-unless": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "agpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl-free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "gpl2-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "mpl2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-disclaimer": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "bsl-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "cc0-waiver": ["to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "this work is marked with cc0 1 0", "licensed under cc0 1 0"],
+    "unlicense": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "epl2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
     "all-rights": ["all rights reserved"],
     "public-domain": ["this is free and unencumbered software released into the public domain", "this work is released into the public domain"],
 }
 #: Ordered rules: a licence and the sentences, side by side, that state it.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is")), ("MIT", ("mit-grant", "mit-notice")), ("BSD-2-Clause", ("all-rights", "bsd-terms", "bsd-source", "bsd-binary")),
-    ("BSD-2-Clause", ("bsd-terms", "bsd-source", "bsd-binary")), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-only", ("gpl2",)), ("GPL-3.0-only", ("gpl3",)), ("LGPL-2.1-only", ("lgpl2 1",)), ("LGPL-3.0-only", ("lgpl3",)),
+    ("BSD-2-Clause", ("bsd-terms", "bsd-source", "bsd-binary")), ("ISC", ("isc-grant", "isc-disclaimer")), ("ISC", ("isc-grant",)), ("Zlib", ("zlib-as-is", "zlib-grant")), ("Zlib", ("zlib-grant",)), ("BSL-1.0", ("bsl-grant",)),
+    ("Apache-2.0", ("apache-header", "apache-unless")), ("Apache-2.0", ("apache-header",)), ("AGPL-3.0-or-later", ("agpl-free",)), ("LGPL-2.1-or-later", ("lgpl-free",)), ("GPL-2.0-or-later", ("gpl2-free",)), ("MPL-2.0", ("mpl2",)), ("EPL-2.0", ("epl2",)), ("Unlicense", ("public-domain", "unlicense")), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0-waiver",)), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-only", ("gpl2",)), ("GPL-3.0-only", ("gpl3",)), ("LGPL-2.1-only", ("lgpl2 1",)), ("LGPL-3.0-only", ("lgpl3",)),
     ("Apache-1.1", ("apache1.1",)), ("Apache-2.0", ("apache2.0",)), *((k.upper(), (k,)) for k in SENTENCES if k.startswith("cc-")), ("MIT", ("mit-name",)), ("Public-domain", ("public-domain",)), ("Proprietary", ("all-rights",)),
 ]
 #: What the SQL, which cuts at line ends alone, does not have: the third BSD clause and its rules, which come first.
@@ -46,8 +61,9 @@ _BSD_NAME = re.compile(r"neither the names? of .{1,120} nor the names of (?:(?:i
 MORE_RULES = [("BSD-3-Clause", ("all-rights", "bsd-terms", "bsd-source", "bsd-binary", "bsd-name")), ("BSD-3-Clause", ("bsd-terms", "bsd-source", "bsd-binary", "bsd-name"))]
 KNOWN = {s: k for k, rows in SENTENCES.items() for s in rows}
 #: A word of each known sentence without which a text holds none of them.
-_HINT = re.compile(r"licens|all[\W_]+rights|permission|redistribut|warranty|public[\W_]+domain|free[\W_]+software", re.I).search
-_FIRST, _LONGEST = {s.split()[0] for s in KNOWN} | {"neither"}, max(len(s.split()) for s in KNOWN)
+_HINT = re.compile(r"licens|all[\W_]+rights|permission|redistribut|warrant|public[\W_]+domain|free[\W_]+(?:software|to[\W_]+copy)|cc0", re.I).search
+#: What a known sentence begins with, word by word.
+_BEGUN, _LONGEST = {" ".join(s.split()[:n]) for s in KNOWN for n in range(1, len(s.split()))}, max(len(s.split()) for s in KNOWN)
 #: A paragraph's end, a list mark or comment sign that begins a line, and the sentence ends that are no line ends.
 _PARAGRAPH, _MARK = re.compile(r"\n[^\S\n]*(?:(?://+|[#*;]+|--)[^\S\n]*)?(?=\n)"), re.compile(r"^\s*(?:(?://+|/\*+|[#*;]+|--)\s*)?(?:(?:\(?(?:[0-9]{1,2}|[a-z])[.)]|[-*])\s+)?", re.I)
 _CUT, _WORDS = re.compile(r"\n|(?<=[.;:!?])\s+"), re.compile(r"[^a-z0-9]+")
@@ -60,11 +76,11 @@ def identifiers(text: str) -> list[str]:
     found = []
     for paragraph in _PARAGRAPH.split(text):
         lines = [_CUT.split(line) for line in paragraph.split("\n")]
-        # (normalised sentence, without a mark that begins its line, whether it ends where its line does, without an end of its own)
-        parts = [(_norm(s), _norm(_MARK.sub("", s) if i == 0 else s), i == len(line) - 1 and not s.rstrip().endswith((".", ";", ":", "!", "?"))) for line in lines for i, s in enumerate(line)]
+        # (normalised sentence, without a mark that begins its line)
+        parts = [(_norm(s), _norm(_MARK.sub("", s) if i == 0 else s)) for line in lines for i, s in enumerate(line)]
         i = 0
         while i < len(parts):
-            whole, bare, _ = parts[i]
+            whole, bare = parts[i]
             k, i = (_known(whole) or _known(bare), i + 1)
             if k is None:
                 k, i = _wrapped(parts, i - 1)
@@ -81,12 +97,10 @@ def _known(words: str) -> str | None:
     return KNOWN.get(words) or ("bsd-name" if words.startswith("neither the name") and _BSD_NAME(words) else None)
 
 
-def _wrapped(parts: list[tuple[str, str, bool]], i: int) -> tuple[str | None, int]:
-    """The known sentence that starts with part i and goes on over line ends, and the part after it; or None and the next part."""
+def _wrapped(parts: list[tuple[str, str]], i: int) -> tuple[str | None, int]:
+    """The known sentence that starts with part i and goes on over line ends or over marks inside it, and the part after it; or None and the next part."""
     words, j = parts[i][1], i
-    if words.split(" ", 1)[0] not in _FIRST:
-        return None, i + 1
-    while (parts[j][2] or words.startswith("neither the name")) and j + 1 < len(parts) and words.count(" ") < _LONGEST:
+    while (words in _BEGUN or words.startswith("neither the name")) and j + 1 < len(parts) and words.count(" ") < _LONGEST:
         j += 1
         words = f"{words} {parts[j][1]}".strip()
         if k := _known(words):
