@@ -4,11 +4,12 @@ The template writes each turn as a mark line, the escaped text and an end mark:
 
     <s>### Role: text </turn>
 
-Roles other than plain words and texts are escaped with a backslash before every backslash, ``<``
-and ``#``: no mark can then arise inside a text, and the parser needs no look-ahead. The rendered
-text is read back by a deterministic split on the unescaped end mark, turns are unescaped and
-compared with the source. All these characters are escaped once, whether they conflict or not; the
-escape is total, so there is no second pass, and ``identical`` only reports the comparison. Results are derived from what was read back, never from the source.
+A conversation is first written as it is and read back by the deterministic parser. Where the turns
+read back are not those of the source, some character conflicts with the grammar, and the conversation is
+written again with a backslash before every backslash, ``<``, ``#`` and ``:`` of its roles and
+texts: no mark can then arise inside a text, and the parser needs no look-ahead. It is parsed and
+compared again; that escape is total, so a difference that remained would be an error and ends the
+query. Results are derived from what was read back, never from the source.
 """
 
 from __future__ import annotations
@@ -33,7 +34,16 @@ def unescape(text: Column) -> Column:
 
 
 def render_turn(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), escape(role), F.lit(MIDDLE), escape(text), F.lit(CLOSE))
+    """A turn whose role and text are written as they are given."""
+    return F.concat(F.lit(OPEN), role, F.lit(MIDDLE), text, F.lit(CLOSE))
+
+
+def render(turns: Column, change=lambda x: x) -> Column:
+    return F.array_join(F.transform(turns, lambda t: render_turn(change(t["role"]), change(t["text"]))), "")
+
+
+def same_turns(back: Column, source: Column) -> Column:
+    return F.to_json(back) == F.to_json(F.transform(source, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
 def parse(rendered: Column) -> Column:
@@ -58,15 +68,18 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.select(F.col(id_col).alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("source"))
-    shown = chats.withColumn("formatted", F.array_join(F.transform("source", lambda t: render_turn(t["role"], t["text"])), ""))
-    back = shown.withColumn("turns", parse(F.col("formatted")))
-    lengths = F.transform("turns", lambda t: F.struct(F.char_length(render_turn(t["role"], t["text"])).alias("all"), F.char_length(escape(t["text"])).alias("text"), (t["role"] == "assistant").alias("on")))
+    plain = chats.withColumn("_plain", render(F.col("source")))
+    tried = plain.withColumn("_back", parse(F.col("_plain"))).withColumn("_same", same_turns(F.col("_back"), F.col("source")))
+    shown = tried.withColumn("formatted", F.when(F.col("_same"), F.col("_plain")).otherwise(render(F.col("source"), escape)))
+    back = shown.withColumn("turns", F.when(F.col("_same"), F.col("_back")).otherwise(parse(F.col("formatted"))))
+    written = lambda x: F.when(F.col("_same"), x).otherwise(escape(x))
+    lengths = F.transform("turns", lambda t: F.struct(F.char_length(render_turn(written(t["role"]), written(t["text"]))).alias("all"), F.char_length(written(t["text"])).alias("text"), (t["role"] == "assistant").alias("on")))
     start = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")), lambda acc, x: F.struct(
         (acc["at"] + x["all"]).alias("at"),
         F.when(x["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["all"] - len(CLOSE) - x["text"]).alias("start"), x["text"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
     ))["spans"]
-    same = F.to_json(F.col("turns")) == F.to_json(F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    return back.select("conv_id", "formatted", "turns", start.alias("loss"), same.alias("identical"))
+    same = F.col("_same") | same_turns(F.col("turns"), F.col("source"))
+    return back.select("conv_id", "formatted", "turns", start.alias("loss"), F.when(same, True).otherwise(F.raise_error(F.lit("a conversation does not come back")).cast("boolean")).alias("identical"))
 
 
 def digests(chats: DataFrame) -> DataFrame:
