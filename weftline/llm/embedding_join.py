@@ -4,7 +4,8 @@ Vectors link when their cosine is at least ``LEAST``: when their angle, a metric
 r = arccos(LEAST). Equal vectors are one node with a multiplicity. Every node lies in the cell of
 its nearest pivot p, and is also sent to the cell of each pivot q with angle(x, q) <= angle(x, p) +
 2 r: by the triangle inequality no node of another cell can link with one of that cell otherwise.
-Cells join independently, in blocks of ``BLOCK`` own nodes against all the cell holds, streamed.
+Cells join independently, in blocks of own nodes against all the cell holds, streamed; the larger the table,
+the larger the blocks, as each vector is sent to every block of the cells that its window takes in.
 The cosine is computed in single precision to find pairs near the bound and above, and decided in
 double precision.
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Stage, connected_components, small_batches
 
 LEAST = 0.9
-#: Own nodes of a block; pivots at most.
-BLOCK, PIVOTS = 4096, 512
+#: Own nodes of a block, at least and at most (a 64th of all between them); pivots at most.
+BLOCK, LARGEST, PIVOTS = 4096, 65_536, 512
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -48,8 +49,9 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     """(vec_id, n_links, component_id, kept) of each row.
 
     A null or zero vector, or one with null or non-finite components, links with nothing and is its
-    own component; so are vectors of different lengths to each other. Equal vectors link. A null id
-    counts as a vector but has no component. No rows give none; other columns are not read.
+    own component; so are vectors of different lengths to each other. Equal vectors link. A row with a
+    null id links with nothing, counts for no other row and has no component. Rows that repeat an id are
+    vectors of their own. No rows give none; other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4000)
@@ -60,12 +62,13 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     def read(batches):
         for batch in batches:
             vs = _vectors(batch.column(1))
-            raw = [None if v is None else (v + kind(0)).tobytes() for v in vs]  # -0.0 is 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array([0 if v is None else len(v) for v in vs], pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "name", "dim", "raw"])
+            raw = [None if v is None or i is None else (v + kind(0)).tobytes() for v, i in zip(vs, batch.column(0).to_pylist(), strict=True)]  # -0.0 is 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array([0 if v is None else len(v) // kind(0).itemsize for v in raw], pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "name", "dim", "raw"])
 
     read_rows = Stage(rows.mapInArrow(read, "vec_id long, name binary, dim int, raw binary"), "vectors")
     nodes = Stage(read_rows.df.where("name is not null").groupBy("name").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw")), "nodes")
     total = nodes.df.count()
+    block = min(max(block, total // 64), max(block, LARGEST))
     cells = int(np.clip(-(-total // block), 1, PIVOTS))
     sample = nodes.df.orderBy(F.xxhash64("name"), "name").limit(cells).select("dim", "raw").collect()  # PIVOTS bounds it
     pivots: dict[int, np.ndarray] = {}
@@ -91,7 +94,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
 
     placed = Stage(nodes.df.select("id", "copies", "dim", "raw").mapInArrow(place, "id long, copies long, dim int, raw binary, own int, also array<int>"), "cells")
     sizes = placed.df.groupBy("dim", "own").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    blocks = F.broadcast(sizes.select(F.col("dim").alias("_dim"), F.col("own").alias("_cell"), "blocks"))  # a row for each pivot and length
+    blocks = sizes.select(F.col("dim").alias("_dim"), F.col("own").alias("_cell"), "blocks")  # a row for each pivot and length: Spark broadcasts it if it is small
     homes = placed.df.join(blocks, (F.col("dim") == F.col("_dim")) & (F.col("own") == F.col("_cell")))
     homes = homes.select("dim", "own", F.pmod(F.xxhash64("id", "raw"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "id", "copies", "raw")
     guests = placed.df.select("dim", "id", "copies", "raw", F.explode("also").alias("own")).join(blocks, (F.col("dim") == F.col("_dim")) & (F.col("own") == F.col("_cell")))
@@ -130,6 +133,8 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     near = nodes.df.select("name", "id").join(counts, F.col("id") == F.col("_c"), "left").join(joined.df, F.col("id") == F.col("node"), "left")
     near = near.select("name", (F.col("links") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     near = Stage(near, "near").df  # so that a hot vector's rows, not its aggregate, are dealt and can be split
+    for stage in (nodes, found, joined):
+        stage.drop()
     out = read_rows.df.select("vec_id", "name").join(near, "name", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
