@@ -498,6 +498,25 @@ def test_wrapped_licenses():
     assert license_rules.identifiers("all\nrights reserved") == ["all-rights"]
 
 
+def test_whole_licenses():
+    """The usual texts as they are published, wrapped, with marks in front of lines."""
+    import textwrap
+
+    texts = {
+        "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+        "AGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+        "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+        "Zlib": ["This software is provided 'as-is', without any express or implied warranty.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+        "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    }
+    for name, parts in texts.items():
+        for mark in ("", " * ", "# "):
+            stated, _ = license_rules.apply_rules(license_rules.identifiers("\n\n".join(textwrap.fill(p, 70) for p in parts).replace("\n", "\n" + mark)))
+            assert stated == [name], (name, mark, stated)
+
+
 def test_pii_redacts_the_union(spark):
     t = "call +1 555 123 4567.joe@x.com now"
     assert pii.base_spans(t) == [(5, 3, 20), (16, 0, 30)]
