@@ -48,6 +48,16 @@ def rows_of(docs):
     return [(r.doc_id, r.text or "") for r in docs.collect()]
 
 
+def test_filter_of_ids(spark):
+    """The bitmap lets every given id through and few others, also where it is far too small."""
+    ids = spark.range(0, 40_000, 7)
+    maybe, _ = jaccard_join.id_filter(ids.toDF("id"), ids.count())
+    got = {r.id for r in spark.range(40_000).where(maybe("id")).collect()}
+    assert set(range(0, 40_000, 7)) <= got and len(got) < 8000
+    tight, _ = jaccard_join.id_filter(ids.toDF("id"), ids.count(), most_bytes=1 << 10)
+    assert set(range(0, 40_000, 7)) <= {r.id for r in spark.range(40_000).where(tight("id")).collect()}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 9), (9, 8), (3, 1), (5, 5), (None, 4)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(200, 260)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).df.collect()}
@@ -258,6 +268,72 @@ def test_quality_votes_on_held_out_rows(spark):
     assert {r.score for r in quality_knn.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_by_brute_force(spark):
+    """Scores equal votes over plainly sorted double-precision cosines, with repeated rows, ties, clashing columns and a very long text."""
+    rng = random.Random(9)
+    rows = [(i, text(rng, rng.randint(5, 90)) + "!?" * (i % 4), "x") for i in range(160)] + [(200, "x " * 40_000, "x"), (201, "", "x"), (202, None, "x"), (203, "same words", "x"), (203, "same words", "x"), (None, "no id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    marks = [(i, int(rng.random() < 0.6)) for i in [*range(120), 200, 203]]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    known = sorted((i, y) for i, y in marks if zlib.crc32(str(i).encode()) % 4 != 2)
+    of = dict((i, (t or "").encode()) for i, t, _ in rows)
+    x = quality_knn.term_rows([of[i] for i, _ in known]).astype(float)
+    y = np.array([v for _, v in known], dtype=float)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    mean = (x * idf).mean(0)
+    axes = quality_knn.Space(x, y).axes.astype(float)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1)[:, None], 1e-9)
+    sample = unit((x * idf - mean) @ axes)
+    for r in quality_knn.score_quality(docs, labels).collect():
+        t = next((t or "").encode() for i, t, _ in rows if i == r.doc_id)
+        cos = (unit((quality_knn.term_rows([t]).astype(float) * idf - mean) @ axes) @ sample.T)[0]
+        last = sorted(cos, reverse=True)[quality_knn.NEIGHBOURS - 1]
+        w = [math.exp(quality_knn.STEEP * (c - max(cos))) if c >= last - 1e-6 else 0.0 for c in cos]
+        want = (sum(a * b for a, b in zip(w, y, strict=True)) + 0.5 * y.mean()) / (sum(w) + 0.5) if t.split() else 0.0
+        assert abs(r.score - want) < 0.02 and r.predicted == int(r.score >= 0.7)
+
+
+def test_forest_by_hand(docs, labels):
+    """Scores follow each tree from its root; kept is what the base rules and the cut say."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 7))
+    forest = quality_rules.Forest(x, trees=12)
+
+    def walk(row, at):
+        depth = 0
+        while tuple(forest.child[at]) != (at, at):
+            at = int(forest.child[at][int(row[forest.feature[at]] >= forest.cut[at])])
+            depth += 1
+        inside = forest.path[at] - depth  # what the rows that share a leaf would still need
+        assert -1e-9 <= inside <= quality_rules._usual_path(256)
+        return forest.path[at]
+
+    for row, got in zip(x[:40], forest.score(x[:40]), strict=True):
+        mean = sum(walk(row, r) for r in forest.roots) / len(forest.roots)
+        assert math.isclose(got, 2 ** (-mean / quality_rules._usual_path(256)))
+    fitted, cut = quality_rules.fit(docs, labels)
+    for r in quality_rules.quality_rules(docs, labels, carry=("doc_id", "text")).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), sum((r.text or "").count(c) for c in "#*$%&|<>"))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeated(words))
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        score = fitted.score(quality_rules.features(quality_rules.statistics([(r.text or "").encode()])))[0]
+        assert math.isclose(r.anomaly, score) and r.kept == (not r.base_failed and score < cut)
+
+
+def test_embeddings_without_ids(spark):
+    """Vectors without an id count nowhere; repeated ids, clashing columns and empty tables are no trouble."""
+    from weftline.llm.embedding_join import embedding_components
+
+    a, b = [1.0, 0.0], [0.92, 0.392]
+    mid = [0.99, 0.14]
+    rows = [(1, a, 0), (2, [0.75, 0.66], 0), (None, b, 0), (7, a, 0), (7, a, 0), (9, mid, 0)]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int")).collect())
+    assert got == Counter([(1, 3, 1, True), (2, 0, 2, True), (None, 0, None, None), (7, 3, 1, False), (7, 3, 1, False), (9, 3, 1, False)])
+    assert embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
 def test_embeddings(spark):
     from weftline.llm.embedding_join import embedding_components
 
@@ -498,6 +574,45 @@ def test_wrapped_licenses():
     assert license_rules.identifiers("all\nrights reserved") == ["all-rights"]
 
 
+def plain_em(counts, rounds=60):
+    """Reliabilities and posteriors, vote by vote."""
+    n = len(pii.LABELERS)
+    yes, no, prior = [0.95] + [0.8] * (n - 1), [0.05] + [0.3] * (n - 1), 0.5
+    for _ in range(rounds):
+        post = {}
+        for k, s in counts:
+            a, b = prior, 1 - prior
+            for j, c in enumerate(s):
+                if c != "-":
+                    a *= yes[j] if c == "1" else 1 - yes[j]
+                    b *= no[j] if c == "1" else 1 - no[j]
+            post[k, s] = a / (a + b)
+        for rate, start, side in ((yes, 0.8, lambda p: p), (no, 0.3, lambda p: 1 - p)):
+            for j in range(n):
+                mass = sum(side(post[k]) * c for k, c in counts.items() if k[1][j] != "-")
+                ones = sum(side(post[k]) * c for k, c in counts.items() if k[1][j] == "1")
+                rate[j] = min(max((ones + 2 * start) / (mass + 2), 0.02), 0.98)
+        no[0] = min(no[0], yes[0] / 2)
+        prior = min(max((sum(post[k] * c for k, c in counts.items()) + 1) / (sum(counts.values()) + 2), 0.05), 0.95)
+    return post
+
+
+def test_pii_em_and_features(spark):
+    rng = random.Random(5)
+    counts = Counter((rng.randrange(4), "".join(rng.choice("10-" if j > 3 else "10") for j in range(6))) for _ in range(400))
+    got = dict(zip(sorted(counts), pii.reliabilities(counts)[2], strict=True))
+    assert all(abs(got[k] - p) < 1e-6 for k, p in plain_em(counts).items())
+    # the classifier tells spans apart whose votes agree, by their features
+    model = pii.train({(0, "111111|aa"): 90, (0, "000000|bb"): 90, (0, "101010|aa"): 5, (0, "101010|bb"): 5})
+    assert model[0, "101010|aa"] > model[0, "101010|bb"]
+    assert pii.train({}) == {}
+    t = "x\njoe@a.com, 10.0.0.1 " + "y" * 50_000
+    assert [p.split("|")[1] for _, p in pii.scan(t)][0] == pii.shape(t, (2, 0, 11))
+    rows = [(1, t, 3), (1, t, 3), (2, None, 3), (None, "+1 555 123 4567", 3)]
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_phone) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect())
+    assert got == Counter([(1, 1, 1, 0), (1, 1, 1, 0), (2, 0, 0, 0), (None, 0, 0, 1)])
+
+
 def test_whole_licenses():
     """The usual texts as they are published, wrapped, with marks in front of lines."""
     import textwrap

@@ -132,14 +132,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> Stage:
     now, mark = Stage(clean, "edges"), None
     for _ in range(most_rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = Stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        pulled = large.df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = Stage(pulled.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        least = Stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # written, so that a hub's edges, not an aggregate, are dealt to the join and can be split
+        large = Stage(both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least.drop()
+        least = Stage(large.df.groupBy("u").agg(F.min("v").alias("m")), "least")
+        pulled = large.df.join(least.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = Stage(pulled.unionByName(least.df.select("u", F.col("m").alias("v"))).distinct(), "small")
         # no value of an edge set is its own mark by chance but with probability 2**-64
         seen = small.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-        now.drop(), large.drop()
+        now.drop(), large.drop(), least.drop()
         now = small
         if seen == mark:
             break

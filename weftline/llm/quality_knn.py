@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, crc_mod, small_batches, text_bytes, with_columns
-from weftline.llm.quality_rules import labelled_sample, statistics
+from weftline.llm.quality_rules import labelled_rows, statistics
 
 #: Labelled rows that are broadcast, at most; directions kept; voters; weight's steepness.
 SAMPLE, RANK, NEIGHBOURS, STEEP = 6000, 48, 25, 12.0
@@ -52,10 +52,10 @@ def term_rows(texts: list[bytes]) -> np.ndarray:
 
 
 class Space:
-    """Latent-semantic directions of a sample, its unit vectors and labels."""
+    """Latent-semantic directions of a sample's term rows, its unit vectors and labels."""
 
-    def __init__(self, texts: list[bytes], labels: list[int], rank: int = RANK):
-        x = np.concatenate([term_rows(texts[a:b]) for a, b in chunks(texts)]) if texts else np.zeros((0, TERMS), dtype=np.float32)
+    def __init__(self, x: np.ndarray, labels: np.ndarray, rank: int = RANK):
+        x = x.astype(np.float32)
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1 if len(x) else np.ones(TERMS, dtype=np.float32)
         x = x * self.idf
         self.mean = x.mean(0) if len(x) else np.zeros(TERMS, dtype=np.float32)
@@ -71,7 +71,7 @@ class Space:
         return v / np.maximum(np.linalg.norm(v, axis=1)[:, None], 1e-9)
 
     def score(self, texts: list[bytes], neighbours: int = NEIGHBOURS, block: int = 256) -> np.ndarray:
-        """The weighted share of label 1 among each text's nearest neighbours; the prior without any, 0 for no words."""
+        """The weighted share of label 1 among each text's nearest neighbours, and all as near as the last of them; 0.5 without labels, else 0 for no words."""
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         x = term_rows(texts)
@@ -80,10 +80,9 @@ class Space:
         out, k = np.zeros(len(texts)), min(neighbours, len(self.labels))
         for a in range(0, len(texts), block):
             cos = v[a : a + block] @ self.units.T
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(cos, top, axis=1).astype(np.float64)
-            w = np.exp(STEEP * (near - near.max(1)[:, None]))
-            out[a : a + block] = ((w * self.labels[top]).sum(1) + 0.5 * self.prior) / (w.sum(1) + 0.5)
+            last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+            w = np.exp(STEEP * (cos - cos.max(1)[:, None]).astype(np.float64), where=cos >= last, out=np.zeros(cos.shape))
+            out[a : a + block] = (w @ self.labels + 0.5 * self.prior) / (w.sum(1) + 0.5)
         out[empty] = 0.0
         return out
 
@@ -92,13 +91,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (
     """``carry`` columns of each row, held_out, score (0 to 1) and predicted.
 
     Learns from at most ``sample`` labelled rows with crc32(doc_id) mod 4 other than 2, least by a
-    hash of the id. Null and empty texts score 0; without labels every score is 0.5; null ids are
-    scored and are not held out. Repeated rows get equal scores; no rows give none. Nothing but the
+    hash of the id. Without labels every score is 0.5; else null and empty texts score 0. Neighbours
+    that tie with the last one vote too. Null ids are scored and are not held out. Repeated rows get equal scores; no rows give none. Nothing but the
     text enters a score.
     """
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels.where(crc_mod("doc_id", 4) != 2), sample)
-    sent = docs.sparkSession.sparkContext.broadcast(Space([t for t, _ in rows], [y for _, y in rows]))
+    sent = docs.sparkSession.sparkContext.broadcast(Space(*labelled_rows(docs, labels.where(crc_mod("doc_id", 4) != 2), sample, term_rows)))
     names, types = list(carry), dict(docs.dtypes)
 
     def run(batches):

@@ -9,6 +9,7 @@ rows give the same statistics; without labels the forest is not fitted and only
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -139,23 +140,44 @@ def mostly_good(x: np.ndarray, good: np.ndarray, share: float = RARE) -> np.ndar
     return x[np.sort(np.concatenate([np.flatnonzero(good), bad[:: max(1, -(-len(bad) // few))]]))] if len(x) else x
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, value: str = "quality") -> list[tuple[bytes, int]]:
-    """(text, label) of at most ``most`` labelled rows, least by a hash of their id; nulls are left out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, make: Callable[[list[bytes]], np.ndarray], value: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """``make`` of the texts of at most ``most`` labelled ids, least by a hash, and their labels; nulls are left out.
+
+    Of rows that share an id the least text counts. Texts become numbers on the executors, so that
+    what comes to the driver is bounded in bytes too.
+    """
     few = labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(value).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
-    got = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_t", "_y", "_id")
-    return [(bytes(t or b""), y) for t, y, _ in sorted(got.toLocalIterator(), key=lambda r: (r[2], r[1], r[0] or b""))]
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_t")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+
+    def run(batches):
+        for batch in batches:
+            every = batch.column(2).to_pylist()
+            for a, b in chunks(every):
+                x = np.asarray(make(every[a:b]), dtype=np.float64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), flat], names=["_id", "_y", "x"])
+
+    kind = dict(texts.dtypes)["_id"]
+    got = texts.mapInArrow(run, f"_id {kind}, _y int, x array<double>").toArrow().sort_by([("_id", "ascending"), ("_y", "ascending")])
+    width = np.asarray(make([b""])).shape[1]
+    return got["x"].combine_chunks().flatten().to_numpy().reshape(-1, width) if got.num_rows else np.zeros((0, width)), got["_y"].to_numpy()
+
+
+def _rule_row(texts: list[bytes]) -> np.ndarray:
+    """What the forest splits on, and whether the base rules fail."""
+    s = statistics(texts)
+    return np.concatenate([features(s), base_failed(s)[:, None]], axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
     """The forest, and its cut, from at most ``sample`` labelled rows."""
-    rows = labelled_sample(docs, labels, sample)
-    if not rows:
-        return Forest(np.zeros((0, 7))), 2.0
-    s = statistics([t for t, _ in rows])
-    x, ok = features(s), ~base_failed(s)
-    good = np.array([y for _, y in rows])[ok] == 1
-    forest = Forest(mostly_good(x[ok], good))
-    return forest, calibrate(forest.score(x[ok]), good)
+    x, y = labelled_rows(docs, labels, sample, _rule_row)
+    ok = x[:, -1] == 0
+    x, good = x[ok, :-1], y[ok] == 1
+    if not len(x):
+        return Forest(x), 2.0
+    forest = Forest(mostly_good(x, good))
+    return forest, calibrate(forest.score(x), good)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
