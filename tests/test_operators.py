@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import jsonl, jsontree, request, resume, run, segment
+from weftline.sources.staging import fresh_path
 from weftline.streaming import fold
 
 
@@ -93,12 +94,13 @@ def test_waits():
 
 
 def test_run_aborts_after_a_saved_batch(spark):
-    saved = []
     rows = spark.createDataFrame([(i, f"request-{i}", str(i)) for i in range(1, 7)], "n long, custom_id string, line string")
     model = lambda line, attempt, t: run.Outcome(429) if line == "3" else run.Outcome(text=line)
-    state = run.run_batches(rows, model, run.Limits(batch_size=2), lambda d: saved.extend(d.collect()), 3)
+    path = fresh_path(spark, "run")
+    state = run.run_batches(rows, model, run.Limits(batch_size=2), path, 3)
     assert state == "aborted"
-    assert sorted((r.custom_id, r.decision) for r in saved) == [("request-1", "ok"), ("request-2", "ok"), ("request-3", "abort"), ("request-4", "ok")]
+    saved = run.results_of(spark, path).collect()
+    assert sorted((r.custom_id, r.decision) for r in saved) == [("request-1", "ok"), ("request-2", "ok"), ("request-3", "abort"), ("request-4", "cancelled")]
 
 
 def test_events():

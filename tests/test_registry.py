@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from weftline.plans.registry import QUERIES
+from weftline.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

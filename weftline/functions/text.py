@@ -69,6 +69,27 @@ def extract_tagged(text: Column, start: str, end: str) -> Column:
     return F.array_join(F.transform(F.filter(found, lambda x: x != ""), trim_all), "\n\n")
 
 
+def strip_pipeline(text: Column, start: str | None = None, end: str | None = None, extract: bool = False, unformat: bool = False, empty: bool = False, double: bool = False) -> Column:
+    """Delimited parts are deleted or extracted, then formatting goes if so asked, then newlines are cleaned: one column, one pass."""
+    if start and end:
+        text = extract_tagged(text, start, end) if extract else delete_tagged(text, start, end)
+    if unformat:
+        from weftline.functions.markup import strip_markdown
+
+        text = strip_markdown(text)
+    return strip_empty(text) if empty and not double else double_newlines(text) if double else normalize(text)
+
+
+def delimiters(given: str | None, default: tuple[str, str]) -> tuple[str, str]:
+    """A pair from one argument: ``a,b`` is both, ``tag`` is <tag> and </tag>, nothing the default."""
+    if not given:
+        return default
+    if "," in given:
+        a, b = given.split(",", 1)
+        return a, b
+    return (given, "</" + given[1:]) if given.startswith("<") else (f"<{given}>", f"</{given}>")
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     """Replaces ``{{ .Key }}`` once; unknown keys stay, and values are not expanded again.
 

@@ -512,17 +512,3 @@ def fast_hash(spark, sf_dir):
 @query()
 def display_wrap(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", markup.wrapped(F.col("text"), 60).alias("lines"), markup.string_width(F.col("source")).alias("source_width"))
-
-
-@query()
-def run_batch_mock(spark, sf_dir):
-    """A whole run against a deterministic model, one batch: what each request came to."""
-    held = []
-    rows = load(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("n"), F.concat(F.lit("request-"), "doc_id").alias("custom_id"), F.col("text").alias("line"))
-
-    def model(line, attempt, temperature):
-        kind = len(line or "") % 10
-        return run.Outcome(502, code="API_ERROR_502") if kind == 0 and attempt == 1 else run.Outcome(403, message="safety") if kind == 1 else run.Outcome(text=(line or "")[:10])
-
-    run.run_batches(rows, model, run.Limits(batch_size=1 << 40, max_fail=1 << 40), held.append, 1)
-    return held[0]
