@@ -94,7 +94,8 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
 
     placed = Stage(nodes.df.select("id", "copies", "dim", "raw").mapInArrow(place, "id long, copies long, dim int, raw binary, own int, also array<int>"), "cells")
     sizes = placed.df.groupBy("dim", "own").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    blocks = sizes.select(F.col("dim").alias("_dim"), F.col("own").alias("_cell"), "blocks")  # a row for each pivot and length: Spark broadcasts it if it is small
+    counted = Stage(sizes.select(F.col("dim").alias("_dim"), F.col("own").alias("_cell"), "blocks"), "blocks")  # a row for each pivot and length; written, so that Spark sees that it is small
+    blocks = counted.df
     homes = placed.df.join(blocks, (F.col("dim") == F.col("_dim")) & (F.col("own") == F.col("_cell")))
     homes = homes.select("dim", "own", F.pmod(F.xxhash64("id", "raw"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "id", "copies", "raw")
     guests = placed.df.select("dim", "id", "copies", "raw", F.explode("also").alias("own")).join(blocks, (F.col("dim") == F.col("_dim")) & (F.col("own") == F.col("_cell")))
@@ -127,7 +128,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = homes.unionByName(guests).repartition(n, "dim", "own", "part").sortWithinPartitions("dim", "own", "part", "role")
     found = Stage(dealt.mapInArrow(join, "id long, links long, other long"), "neighbours")
-    placed.drop()
+    placed.drop(), counted.drop()
     joined = connected_components(found.df.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")))
     counts = found.df.where("links is not null").groupBy(F.col("id").alias("_c")).agg(F.max("links").alias("links"))
     near = nodes.df.select("name", "id").join(counts, F.col("id") == F.col("_c"), "left").join(joined.df, F.col("id") == F.col("node"), "left")

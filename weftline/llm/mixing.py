@@ -138,11 +138,11 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     whole = Stage(_own_hashes(rows.where("part > 0 and part < 1").select("_row", "_source", "size", "part", "hash")), "parts")
     parts, done, made, level = whole.df, [], [], 0
     while True:
-        blocks = parts.groupBy(F.col("_source").alias("_s")).agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
-        last = (blocks.agg(F.max("_b")).first()[0] or 1) == 1
-        dealt = parts.join(blocks, F.col("_source").eqNullSafe(F.col("_s"))).select("_row", "hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
+        blocks = Stage(parts.groupBy(F.col("_source").alias("_s")).agg(F.ceil(F.count("*") / BLOCK).alias("_b")), "blocks")
+        last = (blocks.df.agg(F.max("_b")).first()[0] or 1) == 1
+        dealt = parts.join(blocks.df, F.col("_source").eqNullSafe(F.col("_s"))).select("_row", "hash", "_source", "size", "part", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("_b")).alias("_block"))
         out = Stage(dealt.groupBy("_source", "_block").applyInPandas(_rounder(level, last), "_row long, hash long, _source string, size long, part double"), f"round{level}")
-        made.append(out)
+        made += [out, blocks]
         done.append(out.df.where("part >= 1").select("_row"))
         if last:
             break
