@@ -185,3 +185,21 @@ def test_known_hashes_and_small_functions(spark):
     assert tuple(one)[:2] == ("en-US", "**/x.txt")
     assert (one.d, one.e) == (7, 2)
     assert tx.delimiters("think", ("a", "b")) == ("<think>", "</think>") and tx.delimiters("[,]", ("a", "b")) == ("[", "]") and tx.delimiters(None, ("a", "b")) == ("a", "b")
+
+
+def test_smaller_operators(spark):
+    from weftline.operators import request, resume, segment, stats
+
+    one = spark.range(1).select(
+        segment.slices(F.lit("abcde"), 2).alias("a"), segment.slices(F.lit(""), 2).alias("b"), segment.chunk_size(F.lit(None), F.lit(None), F.lit(7), 9).alias("c"),
+        request.overlay(F.lit('{"a":1,"b":{"c":2}}'), F.lit('{"b":{"d":3}}')).alias("d"), request.overlay(F.lit('{"a":1}'), F.lit(None).cast("string")).alias("e"),
+        tx.match_locale(F.lit("fr-CA"), {"en-US": "en", "fr-FR": "fr"}).alias("f"), tx.match_locale(F.lit("xx"), {"en-US": "en"}).alias("g"), *(c.alias(k) for k, c in zip("hi", resume.with_defaults(F.lit("u"), F.lit("e"), F.lit(False), "U", "E"), strict=True)),
+    ).first()
+    assert one.a == ["ab", "cd", "e"] and one.b == [] and one.c == 7 and json.loads(one.d) == {"a": 1, "b": {"d": 3}} and json.loads(one.e) == {"a": 1}
+    assert (one.f, one.g, one.h, one.i) == ("fr-FR", None, "U", "E")
+    sums = spark.createDataFrame([(1_500_000, 1_500_000, 7, 0)], "cost_nano long, upstream_nano long, prompt_tokens long, total_tokens long")
+    assert {r.name: r.shown for r in stats.shown_sums(sums).collect()} == {"upstream_nano": "0.001500", "prompt_tokens": "7"}
+    pairs = spark.createDataFrame([(1, "a\n\nb", "a\nc"), (2, "a", "a\nb")], "k int, l string, r string")
+    got = lambda force: sorted(map(tuple, resume.compare_texts(pairs, "k", "l", "r", force).collect()), key=str)
+    assert got(False) == [(1, 0, "a", "a", None), (1, 1, "b", "c", None), (2, 0, None, None, "LINE_COUNT")]
+    assert got(True)[-1] == (2, 1, "", "b", None)

@@ -196,3 +196,18 @@ def java_pattern(pattern: str) -> str:
     """A user's ECMAScript pattern for Java: word bounds are ASCII there, and space takes Unicode's."""
     pattern = pattern.replace("\\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
     return re.sub(r"(?<!\\)\\s", lambda _: BLANK, pattern)
+
+
+def same_collated(a: Column, b: Column) -> Column:
+    """Equal but for case and accents."""
+    return F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")
+
+
+def match_locale(name: Column, available: dict[str, str]) -> Column:
+    """The available locale of that name, else the one that is the default of its language (``available``: locale to language), else null."""
+    exact = F.lit(None).cast("string")
+    for locale, language in reversed(list(available.items())):
+        exact = F.when(F.split_part(name, F.lit("-"), F.lit(1)) == language, locale).otherwise(exact)
+    for locale in available:
+        exact = F.when(name == locale, locale).otherwise(exact)
+    return exact

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import endpoint_path, fill_template, trim_all
+from weftline.functions.text import endpoint_path, fill_template
 
 
 def message(role: Column | str, content: Column) -> Column:
@@ -99,5 +99,15 @@ def global_ids(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
     return parts.join(F.broadcast(table), "_p").withColumn("n", F.row_number().over(here) + F.col("_o")).withColumn("custom_id", F.concat(F.lit("request-"), "n")).drop("_p", "_o")
 
 
-def trimmed(text: Column) -> Column:
-    return trim_all(text)
+def router_body(msgs: Column, params: Mapping[str, object] = {}, provider: Column | None = None, session: Column | None = None, stream: bool | None = None, responses: bool = False) -> Column:
+    """A body for the router: that of chat or responses, with a provider's settings and a session's id."""
+    more = {k: v for k, v in (("provider", provider), ("session_id", session)) if v is not None}
+    return (responses_body if responses else chat_body)(msgs, {**params, **more}, stream)
+
+
+def overlay(body: Column, extra: Column) -> Column:
+    """A JSON body with the members of another laid over it, not merged deeper; nulls lay nothing over."""
+    members = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+    over = members(extra)
+    kept = F.map_filter(members(body), lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False)))
+    return F.to_json(F.map_concat(kept, F.coalesce(over, F.create_map().cast("map<string,variant>"))))

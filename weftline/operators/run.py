@@ -192,3 +192,23 @@ def results_of(spark, path: str) -> DataFrame:
 def _saved(spark, place: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(place + "/_SUCCESS")
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def batch_number(n: Column, size: int) -> Column:
+    """Which batch the n-th request is in, from 0."""
+    return F.floor((n - 1) / size)
+
+
+def lowest_limit(rows: DataFrame, part: str, order: str, limit: str, default: int = 5) -> DataFrame:
+    """``lowest``: the least positive limit among a row and those after it in its run, or the default."""
+    rest = Window.partitionBy(part).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    return rows.withColumn("lowest", F.coalesce(F.min(F.when(F.col(limit) > 0, F.col(limit))).over(rest), F.lit(default)))
+
+
+def response_lines(results: DataFrame, body: Column) -> DataFrame:
+    """(n, line): a result line for each saved request, with ``body`` where it went well and its error where not."""
+    from weftline.operators.request import result_line
+
+    good = F.col("decision") == "ok"
+    error = F.struct(F.col("error_code").alias("code"), F.coalesce("error_message", F.lit("")).alias("message"))
+    return results.select("n", F.when(good, result_line(F.col("custom_id"), body, None)).otherwise(result_line(F.col("custom_id"), None, error)).alias("line"))

@@ -61,3 +61,16 @@ def size_parts(text: Column, most_bytes: float) -> Column:
     cut = lambda s: F.zip_with(F.concat(F.array(F.lit(0)), s["cuts"]), F.concat(s["cuts"], F.array(s["at"])), lambda a, b: F.struct(a.alias("from"), b.alias("to")))
     where = F.aggregate(lines, start, step, cut)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(where, lambda w: F.substring(text, w["from"] + 1, w["to"] - w["from"])))
+
+
+def slices(text: Column, size: int) -> Column:
+    """Pieces of so many characters, the last one shorter; none of an empty text."""
+    if size < 1:
+        raise ValueError("INVALID_CHUNK_SIZE")
+    count = F.ceil(F.char_length(text) / size).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def chunk_size(given: Column, preset: Column, default_preset: Column, fallback: int) -> Column:
+    """The first that is set: what was given, the preset's, the default preset's, the general one."""
+    return F.coalesce(given, preset, default_preset, F.lit(fallback))

@@ -73,3 +73,12 @@ def failures(rows: DataFrame, order: str) -> DataFrame:
     v = F.col("v")
     name = F.coalesce(F.nullif(text_at(v, "$.custom_id"), F.lit("")), F.concat(F.lit("line-"), F.col(order)))
     return rows.where("outcome <> 'ok'").select(F.col(order), name.alias("custom_id"), F.coalesce(text_at(v, "$.error.code"), text_at(v, "$.response.status_code"), F.lit("n/a")).alias("status"), "outcome")
+
+
+def shown_sums(stats: DataFrame) -> DataFrame:
+    """(name, shown) of one row of batch sums: costs with six digits, numbers of tokens; zeros are hidden, and a cost that repeats the upstream's."""
+    total, upstream = F.col("cost_nano"), F.col("upstream_nano")
+    names = [k for k in USAGE if k in stats.columns]
+    shown = {k: F.format_string("%.6f", F.col(k) / NANO) if USAGE[k][1] > 1 else F.col(k).cast("string") for k in names}
+    on = {k: (F.col(k) > 0) & (total != upstream if k == "cost_nano" else F.lit(True)) for k in names}
+    return stats.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.when(on[k], shown[k]).alias("shown")) for k in names])).alias("x")).select("x.name", "x.shown").where("shown is not null")

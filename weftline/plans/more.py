@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import markup, text as tx
-from weftline.operators import jsonl, jsontree, options, prompts, run
-from weftline.plans.registry import _TREE, load, query
+from weftline.operators import jsonl, jsontree, options, prompts, request, resume, run, segment, stats
+from weftline.plans.registry import _B, _R, _STR, _TALK, _TREE, STRIP, _code_sql, junk, load, query, results, talks
 from weftline.sources import files, staging
 from weftline.streaming import accumulate
 
@@ -234,3 +234,92 @@ def run_batch_abort(spark, sf_dir):
     at, size, path = str(total // 2), max(1, total // 4), staging.fresh_path(spark, "run")
     run.run_batches(rows, lambda line, attempt, t: run.Outcome(429) if line == at else run.Outcome(text="fine"), run.Limits(batch_size=size), path, -(-total // size), sleep=lambda s: None)
     return run.results_of(spark, path).select("n", "custom_id", "decision")
+
+
+# --- smaller operators ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, pos::INT AS pos, substr(text, pos * 500 + 1, 500) AS slice FROM documents, unnest(range(0, ceil(length(text) / 500.0)::BIGINT)) AS t(pos)")
+def text_slices(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.slices(F.col("text"), 500)).alias("pos", "slice"))
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 7 AS batch, coalesce(min(CASE WHEN event_id % 9 > 0 THEN event_id % 9 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 5) AS lowest FROM events")
+def batch_limits(spark, sf_dir):
+    """Batches of seven for each user, and the lowest limit among a request and those after it."""
+    from pyspark.sql import Window
+
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 9).alias("m"))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    return run.lowest_limit(e, "user_id", "event_id", "m").select("event_id", run.batch_number(F.col("n"), 7).alias("batch"), F.col("lowest").cast("long").alias("lowest"))
+
+
+@query(_TALK + """SELECT conv_id, to_json({messages: m, temperature: 0.5, provider: {allow: ['a', 'b']}, session_id: 'tc_' || conv_id, stream: true})::VARCHAR AS body FROM t""")
+def payload_router(spark, sf_dir):
+    provider = F.struct(F.array(F.lit("a"), F.lit("b")).alias("allow"))
+    body = request.router_body(F.col("m"), {"temperature": 0.5}, provider, F.concat(F.lit("tc_"), F.col("conv_id").cast("string")), True)
+    return talks(spark, sf_dir).select("conv_id", F.to_json(body).alias("body"))
+
+
+@query("SELECT doc_id, source AS a, (doc_id % 9)::VARCHAR AS b, 'over' AS c FROM documents")
+def body_overlay(spark, sf_dir):
+    """Members of extra_body replace those of the body and join them."""
+    d = load(spark, sf_dir, "documents")
+    body, extra = F.to_json(F.struct(F.col("source").alias("a"), F.lit("under").alias("c"))), F.concat(F.lit('{"c":"over","b":'), F.col("doc_id") % 9, F.lit("}"))
+    out = d.select("doc_id", request.overlay(body, extra).alias("j"))
+    return out.select("doc_id", *(F.get_json_object("j", f"$.{k}").alias(k) for k in "abc"))
+
+
+@query(f"""WITH p AS (SELECT doc_id // 2 AS pair, max(CASE WHEN doc_id % 2 = 0 THEN text END) AS a, max(CASE WHEN doc_id % 2 = 1 THEN text END) AS b FROM (SELECT doc_id, text || chr(10) || ' ' || chr(10) || 'end' AS text FROM documents) GROUP BY 1),
+s AS (SELECT pair, string_split({STRIP.format('a')}, chr(10)) AS x, string_split({STRIP.format('b')}, chr(10)) AS y FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT pair, unnest(range(0, len(x)))::INT AS pos, unnest(x) AS left_line, unnest(y) AS right_line, NULL AS error FROM s WHERE len(x) = len(y) UNION ALL SELECT pair, 0, NULL, NULL, 'LINE_COUNT' FROM s WHERE len(x) <> len(y)""")
+def compare_texts(spark, sf_dir):
+    """Each even document against the odd one after it, without empty lines; unequal numbers of lines are an error."""
+    d = load(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("pair"), (F.col("doc_id") % 2).alias("side"), F.concat("text", F.lit("\n \nend")).alias("text"))
+    pairs = d.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("b")).where("a is not null and b is not null")
+    return resume.compare_texts(pairs, "pair", "a", "b")
+
+
+@query(f"WITH {_R} SELECT {_STR(_B + '.provider')} AS provider, count(*) AS n, min(doc_id) AS first_seen FROM (SELECT *, {_code_sql(True)} AS o FROM v) WHERE o IS NULL AND nullif({_STR(_B + '.provider')}, '') IS NOT NULL GROUP BY 1")
+def batch_by_provider(spark, sf_dir):
+    return stats.counts_by(stats.batch_rows(results(spark, sf_dir)), "provider", "doc_id")
+
+
+_NAMES = "CASE doc_id % 5 WHEN 0 THEN 'FRANCAIS' WHEN 1 THEN 'français' WHEN 2 THEN 'Francés' WHEN 3 THEN 'Français' ELSE 'francais' END"
+
+
+@query(f"SELECT doc_id, strip_accents(lower({_NAMES})) = 'francais' AS same FROM documents")
+def collated_equality(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", tx.same_collated(F.expr(_NAMES), F.lit("Français")).alias("same"))
+
+
+@query("""SELECT doc_id + 1 AS n, CASE WHEN length(coalesce(text, '')) % 10 IN (1, 2) THEN to_json({custom_id: 'request-' || doc_id, response: NULL, error: {code: CASE WHEN length(text) % 10 = 1 THEN 'max_retries' ELSE 'STREAM_FAILED' END, message: CASE WHEN length(text) % 10 = 1 THEN 'blocked for safety' ELSE 'response.failed' END}})
+ ELSE to_json({custom_id: 'request-' || doc_id, response: {status_code: 200, request_id: 'batch', body: {choices: [{message: {content: substr(text, 1, 10)}}]}}, error: NULL}) END::VARCHAR AS line FROM documents""")
+def run_lines(spark, sf_dir):
+    """The result lines of a run, of good and failed requests."""
+    path = staging.fresh_path(spark, "run")
+    run.run_batches(_requests(spark, sf_dir), mock, run.Limits(batch_size=1 << 40, max_fail=0, parallel=8), path, 1, sleep=lambda s: None, jitter=lambda: 0.0)
+    body = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
+    return run.response_lines(run.results_of(spark, path), body)
+
+
+_PACE = "(event_id % 3 + 1) / 100.0"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000.0 AS arr, 60000.0 / ({_PACE}) AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_id, user_id, n, arr AS start_ms FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, greatest(e.arr, s.start_ms + e.gap) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT event_id, round(start_ms)::BIGINT AS start_ms FROM s""")
+def rpm_schedule_varying(spark, sf_dir):
+    """Each request has a rate of its own."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("at"), F.struct("ts", "event_id").alias("o"), F.expr(_PACE).cast("double").alias("rate"))
+    return run.paced(e, "at", "o", F.col("rate"), "user_id").select("event_id", F.round("start_ms").cast("long").alias("start_ms"))
+
+
+_SCRIPTS = "concat(text, CASE doc_id % 4 WHEN 0 THEN ' 中文字符' WHEN 1 THEN ' ☀🙂' WHEN 2 THEN ' 𝔘𝔫' ELSE ' éß' END)"
+
+
+@query(f"SELECT doc_id, ceil(CASE doc_id % 4 WHEN 0 THEN 4 * 1.5 ELSE 0 END + CASE doc_id % 4 WHEN 1 THEN 2 * 2.0 ELSE 0 END + 2.0 * len(regexp_extract_all(text, '[#*0-9]')) + (len(regexp_replace(text, '[#*0-9]', '', 'g')) + 1 + CASE doc_id % 4 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 0 END) / 4.0)::BIGINT AS tokens, length(text) + CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 3 END AS units FROM documents")
+def token_scripts(spark, sf_dir):
+    """Tokens and UTF-16 units of texts with CJK, symbols, astral letters and accents."""
+    t = F.expr(_SCRIPTS)
+    return load(spark, sf_dir, "documents").select("doc_id", tx.approximate_tokens(t).alias("tokens"), tx.utf16_length(t).cast("long").alias("units"))

@@ -385,11 +385,11 @@ def split_parts(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.size_parts(F.col("text"), 700)).alias("part", "content"))
 
 
-@query("SELECT source, string_agg('--- File: ' || doc_id || '.txt ---' || chr(10) || text, '' ORDER BY doc_id) AS content FROM documents GROUP BY source")
+@query("SELECT source AS folder, lpad(doc_id::VARCHAR, 20, '0') || '.txt' AS place, '--- File: ' || doc_id || '.txt ---' || chr(10) || text AS content FROM documents")
 def merge_files(spark, sf_dir):
     """The documents of a source are the files of a folder."""
-    part = F.struct("doc_id", F.concat(F.lit("--- File: "), "doc_id", F.lit(".txt ---\n"), "text").alias("c"))
-    return load(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["c"]), "").alias("content"))
+    d = load(spark, sf_dir, "documents").select("source", F.concat("doc_id", F.lit(".txt")).alias("name"), "text")
+    return resume.merge_files(d, "source", "name", "text")
 
 
 _TREE = """concat('{"a":{"b":[', doc_id % 7, ',{"c":"', source, '"}],"e":{}},"k', doc_id % 3, '":', CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE 'true' END, '}')"""
@@ -410,13 +410,16 @@ def json_missing(spark, sf_dir):
     return jsontree.missing_paths(a, b, "doc_id").select("doc_id", F.array_join("path", "/").alias("path"))
 
 
-@query()
+_LAST = "CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE 'true' END"
+
+
+@query(f"""SELECT doc_id, '{{"a":{{"b":{{"0":' || doc_id % 7 || ',"1":{{"c":"' || source || '"}}}},"e":{{}}}},"k' || doc_id % 2 || '":' || CASE WHEN doc_id % 6 < 2 THEN {_LAST} ELSE '{{"z":1}},"k' || doc_id % 3 || '":' || {_LAST} END || '}}' AS result FROM documents""")
 def json_merge(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.expr(_OTHER).alias("l"), F.expr(_TREE).alias("r"))
     return jsontree.map_pairs(d, "l", "r", ["doc_id"], "merge")
 
 
-@query()
+@query(f"""SELECT doc_id, '{{"a":{{"b":{{"1":{{"c":"' || source || '"}}}},"e":{{}}}}' || CASE WHEN doc_id % 6 < 2 THEN '' ELSE ',"k' || doc_id % 3 || '":' || {_LAST} END || '}}' AS result FROM documents""")
 def json_subtract(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.expr(_TREE).alias("l"), F.expr(_OTHER).alias("r"))
     return jsontree.map_pairs(d, "l", "r", ["doc_id"], "missing")
@@ -455,10 +458,7 @@ def attempt_ladder(spark, sf_dir):
 
 @query("SELECT event_id, gap_s FROM (SELECT event_id, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap_s FROM events) WHERE gap_s > 3600")
 def idle_gap(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = load(spark, sf_dir, "events").withColumn("gap_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))) / 1e6)
-    return e.where("gap_s > 3600").select("event_id", "gap_s")
+    return fold.idle_gaps(load(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), 3600).select("event_id", "gap_s")
 
 
 _KIND = "CASE WHEN event_id % 5 = 0 THEN 'output' WHEN event_id % 7 = 0 THEN 'reasoning' WHEN event_id % 11 = 0 THEN 'conditional' ELSE 'delta' END"
@@ -491,10 +491,7 @@ def page_lookup(spark, sf_dir):
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3")
 def keep_latest_caches(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return load(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 3").select("user_id", "event_id")
+    return resume.keep_latest(load(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), 3).select("user_id", "event_id")
 
 
 # --- rules without SQL ---------------------------------------------------------------------------------------
@@ -504,7 +501,9 @@ def markdown_strip(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", markup.strip_markdown(F.col("text")).alias("text"))
 
 
-@query()
+@query("""WITH u AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE [ord(c)::UBIGINT for c in string_split(text, '')] END AS l FROM documents), f AS (SELECT doc_id, list_reduce(list_prepend(3735928559::UBIGINT, l), lambda a, b: (xor(a, b) * 2654435761::UBIGINT) & 4294967295::UBIGINT) AS a, list_reduce(list_prepend(1103547991::UBIGINT, l), lambda a, b: (xor(a, b) * 1597334677::UBIGINT) & 4294967295::UBIGINT) AS b FROM u),
+g AS (SELECT *, xor((xor(a, a >> 16) * 2246822507::UBIGINT) & 4294967295::UBIGINT, (xor(b, b >> 13) * 3266489909::UBIGINT) & 4294967295::UBIGINT) AS x FROM f), h AS (SELECT *, xor((xor(b, b >> 16) * 2246822507::UBIGINT) & 4294967295::UBIGINT, (xor(x, x >> 13) * 3266489909::UBIGINT) & 4294967295::UBIGINT) AS y FROM g)
+SELECT doc_id, printf('%x', (y & 2097151::UBIGINT) * 4294967296::UBIGINT + x) AS hash FROM h""")
 def fast_hash(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", markup.hashed(F.col("text")).alias("hash"))
 

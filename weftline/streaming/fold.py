@@ -93,10 +93,10 @@ def fold_items(rows: DataFrame, key: str, seq: str, kind: str, text: str) -> Dat
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))), lambda x: x["t"]), "").alias("text"), F.count_if("_keep").alias("kept"), F.count("*").alias("events"))
 
 
-def idle_gaps(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    """Gaps longer than so many seconds between events of a key."""
-    w = Window.partitionBy(key).orderBy(ts)
-    before = F.lag(ts).over(w)
+def idle_gaps(events: DataFrame, key: str, order: tuple[str, ...], seconds: float) -> DataFrame:
+    """Gaps longer than so many seconds between events of a key, in an order whose first column is the time."""
+    ts = order[0]
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
     return events.withColumn("gap_s", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(before.cast("timestamp")) / 1e6).where(F.col("gap_s") > seconds)
 
 
