@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encode_decode
 from weftline.llm.common import Stage, table
-from weftline.llm.jaccard_join import jaccard_components
+from weftline.llm.jaccard_join import id_filter, jaccard_components
 from weftline.llm.mixing import mix_sources
 from weftline.llm.pii import find_pii
 from weftline.llm.quality_rules import quality_rules
@@ -32,8 +32,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = Stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered").df
     groups = jaccard_components(rows.select("_row", "text"), id_col="_row").select(F.col("id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
+    groups = Stage(groups, "groups")
+    first = groups.df.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    gone = Stage(groups.df.select("_row").join(first, "_row", "left_anti"), "gone")
+    groups.drop()
+    # a bitmap of the rows that go lets most others pass where they are; only what it cannot tell apart meets them by a shuffle
+    maybe, _ = id_filter(gone.df, gone.df.count())
+    unsure = rows.where(maybe("_row")).join(gone.df, "_row", "left_anti")
+    return rows.where(~maybe("_row")).unionByName(unsure).select(*COLUMNS)
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
