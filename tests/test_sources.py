@@ -203,3 +203,16 @@ def test_smaller_operators(spark):
     got = lambda force: sorted(map(tuple, resume.compare_texts(pairs, "k", "l", "r", force).collect()), key=str)
     assert got(False) == [(1, 0, "a", "a", None), (1, 1, "b", "c", None), (2, 0, None, None, "LINE_COUNT")]
     assert got(True)[-1] == (2, 1, "", "b", None)
+
+
+def test_plans(spark):
+    """Compiling requests shuffles nothing, token counts are read once, and a tree is scanned once."""
+    from weftline.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("compile_fixed", "compile_regex", "split_parts", "avg_line_length"):
+        assert "Exchange" not in plan(QUERIES[name][0](spark, sf)), name
+    flat = plan(QUERIES["json_flatten"][0](spark, sf))
+    assert "Exchange" not in flat and flat.count("FileScan") <= 2  # the second feeds what is nested too deep
+    assert "documents.parquet" not in plan(QUERIES["token_outliers"][0](spark, sf))
