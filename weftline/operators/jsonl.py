@@ -18,10 +18,9 @@ def kind_at(v: Column, path: str) -> Column:
 
 
 def truthy(v: Column, path: str) -> Column:
-    """Present and none of null, false, 0 and the empty string."""
-    kind, text = kind_at(v, path), text_at(v, path)
-    falsy = kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false")) | (kind.rlike("BIGINT|DOUBLE|DECIMAL") & F.coalesce(text.try_cast("double") == 0, F.lit(False)))
-    return ~F.coalesce(falsy, F.lit(True))
+    """Present and none of null, false, 0 and the empty string: by its JSON text, which is made once."""
+    shown = F.coalesce(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("null"))
+    return ~shown.rlike(r'\A(?:null|false|""|-?0(?:\.0*)?(?:[eE].*)?)\z')
 
 
 def read_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
