@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import markup, text as tx
-from weftline.operators import jsonl, jsontree, options, prompts, run
+from weftline.operators import jsonl, jsontree, options, prompts, request, run
 from weftline.sources import files, staging
-from weftline.streaming import accumulate
+from weftline.streaming import accumulate, blocks
 
 
 def test_lines_over_blocks(spark, tmp_path):
@@ -216,3 +216,63 @@ def test_plans(spark):
     flat = plan(QUERIES["json_flatten"][0](spark, sf))
     assert "Exchange" not in flat and flat.count("FileScan") <= 2  # the second feeds what is nested too deep
     assert "documents.parquet" not in plan(QUERIES["token_outliers"][0](spark, sf))
+
+
+def test_one_json_value(spark):
+    """What follows a value makes a line malformed, whatever it is."""
+    good = ['{"a":1}', "null", "1", '"s"', ' {"a":[1,2]} ', "[]"]
+    bad = ['{"a":1} x', '{"a":1}}', '{"a":1},{', '{"a":1}],[', "1 2", '{"a":1}\n{"b":2}', "", " ", None, '{"a":1},5', "1,2"]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", tx.parsed_json(F.col("t")).isNotNull().alias("ok")).collect()
+    assert [r.t for r in rows if r.ok] == good
+    line = spark.createDataFrame([('{"custom_id":"a","response":{"status_code":200,"body":{"choices":[{"text":"x"}]}}} junk',)], "line string")
+    assert jsonl.parse_results(jsonl.read_lines(line)).first().error_code == "malformed"
+
+
+@pytest.mark.parametrize("pieces, want", [
+    (["a\n\nb"], [("a\n\n", False), ("b", False)]),
+    (["say\n```py\nx\n\ny\n```\nend"], [("say\n", False), ("```py\nx\n\ny\n```\n", True), ("end", False)]),
+    (["a\n\nb\n```\nx\n"], [("a\n\nb\n", False), ("```\nx\n", True)]),  # an opening fence comes first
+    (["a\n\nb\n", "```\nx\n"], [("a\n\n", False), ("b\n", False), ("```\nx\n", True)]),
+    (["a\n", None, " \n", "\nb"], [("a\n \n", False), ("\nb", False)]),
+    (["```\n```\n", "z"], [("```\n```\n", True), ("z", False)]),
+    (["", None], []),
+])
+def test_blocks(spark, tmp_path, pieces, want):
+    rows = spark.createDataFrame([("r", i, p) for i, p in enumerate(pieces)], "request_id string, seq int, text string")
+    got = blocks.fold_blocks(rows, "request_id", "seq", "text").orderBy("pos").collect()
+    assert [(r.text, r.is_code) for r in got] == want and [r.pos for r in got] == list(range(len(want)))
+
+
+def test_plain_lines_and_live_blocks(spark, tmp_path):
+    assert blocks.cut("a\nb\nc", False, False) == ([("a\n", False), ("b\n", False)], "c", False)
+    kind = "request_id string, seq int, text string"
+    for part, rows in enumerate(([("r", 0, "a\n\nb\n"), ("q", 0, "x")], [("r", 1, "```\nc\n"), ("q", 1, None)], [("r", 2, "```\nd"), ("r", 3, None)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = blocks.blocks_live(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+        q = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(90), part
+        finally:
+            q.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("request_id", "pos").collect()
+    assert [tuple(r) for r in got] == [("q", 0, "x", False), ("r", 0, "a\n\n", False), ("r", 1, "b\n", False), ("r", 2, "```\nc\n```\n", True), ("r", 3, "d", False)]
+
+
+def test_variants_and_prompts(spark):
+    models = {"m": {"reasoningType": "reason_and_instruct", "reasoning": {"x": 1}, "instruct": {"x": 2}}, "n": {"reasoningType": "odd"}}
+    assert options.pick_variant(models, "m", True) == {"x": 1} and options.pick_variant(models, "m", False) == {"x": 2}
+    for name, code in (("none", "UNDEFINED_PARAM"), ("n", "INVALID_REASONING_TYPE")):
+        with pytest.raises(ValueError, match=code):
+            options.pick_variant(models, name, True)
+    given = [(None, "sys", "ask", "", None), ("mine", "sys", None, "preset", None), (None, None, "a", "b", None), (None, None, None, None, "pre"), (None, None, " ", None, None)]
+    rows = spark.createDataFrame(given, "g string, s string, p string, e string, f string").select(prompts.assemble_given(*map(F.col, "gspef")).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in rows] == [("sys", "ask", None, None), ("mine", "preset", None, None), (None, "a", None, "MUTUALLY_EXCLUSIVE_INPUTS"), (None, None, "pre", None), (None, " ", None, "PROMPT_MISSING")]
+
+
+def test_sent_body(spark):
+    """A retry's temperature replaces a base one; without a base, settings send none."""
+    cases = [('{"temperature":0.2,"seed":1}', "{}", 0.9, {"temperature": 0.9, "seed": 1}), ('{"seed":1}', "{}", 0.9, {"seed": 1}), ('{"seed":1}', '{"seed":4,"rpm":2}', None, {"seed": 4}),
+             ('{"temperature":0.2,"grammar":"g"}', None, None, {"seed": 7}), ('{"temperature":0.2,"x":1}', None, 0.4, {"x": 1, "temperature": 0.4, "seed": 7})]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, b string, m string, t double")
+    sent = request.sent_body(F.col("b"), F.col("m"), F.col("t"), ("temperature", "seed"), {"seed": 7, "top_k": 1})
+    assert [json.loads(r.j) for r in rows.select("i", sent.alias("j")).orderBy("i").collect()] == [c[3] for c in cases]

@@ -140,20 +140,21 @@ wrapped = lambda c, width=40: _series(lambda t: wrap(t, width), "array<string>")
 hashed = lambda c: _series(fast_hash, "string")(c)
 
 
-def side_by_side(left, right, width: int = 40):
-    """Both texts wrapped, padded to the width and joined by ' - ', as lines."""
+def side_by_side(left, right, width: int = 40, wide=False):
+    """Both texts wrapped, padded to the width and joined by ' - ', as lines. Where ``wide`` (of the left file: whether it has any wide character), pads are ideographic spaces."""
 
     @F.pandas_udf("array<string>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+    def run(a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
+        for x, y, full in zip(a.fillna(""), b.fillna(""), w, strict=True):
             p, q = wrap(x, width) or [""], wrap(y, width) or [""]
             n = max(len(p), len(q))
             p, q = p + [""] * (n - len(p)), q + [""] * (n - len(q))
-            out.append([s + " " * max(0, width - display_width(s)) + " - " + t for s, t in zip(p, q, strict=True)])
+            gaps = [max(0, width - display_width(s)) for s in p]
+            out.append([s + ("\u3000" * (g // 2) + " " * (g % 2) if full else " " * g) + " - " + t for s, g, t in zip(p, gaps, q, strict=True)])
         return pd.Series(out)
 
-    return run(left, right)
+    return run(left, right, F.lit(wide) if isinstance(wide, bool) else wide)
 
 
 def count_tokens(column, tokenizer_json: str):

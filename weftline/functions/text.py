@@ -29,6 +29,17 @@ def is_blank(text: Column) -> Column:
     return text.rlike(rf"\A{BLANK}*+\z")
 
 
+def parsed_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value, null if it is none.
+
+    Spark's own parser stops after the first value, whatever follows. So the text is parsed as the
+    first item of an array whose second one is the text's hash: what follows a value leaves no such array.
+    """
+    mark = F.xxhash64(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
+    return F.when(F.try_variant_get(pair, "$[1]", "bigint") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def trim_all(text: Column) -> Column:
     """Trims every kind of white space, not only spaces."""
     return F.regexp_replace(text, f"\\A{BLANK}+|{BLANK}+\\z", "")

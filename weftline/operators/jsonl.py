@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import is_blank, trim_all
+from weftline.functions.text import is_blank, parsed_json, trim_all
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -25,7 +25,7 @@ def truthy(v: Column, path: str) -> Column:
 
 def read_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Lines that are not blank, with their parsed variant (null if malformed)."""
-    return df.where(~is_blank(F.col(line_col))).withColumn("v", F.try_parse_json(F.col(line_col)))
+    return df.where(~is_blank(F.col(line_col))).withColumn("v", parsed_json(F.col(line_col)))
 
 
 def parse_request(df: DataFrame) -> DataFrame:
@@ -77,6 +77,16 @@ def _output_text(v: Column, item: str, part: str | None) -> Column:
     return F.array_join(F.transform(parts if part is None else F.filter(parts, lambda p: p["type"] == part), lambda p: p["text"]), "")
 
 
+def _json_text(c: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+
+
+def as_result(raw: Column, custom_id: Column) -> Column:
+    """An answer that came whole, not as a stream, as the variant of a result line, so that the same checks and readers apply; null if malformed."""
+    line = F.concat(F.lit('{"custom_id":'), _json_text(custom_id), F.lit(',"response":{"status_code":200,"body":'), raw, F.lit("}}"))
+    return F.when(parsed_json(raw).isNotNull(), F.try_parse_json(line))
+
+
 def parse_results(df: DataFrame, router: bool = False) -> DataFrame:
     """custom_id, is_error, error_code, text and reasoning of each result line; the router's form also has reasoning in two more places."""
     v = F.col("v")

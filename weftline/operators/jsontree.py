@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import parsed_json
+
 #: Levels of a tree that are exploded by the engine itself; what is nested deeper is folded in Arrow batches.
 LEVELS = 8
 
@@ -21,7 +23,7 @@ def flatten(docs: DataFrame, id_col: str, json_col: str, levels: int = LEVELS, a
     scan, nothing shuffled. Null and malformed texts have no leaves. A number keeps its value, not
     its spelling. Without ``arrays`` an array is a leaf.
     """
-    rows = docs.select(F.col(id_col), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(json_col)).alias("value")).where("value is not null")
+    rows = docs.select(F.col(id_col), F.array().cast("array<string>").alias("path"), parsed_json(F.col(json_col)).alias("value")).where("value is not null")
     for _ in range(levels):
         view = f"_weftline_{uuid.uuid4().hex}"
         rows.withColumn("nested", _nested(arrays)).createOrReplaceTempView(view)
@@ -69,7 +71,7 @@ def missing_paths(source: DataFrame, target: DataFrame, id_col: str) -> DataFram
 
 def sorted_json(text):
     """Compact JSON with the keys of every object in byte order; null for what is none."""
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(parsed_json(text))
 
 
 def unused_keys(keys: DataFrame, texts: DataFrame, exempt: list[str] | None = None) -> DataFrame:

@@ -111,3 +111,29 @@ def common_params(supported: tuple[str, ...], own: Mapping[str, tuple[bool, obje
         elif name in own and own[name][0]:
             out[name] = own[name][1]
     return out
+
+
+#: Fixed: how a model reasons, and the part of its configuration that then counts.
+REASONING = {"reason_and_instruct": ("reasoning", "instruct"), "instruct_only": ("default", "default"), "reason_only": ("default", "default")}
+
+
+def uses_reasoning(asked: Column, default: Column) -> Column:
+    """Asking turns the default round; nulls count as no."""
+    return F.coalesce(asked, F.lit(False)) != F.coalesce(default, F.lit(False))
+
+
+def variant_name(kind: Column, reasoning: Column) -> Column:
+    """Which part of a model's configuration counts; null for an unknown kind."""
+    out = F.lit(None).cast("string")
+    for name, (yes, no) in REASONING.items():
+        out = F.when(kind == name, F.when(reasoning, yes).otherwise(no)).otherwise(out)
+    return out
+
+
+def pick_variant(models: Mapping[str, Mapping], name: str, reasoning: bool) -> Mapping:
+    """The part of a named model's configuration that counts."""
+    if name not in models:
+        raise ValueError("UNDEFINED_PARAM")
+    if (kind := models[name].get("reasoningType")) not in REASONING:
+        raise ValueError("INVALID_REASONING_TYPE")
+    return models[name][REASONING[kind][0 if reasoning else 1]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.text import fill_template
+from weftline.functions.text import fill_languages, fill_template, is_blank
 from weftline.operators.jsonl import kind_at, text_at
 
 
@@ -67,3 +67,27 @@ def prompt_text(v: Column) -> Column:
 def completed_text(reasoning: Column, text: Column) -> Column:
     """What a parsed result says: its reasoning, if any, and a line end before its text."""
     return F.concat(F.when(F.coalesce(reasoning, F.lit("")) != "", F.concat(reasoning, F.lit("\n"))).otherwise(""), F.coalesce(text, F.lit("")))
+
+
+def assemble(system: Column, prompt: Column, prefill: Column, context: Column, source: Column, target: Column) -> Column:
+    """A struct (system, prompt, prefill, error) of a translating batch; a null argument is switched off.
+
+    Languages are filled in, the context joins the prompt or stands for it; ``PROMPT_MISSING`` where
+    neither prompt nor prefill says anything.
+    """
+    told = F.when(is_blank(context), "").otherwise(F.coalesce(context, F.lit("")))
+    asked = F.coalesce(with_context(fill_languages(prompt, source, target), told), told)
+    begun = fill_languages(prefill, source, target)
+    return _prompts(fill_languages(system, source, target), asked, begun, F.lit(None).cast("string"))
+
+
+def assemble_given(given_system: Column, system: Column, given: Column, preset: Column, prefill: Column) -> Column:
+    """As :func:`assemble`, of a prompt that is given or one of a preset, not both; a given system text comes before the configured one."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    both = F.when(some(given).isNotNull() & some(preset).isNotNull(), "MUTUALLY_EXCLUSIVE_INPUTS")
+    return _prompts(F.coalesce(some(given_system), system), F.coalesce(some(given), some(preset), F.lit("")), prefill, both)
+
+
+def _prompts(system: Column, prompt: Column, prefill: Column, error: Column) -> Column:
+    missing = F.when(is_blank(prompt) & is_blank(F.coalesce(prefill, F.lit(""))), "PROMPT_MISSING")
+    return F.struct(system.alias("system"), F.nullif(prompt, F.lit("")).alias("prompt"), prefill.alias("prefill"), F.coalesce(error, missing).alias("error"))

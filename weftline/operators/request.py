@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import endpoint_path, fill_template
+from weftline.functions.text import endpoint_path, fill_template, parsed_json
 
 
 def message(role: Column | str, content: Column) -> Column:
@@ -105,9 +106,39 @@ def router_body(msgs: Column, params: Mapping[str, object] = {}, provider: Colum
     return (responses_body if responses else chat_body)(msgs, {**params, **more}, stream)
 
 
+def _members(json_text: Column) -> Column:
+    return F.try_variant_get(parsed_json(json_text), "$", "map<string,variant>")
+
+
 def overlay(body: Column, extra: Column) -> Column:
     """A JSON body with the members of another laid over it, not merged deeper; nulls lay nothing over."""
-    members = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
-    over = members(extra)
-    kept = F.map_filter(members(body), lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False)))
+    over = _members(extra)
+    kept = F.map_filter(_members(body), lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False)))
     return F.to_json(F.map_concat(kept, F.coalesce(over, F.create_map().cast("map<string,variant>"))))
+
+
+#: Fixed: what a run without settings of the request's own takes from a body, as the preset decides it.
+PRESET_DECIDES = ("enable_thinking", "chat_template_kwargs", "reasoning_effort", "reasoning", "include", "grammar", "response_format")
+
+
+def sent_body(body: Column, meta: Column, temperature: Column, supported: tuple[str, ...], preset: Mapping[str, object]) -> Column:
+    """The JSON body that is sent for a line, by whether it has settings of its own (``meta``, JSON or null).
+
+    With them, only the supported ones among them replace members of the body, and the temperature is
+    that of the settings or the body, or a retry's where it differs. Without them the preset's
+    supported parameters do, and the temperature is the attempt's or none.
+    """
+    b, own = _members(body), _members(meta)
+    double = lambda v: F.try_variant_get(v, "$", "double")
+    listed = F.array(*(F.lit(k) for k in supported if k != "temperature"))
+    base = F.coalesce(F.try_element_at(own, F.lit("temperature")), F.try_element_at(b, F.lit("temperature")))
+    retried = F.when(base.isNotNull() & (temperature != double(base)), temperature.cast("double").cast("variant"))
+    heat = F.when(own.isNotNull(), F.coalesce(retried, base)).otherwise(temperature.cast("double").cast("variant"))
+    ours = _members(F.lit(json.dumps({k: v for k, v in preset.items() if k in supported and k != "temperature"})))
+    over = F.when(own.isNotNull(), F.map_filter(own, lambda k, _: F.array_contains(listed, k))).otherwise(ours)
+    gone = F.when(own.isNull(), F.array(*map(F.lit, PRESET_DECIDES))).otherwise(F.array().cast("array<string>"))
+    gone = F.concat(gone, F.map_keys(over), F.array(F.lit("temperature")) if "temperature" in supported else F.array().cast("array<string>"))
+    out = F.map_concat(F.map_filter(b, lambda k, _: ~F.array_contains(gone, k)), over)
+    if "temperature" in supported:
+        out = F.when(heat.isNotNull(), F.map_concat(out, F.create_map(F.lit("temperature"), heat))).otherwise(out)
+    return F.to_json(out)

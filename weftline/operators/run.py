@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import MODERATION_WORDS, is_moderation_block
+from weftline.functions.text import MODERATION_WORDS, fill_template, is_moderation_block
 
 #: Fixed: statuses that end a run at once (403 unless moderated).
 FATAL = (400, 401, 402, 403, 429, 503)
@@ -212,3 +212,9 @@ def response_lines(results: DataFrame, body: Column) -> DataFrame:
     good = F.col("decision") == "ok"
     error = F.struct(F.col("error_code").alias("code"), F.coalesce("error_message", F.lit("")).alias("message"))
     return results.select("n", F.when(good, result_line(F.col("custom_id"), body, None)).otherwise(result_line(F.col("custom_id"), None, error)).alias("line"))
+
+
+def progress(n: Column, total: Column, custom_id: Column, failed: Column, template: str) -> Column:
+    """What is said after each request: ``template`` with {{ .Processed }} and {{ .Total }}, and how it ended."""
+    said = fill_template(F.lit(template), {"Processed": n.cast("string"), "Total": total.cast("string")})
+    return F.concat(said, F.when(failed, F.lit(" [FAILED: ")).otherwise(F.lit(" [OK: ")), custom_id, F.lit("]"))

@@ -8,7 +8,7 @@ from weftline.functions import markup, text as tx
 from weftline.operators import jsonl, jsontree, options, prompts, request, resume, run, segment, stats
 from weftline.plans.registry import _B, _R, _STR, _TALK, _TREE, STRIP, _code_sql, junk, load, query, results, talks
 from weftline.sources import files, staging
-from weftline.streaming import accumulate
+from weftline.streaming import accumulate, blocks
 
 # --- files ----------------------------------------------------------------------------------------------
 
@@ -323,3 +323,71 @@ def token_scripts(spark, sf_dir):
     """Tokens and UTF-16 units of texts with CJK, symbols, astral letters and accents."""
     t = F.expr(_SCRIPTS)
     return load(spark, sf_dir, "documents").select("doc_id", tx.approximate_tokens(t).alias("tokens"), tx.utf16_length(t).cast("long").alias("units"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\s`]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, unnest(['one' || chr(10) || chr(10), t || chr(10), '```py' || chr(10) || t || chr(10) || '```' || chr(10), 'end ' || t]) AS text, unnest([0, 1, 2, 3])::INT AS pos, unnest([false, false, true, false]) AS is_code FROM d""")
+def stream_blocks(spark, sf_dir):
+    """Whole texts streamed in four pieces, as a paragraph, a line, code and a last line."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s`]+", " ")
+    cut = F.array(F.lit("one\n\n"), t, F.concat(F.lit("\n```py\n"), t), F.concat(F.lit("\n```\nend "), t))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("seq", "text"))
+    return blocks.fold_blocks(rows, "doc_id", "seq", "text")
+
+
+@query("""SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'From ' || lang || ' to xx.' END AS system, CASE doc_id % 4 WHEN 0 THEN 'Read ' || text || ' first' WHEN 1 THEN 'Translate from ' || lang || chr(10) || chr(10) || text WHEN 2 THEN text END AS prompt, CASE doc_id % 8 WHEN 7 THEN 'So, xx:' END AS prefill, CASE doc_id % 8 WHEN 3 THEN 'PROMPT_MISSING' END AS error
+FROM (SELECT doc_id, coalesce(lang, '') AS lang, 't ' || coalesce(text, '') AS text FROM documents)""")
+def prompt_assembly(spark, sf_dir):
+    """System text, prompt with context and prefill of a translating batch, by what is switched on."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.concat(F.lit("t "), F.coalesce("text", F.lit(""))).alias("text"))
+    case = F.col("doc_id") % 4
+    asked = F.when(case == 0, "Read {{ .ContextualInformation }} first").when(case == 1, "Translate from {{ .LanguageSource }}")
+    made = prompts.assemble(F.when(F.col("doc_id") % 2 == 0, "From {{ .LanguageSource }} to {{.LanguageTarget}}."), asked, F.when(F.col("doc_id") % 8 == 7, "So, {{ .LanguageTarget }}:"), F.when(case < 3, F.col("text")), F.col("lang"), F.lit("xx"))
+    return d.select("doc_id", made.alias("m")).select("doc_id", "m.*")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'reasoning' ELSE 'instruct' END WHEN 1 THEN 'default' END AS variant FROM documents""")
+def model_variants(spark, sf_dir):
+    """Which part of a model's configuration counts: asking turns a default of reasoning round."""
+    n = F.col("doc_id")
+    kind = F.when(n % 3 == 0, "reason_and_instruct").when(n % 3 == 1, "reason_only").otherwise("other")
+    return load(spark, sf_dir, "documents").select(n, options.variant_name(kind, options.uses_reasoning(n % 4 < 2, (n % 4 == 1) | (n % 4 == 2))).alias("variant"))
+
+
+@query("""SELECT doc_id, source AS kept, CASE doc_id % 3 WHEN 0 THEN NULL ELSE 'high' END AS reasoning_effort, CASE doc_id % 3 WHEN 0 THEN '0.9' WHEN 1 THEN '0.25' END AS top_p, CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 ELSE 0.1 END::DOUBLE AS temperature, CASE doc_id % 3 WHEN 0 THEN 64 END::INT AS max_tokens FROM documents WHERE source IS NOT NULL""")
+def sent_bodies(spark, sf_dir):
+    """Bodies of lines without settings, with some that replace members, and with a temperature that no retry has changed."""
+    d = load(spark, sf_dir, "documents").where("source is not null")
+    n = F.col("doc_id") % 3
+    body = F.to_json(F.struct(F.col("source").alias("kept"), F.lit("high").alias("reasoning_effort"), F.when(n != 0, F.lit(0.1)).otherwise(F.lit(0.7)).alias("temperature")))
+    meta = F.when(n == 1, F.lit('{"top_p":0.25,"rpm":5}')).when(n == 2, F.lit('{"temperature":0.1}'))
+    sent = request.sent_body(body, meta, F.when(n != 2, F.lit(0.5)), ("temperature", "top_p", "max_tokens"), {"top_p": 0.9, "max_tokens": 64, "seed": 3})
+    out = d.select("doc_id", sent.alias("j"))
+    got = {k: F.get_json_object("j", f"$.{k}") for k in ("kept", "reasoning_effort", "top_p", "temperature", "max_tokens")}
+    return out.select("doc_id", *(c.cast({"temperature": "double", "max_tokens": "int"}.get(k, "string")).alias(k) for k, c in got.items()))
+
+
+@query("""SELECT doc_id, 'Processed ' || (doc_id + 1) || ' of ' || (SELECT count(*) FROM documents) || CASE WHEN doc_id % 5 = 0 THEN ' [FAILED: request-' ELSE ' [OK: request-' END || doc_id || ']' AS line FROM documents""")
+def progress_lines(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    total = d.count()
+    return d.select("doc_id", run.progress(F.col("doc_id") + 1, F.lit(total), F.concat(F.lit("request-"), "doc_id"), F.col("doc_id") % 5 == 0, "Processed {{ .Processed }} of {{ .Total }}").alias("line"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'error' WHEN 3 THEN 'malformed' END AS error_code, CASE doc_id % 4 WHEN 0 THEN text END AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def whole_answers(spark, sf_dir):
+    """Answers that came whole: the checks and readers of result lines hold for them."""
+    n = F.col("doc_id") % 4
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("message"), F.when(n == 1, "length").otherwise("stop").alias("finish_reason"))).alias("choices"), F.when(n == 2, F.struct(F.lit("busy").alias("message"))).alias("error")))
+    raw = F.when(n == 3, F.concat(said, F.lit("}},{"))).otherwise(said)
+    rows = load(spark, sf_dir, "documents").select("doc_id", jsonl.as_result(raw, F.col("doc_id").cast("string")).alias("v"))
+    return jsonl.parse_results(rows).select("doc_id", "error_code", "text")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN rpad('text ' || doc_id, 40, ' ') ELSE '字' || doc_id || repeat('　', (38 - length(doc_id::VARCHAR)) // 2) || repeat(' ', (38 - length(doc_id::VARCHAR)) % 2) END || ' - ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'to ' || doc_id END AS line FROM documents""")
+def compare_layout(spark, sf_dir):
+    """Two files side by side: the left is padded to 40 columns, by wide spaces in files with wide characters."""
+    d, even = load(spark, sf_dir, "documents"), F.col("doc_id") % 2 == 0
+    left = F.concat(F.when(even, "text ").otherwise("字"), F.col("doc_id").cast("string"))
+    right = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("to "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", F.explode(markup.side_by_side(left, right, 40, ~even)).alias("line"))

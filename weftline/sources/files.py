@@ -16,6 +16,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import is_blank, parsed_json, trim_all
+
 #: Fixed: the largest source that is taken, in bytes.
 MOST_BYTES = 100 * 1024 * 1024
 #: Fixed: media by extension.
@@ -73,23 +75,19 @@ def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def jsonl_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line, v): JSONL lines that are not blank, with their JSON, null if malformed; raw text and numbers stay."""
-    from weftline.functions.text import is_blank
-
-    return text_lines(spark, paths).where(~is_blank(F.col("line"))).withColumn("v", F.try_parse_json("line"))
+    return text_lines(spark, paths).where(~is_blank(F.col("line"))).withColumn("v", parsed_json(F.col("line")))
 
 
 def is_jsonl(text: Column) -> Column:
     """The first line that is not blank is a JSON object with one of the keys of requests and results."""
-    from weftline.functions.text import is_blank, trim_all
-
     first = trim_all(F.coalesce(F.try_element_at(F.filter(F.split(text, "\n", -1), lambda x: ~is_blank(x)), F.lit(1)), F.lit("")))
     keys = F.json_object_keys(first)
-    return F.coalesce(first.startswith("{") & F.try_parse_json(first).isNotNull() & F.arrays_overlap(keys, F.array(*map(F.lit, ("custom_id", "response", "error", "body")))), F.lit(False))
+    return F.coalesce(first.startswith("{") & parsed_json(first).isNotNull() & F.arrays_overlap(keys, F.array(*map(F.lit, ("custom_id", "response", "error", "body")))), F.lit(False))
 
 
 def json_file(spark: SparkSession, path: str) -> DataFrame:
     """(file, v, error): whole JSON files; INVALID_JSON where a text is none."""
-    rows = text_files(spark, path).withColumn("v", F.try_parse_json("text"))
+    rows = text_files(spark, path).withColumn("v", parsed_json(F.col("text")))
     return rows.select("file", "v", F.when(F.col("v").isNull(), "INVALID_JSON").alias("error"))
 
 

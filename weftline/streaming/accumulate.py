@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import parsed_json
 from weftline.operators.jsonl import kind_at, text_at, truthy
 
 _KEY = "request_id"
@@ -17,7 +18,7 @@ _KEY = "request_id"
 
 def parsed(events: DataFrame) -> DataFrame:
     """Events with their variant; what is not JSON is left out."""
-    return events.select(_KEY, "seq", F.try_parse_json("data").alias("v")).where("v is not null")
+    return events.select(_KEY, "seq", parsed_json(F.col("data")).alias("v")).where("v is not null")
 
 
 def last(path: str, name: str, v: str = "v") -> Column:
