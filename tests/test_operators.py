@@ -123,3 +123,23 @@ def test_live_fold_agrees(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.sql("select request_id, text from folded").collect())) == [(f"r{k}", "0 1 2 3 ") for k in range(3)]
+
+
+def test_global_ids_over_sampled_ranges(spark):
+    """Ranges come from a sample that differs from job to job; ids stay consecutive, in order, with nulls last."""
+    rows = spark.range(0, 400_000, 1, 4).select(F.when(F.col("id") % 100_000 != 7, (F.col("id") * 7919) % 400_009).alias("k"))
+    held, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = request.global_ids(rows, ["k"], 5).toPandas().sort_values("n")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got["n"].tolist() == list(range(5, 400_005))
+    assert got["k"].iloc[:-4].is_monotonic_increasing and got["k"].iloc[-4:].isna().all()
+    assert (got["custom_id"] == "request-" + got["n"].astype(str)).all()
+
+
+def test_global_ids_of_no_rows(spark):
+    assert request.global_ids(spark.range(0), ["id"]).count() == 0

@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import endpoint_path, fill_template, parsed_json
+from weftline.sources.staging import staged
+
+#: Fixed: Spark's increasing ids hold the partition above so many bits of the row's place in it.
+_PLACE_BITS = 33
 
 
 def message(role: Column | str, content: Column) -> Column:
@@ -85,19 +89,20 @@ def compile_requests(chunks: DataFrame, endpoint: str = "chat", prompt: str | No
 
 
 def global_ids(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """Consecutive ids over all rows without a single-task window: ranges are sorted, counted, and offset.
+    """Consecutive ids over all rows, nulls last, without a single-task window: ranges are sorted, written, counted and offset.
 
-    One count for each range comes to the driver.
+    Ranges are drawn from a sample, anew in each job, so the sorted rows are written with their places
+    and both the counts and the ids come from what was written. One count for each range comes to the driver.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = sorted((r[0], r[1]) for r in parts.groupBy("_p").count().collect())
-    offsets, total = [], first - 1
-    for p, n in sizes:
-        offsets.append((p, total))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    parts = staged(placed, "ranges").withColumn("_p", F.shiftright("_m", _PLACE_BITS).cast("int"))
+    offsets, total = [], first
+    for p, n in sorted(tuple(r) for r in parts.groupBy("_p").count().collect()):
+        offsets.append((p, total - (p << _PLACE_BITS)))
         total += n
-    table = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _o long")
-    here = Window.partitionBy("_p").orderBy(*order)
-    return parts.join(F.broadcast(table), "_p").withColumn("n", F.row_number().over(here) + F.col("_o")).withColumn("custom_id", F.concat(F.lit("request-"), "n")).drop("_p", "_o")
+    table = rows.sparkSession.createDataFrame(offsets, "_p int, _o long")
+    return parts.join(F.broadcast(table), "_p").withColumn("n", F.col("_m") + F.col("_o")).withColumn("custom_id", F.concat(F.lit("request-"), "n")).drop("_p", "_o", "_m")
 
 
 def router_body(msgs: Column, params: Mapping[str, object] = {}, provider: Column | None = None, session: Column | None = None, stream: bool | None = None, responses: bool = False) -> Column:
