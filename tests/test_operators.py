@@ -143,3 +143,12 @@ def test_global_ids_over_sampled_ranges(spark):
 
 def test_global_ids_of_no_rows(spark):
     assert request.global_ids(spark.range(0), ["id"]).count() == 0
+
+
+def test_fixed_chunks_split_a_text_once(spark):
+    """Chunks, nulls and blanks as before, with ids over them in order."""
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, None), (3, ""), (4, "\n \n\nd")], "doc_id long, text string")
+    rows = segment.explode_chunks(docs, segment.fixed_chunks(F.col("text"), 2))
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, "a\nb"), (1, 1, "c"), (3, 0, ""), (4, 0, "\n "), (4, 1, "\nd")]
+    plan = docs.select(segment.fixed_chunks(F.col("text"), 2).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1

@@ -12,8 +12,8 @@ def fixed_chunks(text: Column, lines: int) -> Column:
     """Chunks of so many lines; an empty text is one empty chunk."""
     if lines < 1:
         raise ValueError("INVALID_CHUNK_SIZE")
-    rows = F.split(text, "\n", -1)
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(rows) / lines).cast("int") - 1), lambda i: F.array_join(F.slice(rows, i * lines + 1, lines), "\n"))
+    cut = lambda rows: F.transform(F.sequence(F.lit(0), F.ceil(F.size(rows) / lines).cast("int") - 1), lambda i: F.array_join(F.slice(rows, i * lines + 1, lines), "\n"))
+    return F.flatten(F.transform(F.array(F.split(text, "\n", -1)), cut))  # bound by a transform, so that a text is split once and not for each chunk
 
 
 def pattern_chunks(text: Column, pattern: str) -> Column:

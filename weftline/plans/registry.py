@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import language, markup, text as tx
 from weftline.operators import jsonl, jsontree, request, resume, run, segment, stats
+from weftline.sources import staging
 from weftline.streaming import fold
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -110,7 +111,8 @@ def id_continuation(spark, sf_dir):
     """Ids that go on after those a target already holds."""
     docs, chunks = fixed(spark, sf_dir)
     have = load(spark, sf_dir, "labels").select(F.concat(F.lit("request-"), "doc_id").alias("custom_id"))
-    rows = segment.explode_chunks(docs, chunks).where(~tx.is_blank(F.col("chunk")))
+    rows = segment.explode_chunks(docs, chunks).where(~tx.is_blank(F.col("chunk"))).drop("chunk")
+    rows = staging.staged(rows, "chunks")  # else the sample of ranges cuts all texts once more
     return request.global_ids(rows, ["doc_id", "pos"], request.next_id(have)).select("doc_id", "pos", "custom_id")
 
 
