@@ -650,3 +650,27 @@ def test_keep_first_by_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r.doc_id), r.text) for r in p.keep_first(spark, docs, "").collect())
     assert got == sorted([("1", a), ("1", b), ("None", c)])
+
+
+def test_lm_merges_and_written_pieces(spark):
+    """Merges learnt from counts are fewer pieces than bytes, repeat nothing and stop where nothing repeats; every text is cut once, as it is by itself."""
+    from weftline.llm import lm_scoring as lm
+
+    assert lm.learn_merges({}, 9) == [] and lm.learn_merges({b"q": 1}, 9) == []
+    assert lm.learn_merges({b"ab": 5, b"abc": 3}, 3) == [b"ab", b"ab ", b"c "]
+    assert lm.learn_merges({b"aaaa": 4}, 9) == [b"aa", b"aa ", b"aaaa "]
+    rng = random.Random(11)
+    rows = [(i, text(rng, rng.randint(0, 40))) for i in range(90)] + [(90, None), (91, " "), (92, "é中" * 9_000), (None, "the the")]
+    words = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    merges = lm.learn_merges(words, 200)
+    assert len(set(merges)) == len(merges) <= 200 and all(b" " not in m[:-1] and len(m) > 1 for m in merges)
+    pieces = lm.Pieces({w: i for i, w in enumerate([bytes([i]) for i in range(lm.END)] + merges)})
+    counts = pieces.choose(Counter(i for w, n in words.items() for i in pieces.cut(w + b" ") for _ in range(n)), 94)
+    assert counts.sum() - 94 < 0.5 * sum(n * (len(w) + 1) for w, n in words.items() if len(w) < 99) + sum(n * (len(w) + 1) for w, n in words.items() if len(w) >= 99)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id % 7 = 2 as held_out").repartition(3)
+    cut = lm.cut_documents(docs, pieces, {w: n for w, n in words.items() if n > 1}, 94).collect()
+    want, lengths = lm.tokens_of(pieces, [(t or "").encode() for _, t in rows])
+    ends = np.cumsum(lengths)
+    want = {i: want[e - n : e].tolist() for (i, _), e, n in zip(rows, ends.tolist(), lengths.tolist(), strict=True)}
+    assert {r.doc_id: lm.read_tokens([r.tokens])[0].tolist() for r in cut if r.n is None} == want
+    assert Counter(r.word.encode() for r in cut if r.n is not None for _ in range(r.n)) == Counter({w: n for w, n in words.items() if n == 1})

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 32, 24, 48, 32, 24
+SIDE, WIDTH, HIDDEN, WINDOW, STRIDE = 64, 24, 48, 32, 24
 VOCABULARY = SIDE * SIDE
 #: Windows that are scored together, and that a step of training takes.
 BLOCK = 256

@@ -1,8 +1,10 @@
 """Language-model scores: a numpy self-attention model over subword ids, and a unigram base.
 
-Words of all training texts are counted by a distributed aggregation. Their subword ids are pieces
-of a public tokenizer (a word's last piece carries the word's end), the commonest ones; other pieces
-fall into bytes, so that any text has a probability. The model is trained on every window of all
+Words of all training texts are counted by a distributed aggregation. Their subword ids are bytes
+and pieces merged from them (a word's last piece carries the word's end), learnt from the frequent
+words' counts, so that any text has a probability; without training words they are the commonest
+pieces of a public tokenizer. Every text is cut into pieces once, and training and scoring read
+what was written. The model is trained on every window of all
 training texts, whatever their length, once: in rounds that take growing shares of the rows, every
 task trains on its own windows from the same start, and the tasks' weights are averaged by windows.
 Every text is cut into overlapping windows and each of its tokens scored once; a text's score is
@@ -28,6 +30,8 @@ from weftline.llm.lm_model import VOCABULARY, Model, keep_memory
 TOP, LONGEST = 262_144, 64
 #: Where rounds of training end, in sixteenths of the rows; the rates of the rounds; slices that weights are averaged in.
 ROUNDS, RATES, SLICES = (1, 2, 4, 8, 16), (0.01, 0.006, 0.004, 0.002, 0.001), 16
+#: Bytes of written pieces (two each) that are trained on or scored together.
+TOGETHER = 1_000_000
 #: Remainder of crc32(doc_id) that is held out.
 FOLDS, HELD_OUT = 7, 2
 END = 256  # after the 256 bytes
@@ -53,6 +57,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return out
 
 
+def learn_merges(words: dict[bytes, int], most: int) -> list[bytes]:
+    """Byte pairs merged by their counts in words and their ends, ``most`` pieces at most.
+
+    Pairs that cannot overlap in a word and stand at least half as often as the commonest are merged in one pass.
+    """
+    pieces, side = [bytes([i]) for i in range(END)], END + most
+    known = {w: i for i, w in enumerate(pieces)}
+    units = np.frombuffer(b"".join(w + b" " for w in words), dtype=np.uint8).astype(np.int64)
+    weight = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words)))
+    last = units == ord(" ")
+    while len(pieces) < side:
+        here = np.flatnonzero(~last[:-1])
+        pair = units[here] * side + units[here + 1]
+        order = np.argsort(pair)
+        kinds = pair[order]
+        first = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]][: len(kinds)])
+        if not len(first):
+            break
+        seen, kinds = np.add.reduceat(weight[here[order]], first), kinds[first]
+        taken: dict[int, int] = {}
+        lefts, rights, most_seen = set(), set(), seen.max()
+        least = max(2, most_seen / 2)
+        enough = np.flatnonzero(seen >= least)
+        for k in kinds[enough[np.lexsort((kinds[enough], -seen[enough]))]].tolist():
+            a, b = divmod(k, side)
+            if a in rights or b in lefts or (taken and a == b):
+                continue
+            whole = pieces[a] + pieces[b]
+            if whole not in known:
+                if len(pieces) == side:
+                    break
+                known[whole] = len(pieces)
+                pieces.append(whole)
+            taken[k] = known[whole]
+            lefts.add(a)
+            rights.add(b)
+            if a == b:
+                break
+        if not taken:
+            break
+        codes = np.sort(np.fromiter(taken, dtype=np.int64, count=len(taken)))
+        near = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
+        hit = np.flatnonzero(codes[near] == pair)
+        at, new = here[hit], np.array([taken[k] for k in codes.tolist()])[near[hit]]
+        run = np.flatnonzero(np.r_[True, np.diff(at) > 1])  # of one unit's repetitions every second pair is merged
+        every = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
+        at, new = at[every], new[every]
+        units[at], last[at] = new, last[at + 1]
+        left = np.ones(len(units), dtype=bool)
+        left[at + 1] = False
+        units, weight, last = units[left], weight[left], last[left]
+    return pieces[END:]
+
+
 class Pieces:
     """Reduced subword ids of words: bytes, the end, then the commonest pieces."""
 
@@ -108,20 +166,58 @@ def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
     return out
 
 
+def cut_documents(rows: DataFrame, pieces: Pieces, words: dict[bytes, int], ends: int) -> DataFrame:
+    """For each (doc_id, text, held_out) its pieces as 16-bit numbers, its end last, and the base's sums; besides, a row (row, word, n) of each word that ``words`` lacks."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["doc_id"]
+    sent = spark.sparkContext.broadcast((words, ends, ranks_of(pieces), pieces.number))
+    state: dict = {}
+
+    def run(batches):
+        if not state:
+            counts, ends, *known = sent.value
+            state.update(counts=counts, ends=ends, pieces=Pieces(*known))
+            keep_memory()
+        at = _row_ids()
+        for batch in batches:
+            ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
+            for a, b in chunks(texts):
+                out, (tokens, lengths), rare = _cut_chunk(state, texts[a:b])
+                n, m = b - a, len(rare[0])
+                row = np.arange(at, at + n)
+                at += n
+                nulls = {t: pa.nulls(m, t) for t in (ids.type, pa.bool_(), pa.int64(), pa.float64(), pa.binary())}
+                stop = np.cumsum(lengths)
+                joined = tokens.astype(np.uint16)
+                cut = pa.array([joined[i - k : i].tobytes() for i, k in zip(stop.tolist(), lengths.tolist(), strict=True)], pa.binary())
+                cols = [
+                    pa.concat_arrays([pa.array(row), pa.array(row[rare[0]])]), pa.concat_arrays([ids.slice(a, n), nulls[ids.type]]), pa.concat_arrays([held.slice(a, n), nulls[pa.bool_()]]),
+                    *(pa.concat_arrays([pa.array(x), nulls[pa.int64()]]) for x in out[:2]), pa.concat_arrays([pa.array(out[2]), nulls[pa.float64()]]), pa.concat_arrays([cut, nulls[pa.binary()]]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "tokens", "word", "n"])
+
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, tokens binary, word string, n long")
+
+
+def read_tokens(cut: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of texts that were written, laid end to end, and how many each text has."""
+    return np.frombuffer(b"".join(cut), dtype=np.uint16).astype(np.int64), np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)) // 2
+
+
 def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) -> int:
-    """Trains ``model`` on every window of ``train``; how many there were.
+    """Trains ``model`` on every window of ``train`` (written pieces, or else texts); how many there were.
 
     Each task starts from the model as it is and takes its own windows; the weights are averaged by
     windows, slice by slice, so that no task and not the driver meets those of all tasks.
     """
-    sent = train.sparkSession.sparkContext.broadcast((model, ranks_of(pieces), pieces.number))
+    sent, cut = train.sparkSession.sparkContext.broadcast((model, ranks_of(pieces), pieces.number)), "tokens" in train.columns
 
     def run(batches):
         keep_memory()
         (model, *known), part = sent.value, _row_ids() >> 33
-        own, mine = Pieces(*known), model.copy()
+        own, mine = None if cut else Pieces(*known), model.copy()
         texts = (t for batch in batches for t in [text_bytes(batch.column(0))])
-        n = mine.learn((tokens_of(own, t[a:b]) for t in texts for a, b in chunks(t)), rate, seed=part)
+        n = mine.learn((read_tokens(t[a:b]) if cut else tokens_of(own, t[a:b]) for t in texts for a, b in (chunks(t, TOGETHER) if cut else chunks(t))), rate, seed=part)
         if n:
             values = np.array_split(mine.trained().astype(np.float64) * n, SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int64()), pa.array([n] * SLICES, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["slice", "part", "n", "sums"])
@@ -133,7 +229,7 @@ def train_round(train: DataFrame, pieces: Pieces, model: Model, rate: float) ->
             total += np.frombuffer(v)
         return pa.table({"slice": table["slice"][:1], "n": pa.array([sum(r[1] for r in rows)], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    rows = train.select("text").mapInArrow(run, "slice int, part long, n long, sums binary")
+    rows = train.select("tokens" if cut else "text").mapInArrow(run, "slice int, part long, n long, sums binary")
     got = sorted(map(tuple, rows.groupBy("slice").applyInArrow(merge, "slice int, n long, sums binary").collect()))
     sent.destroy()
     if not got:
@@ -174,37 +270,28 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     ends = train.count()
     total, kinds = counts.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
-    pieces = Pieces(read_ranks(vocabulary_path))
-    model = train_model(train, pieces, pieces.choose(count_pieces(counts.df, pieces), ends))
-    sent = spark.sparkContext.broadcast(({"model": model, "counts": frequent_words(counts.df, top, LONGEST), "ends": ends}, ranks_of(pieces), pieces.number))
-    state: dict = {}
+    words = frequent_words(counts.df, top, LONGEST)
+    common = words if top == TOP else frequent_words(counts.df, TOP, LONGEST)  # pieces do not depend on what the base broadcasts
+    merges = learn_merges(common, VOCABULARY - END - 1)
+    pieces = Pieces({w: i for i, w in enumerate([bytes([i]) for i in range(END)] + merges)} if merges else read_ranks(vocabulary_path))
+    start = pieces.choose(count_pieces(counts.df, pieces), ends)
+    cut = Stage(cut_documents(rows, pieces, words, ends), "cut")
+    texts = cut.df.where("n is null")
+    model = train_model(texts.where("not held_out").select("doc_id", "tokens"), pieces, start)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        if not state:
-            learnt, *known = sent.value
-            state.update(learnt, pieces=Pieces(*known))
-            keep_memory()
-        at = _row_ids()
+        keep_memory()
         for batch in batches:
-            ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
-            for a, b in chunks(texts):
-                out, rare = _score_chunk(state, texts[a:b])
-                n, m = b - a, len(rare[0])
-                row = np.arange(at, at + n)
-                at += n
-                nulls = {t: pa.nulls(m, t) for t in (ids.type, pa.bool_(), pa.int64(), pa.float64())}
-                cols = [
-                    pa.concat_arrays([pa.array(row), pa.array(row[rare[0]])]), pa.concat_arrays([ids.slice(a, n), nulls[ids.type]]), pa.concat_arrays([held.slice(a, n), nulls[pa.bool_()]]),
-                    *(pa.concat_arrays([pa.array(x), nulls[pa.int64()]]) for x in out[:2]), *(pa.concat_arrays([pa.array(x), nulls[pa.float64()]]) for x in out[2:]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "n"])
+            tokens, n = text_bytes(batch.column(batch.num_columns - 1)), batch.num_columns - 1
+            score = [_score_chunk(sent.value, tokens[a:b]) for a, b in chunks(tokens, TOGETHER)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + [pa.array(np.concatenate([np.zeros(0), *score]))], names=[*batch.schema.names[:n], "score"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    scored = Stage(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, n long"), "scores")
-    met = scored.df.where("n is not null").select("row", "word", "n").join(counts.df, "word")  # a word without a count adds log10(1)
+    kind, base = dict(rows.dtypes)["doc_id"], ("row", "doc_id", "held_out", "n_tokens", "known", "logs")
+    scored = Stage(texts.select(*base, "tokens").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double"), "scores")
+    met = cut.df.where("n is not null").select("row", "word", "n").join(counts.df, "word")  # a word without a count adds log10(1)
     met = met.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    out = scored.df.where("n is null").join(met, "row", "left")
+    out = scored.df.join(met, "row", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
@@ -247,8 +334,8 @@ def tokens_of(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return _pieces_of(pieces, *_numbered(texts))
 
 
-def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """n_tokens, known and log10(count + 1) sums (frequent words and ends) and scores; and (text, word, n) of the other words."""
+def _cut_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """n_tokens, known and log10(count + 1) sums (frequent words and ends); the pieces and their numbers; and (text, word, n) of the other words."""
     words, ids, size = _numbered(texts)
     count_of = state["counts"].get
     c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
@@ -257,8 +344,12 @@ def _score_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tup
     rare = np.flatnonzero(~there[ids])
     known = size - np.bincount(text[rare], minlength=len(size)) + (state["ends"] > 0)
     logs = np.bincount(text, weights=log[ids], minlength=len(size)) + np.log10(state["ends"] + 1.0)
-    tokens, lengths = _pieces_of(state["pieces"], words, ids, size)
-    score = np.add.reduceat(state["model"].score(tokens, lengths), np.cumsum(lengths) - lengths) if len(size) else np.zeros(0)
     pair, n = np.unique(text[rare] * max(1, len(words)) + ids[rare], return_counts=True)
     rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
-    return [size + 1, known, logs, score], rare
+    return [size + 1, known, logs], _pieces_of(state["pieces"], words, ids, size), rare
+
+
+def _score_chunk(model: Model, cut: list[bytes]) -> np.ndarray:
+    """The log10 probability of each written text."""
+    tokens, lengths = read_tokens(cut)
+    return np.add.reduceat(model.score(tokens, lengths), np.cumsum(lengths) - lengths)
