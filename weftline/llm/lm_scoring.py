@@ -15,11 +15,12 @@ theirs in a join by word.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from weftline.llm.lm_model import VOCABULARY, Model, keep_memory
 TOP, LONGEST = 262_144, 64
 #: Where rounds of training end, in sixteenths of the rows; the rates of the rounds; slices that weights are averaged in.
 ROUNDS, RATES, SLICES = (1, 2, 4, 8, 16), (0.01, 0.006, 0.004, 0.002, 0.001), 16
+#: Bytes of texts that are cut together.
+CUT_TOGETHER = 8_000_000
 #: Bytes of written pieces (two each) that are trained on or scored together.
 TOGETHER = 1_000_000
 #: Remainder of crc32(doc_id) that is held out.
@@ -154,12 +157,13 @@ def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
     sent = counts.sparkSession.sparkContext.broadcast(ranks_of(pieces))
 
     def run(batches):
-        cut, seen = Pieces(sent.value).cut, Counter()
+        cut, seen = Pieces(sent.value).cut, np.zeros(max(sent.value.values()) + 1, dtype=np.int64)
         for batch in batches:
-            for w, c in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for i in cut(w + b" "):
-                    seen[i] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+            parts = [cut(w + b" ") for w in text_bytes(batch.column(0))]
+            width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            np.add.at(seen, np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(width.sum())), np.repeat(batch.column(1).to_numpy(), width))
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(seen[found])], names=["piece", "n"])
 
     out = {r[0]: r[1] for r in counts.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n")).collect()}
     sent.destroy()
@@ -169,30 +173,29 @@ def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
 def cut_documents(rows: DataFrame, pieces: Pieces, words: dict[bytes, int], ends: int) -> DataFrame:
     """For each (doc_id, text, held_out) its pieces as 16-bit numbers, its end last, and the base's sums; besides, a row (row, word, n) of each word that ``words`` lacks."""
     spark, kind = rows.sparkSession, dict(rows.dtypes)["doc_id"]
-    sent = spark.sparkContext.broadcast((words, ends, ranks_of(pieces), pieces.number))
+    sent = spark.sparkContext.broadcast((list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words)), _laid(pieces, words), ends, ranks_of(pieces), pieces.number))
     state: dict = {}
 
     def run(batches):
         if not state:
-            counts, ends, *known = sent.value
-            state.update(counts=counts, ends=ends, pieces=Pieces(*known))
+            names, counts, laid, ends, *known = sent.value
+            state.update(words=_strings(names), logs=np.log10(counts + 1.0), laid=laid, ends=ends, pieces=Pieces(*known))
             keep_memory()
         at = _row_ids()
         for batch in batches:
-            ids, texts, held = batch.column(0), text_bytes(batch.column(1)), batch.column(2)
-            for a, b in chunks(texts):
-                out, (tokens, lengths), rare = _cut_chunk(state, texts[a:b])
+            ids, texts, held = batch.column(0), pc.fill_null(batch.column(1), ""), batch.column(2)
+            for a, b in chunks([range(k) for k in pc.binary_length(texts).to_pylist()], CUT_TOGETHER):
+                out, (tokens, lengths), rare = _cut_chunk(state, texts.slice(a, b - a))
                 n, m = b - a, len(rare[0])
                 row = np.arange(at, at + n)
                 at += n
                 nulls = {t: pa.nulls(m, t) for t in (ids.type, pa.bool_(), pa.int64(), pa.float64(), pa.binary())}
-                stop = np.cumsum(lengths)
-                joined = tokens.astype(np.uint16)
-                cut = pa.array([joined[i - k : i].tobytes() for i, k in zip(stop.tolist(), lengths.tolist(), strict=True)], pa.binary())
+                stop = np.r_[0, 2 * np.cumsum(lengths)].astype(np.int32)
+                cut = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(stop), pa.py_buffer(tokens)])
                 cols = [
                     pa.concat_arrays([pa.array(row), pa.array(row[rare[0]])]), pa.concat_arrays([ids.slice(a, n), nulls[ids.type]]), pa.concat_arrays([held.slice(a, n), nulls[pa.bool_()]]),
                     *(pa.concat_arrays([pa.array(x), nulls[pa.int64()]]) for x in out[:2]), pa.concat_arrays([pa.array(out[2]), nulls[pa.float64()]]), pa.concat_arrays([cut, nulls[pa.binary()]]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare[1], pa.binary())]).cast(pa.string()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
+                    pa.concat_arrays([pa.nulls(n, pa.string()), rare[1]]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[2])]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "tokens", "word", "n"])
 
@@ -300,53 +303,59 @@ def ranks_of(pieces: Pieces) -> dict[bytes, int]:
     return {v: k for k, v in pieces.bytes.items()}
 
 
-class _Numbers(dict):
-    """Numbers words as they are met."""
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
+def _laid(pieces: Pieces, words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of words laid end to end, and how many each word has."""
+    parts = [pieces.word(w) for w in words]
+    width = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts))
+    return np.fromiter(chain.from_iterable(parts), dtype=np.uint16, count=int(width.sum())), width
 
-def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of texts, each once, which of them stand where, and how many each text has."""
-    rows = [t.lower().split() for t in texts]
-    size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    number = _Numbers()
-    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(size.sum()))
-    return list(number), ids, size
 
+def _numbered(texts: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts that ``known`` lacks, each once, and where they stand; which words stand where (the others follow the known), and how many each text has."""
+    rows = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, stop = rows.flatten(), rows.offsets.to_numpy()
+    there = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty words
+    size = np.diff(np.r_[0, np.cumsum(there)][stop])
+    words = words.filter(pa.array(there))
+    ids = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().copy()
+    rare = np.flatnonzero(ids < 0)
+    other = words.take(pa.array(rare)).dictionary_encode()
+    ids[rare] = other.indices.to_numpy() + len(known)
+    return other.dictionary, rare, ids, size
 
-def _pieces_of(pieces: Pieces, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _pieces_of(laid: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of the texts laid end to end, each with its end, and how many each text has."""
-    parts = [pieces.word(w) for w in words] + [[END]]
-    width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(width.sum()))
-    first = np.cumsum(width) - width
-    stream = np.insert(ids, np.cumsum(size), len(words))  # an end after each text
+    flat, width = (np.concatenate(x) for x in zip(*laid, (np.array([END], dtype=np.uint16), np.ones(1, dtype=np.int32)), strict=True))
+    first = np.cumsum(width, dtype=np.int32) - width
+    stream = np.insert(ids, np.cumsum(size), len(width) - 1)  # an end after each text
     k = width[stream]
-    tokens = flat[np.repeat(first[stream] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-    return tokens, np.add.reduceat(k, np.cumsum(size + 1) - size - 1) if len(size) else size
+    at = np.repeat(first[stream] - (np.cumsum(k, dtype=np.int32) - k), k)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], np.add.reduceat(k, np.cumsum(size + 1) - size - 1).astype(np.int64) if len(size) else size
 
 
 def tokens_of(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of texts laid end to end, each with its end, and how many each text has."""
-    return _pieces_of(pieces, *_numbered(texts))
+    other, _, ids, size = _numbered(_strings(texts), _strings([]))
+    tokens, lengths = _pieces_of([_laid(pieces, other.cast(pa.binary()).to_pylist())], ids, size)
+    return tokens.astype(np.int64), lengths
 
 
-def _cut_chunk(state: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
+def _cut_chunk(state: dict, texts: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, pa.Array, np.ndarray]]:
     """n_tokens, known and log10(count + 1) sums (frequent words and ends); the pieces and their numbers; and (text, word, n) of the other words."""
-    words, ids, size = _numbered(texts)
-    count_of = state["counts"].get
-    c = np.fromiter((count_of(w, -1) for w in words), dtype=np.int64, count=len(words))
-    text = np.repeat(np.arange(len(size)), size)
-    there, log = c >= 0, np.log10(np.maximum(c, 0) + 1.0)  # a word without a count adds 0
-    rare = np.flatnonzero(~there[ids])
+    other, rare, ids, size = _numbered(texts, state["words"])
+    text, top, kinds = np.repeat(np.arange(len(size)), size), len(state["words"]), max(1, len(other))
     known = size - np.bincount(text[rare], minlength=len(size)) + (state["ends"] > 0)
+    log = np.concatenate([state["logs"], np.zeros(len(other))])  # a word without a count adds 0
     logs = np.bincount(text, weights=log[ids], minlength=len(size)) + np.log10(state["ends"] + 1.0)
-    pair, n = np.unique(text[rare] * max(1, len(words)) + ids[rare], return_counts=True)
-    rare = (pair // max(1, len(words)), [words[i] for i in (pair % max(1, len(words))).tolist()], n.astype(np.int64))
-    return [size + 1, known, logs], _pieces_of(state["pieces"], words, ids, size), rare
+    pair, n = np.unique(text[rare] * kinds + (ids[rare] - top), return_counts=True)
+    laid = [state["laid"], _laid(state["pieces"], other.cast(pa.binary()).to_pylist())]
+    return [size + 1, known, logs], _pieces_of(laid, ids, size), (pair // kinds, other.take(pa.array(pair % kinds)), n.astype(np.int64))
 
 
 def _score_chunk(model: Model, cut: list[bytes]) -> np.ndarray:
