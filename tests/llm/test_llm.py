@@ -674,3 +674,38 @@ def test_lm_merges_and_written_pieces(spark):
     want = {i: want[e - n : e].tolist() for (i, _), e, n in zip(rows, ends.tolist(), lengths.tolist(), strict=True)}
     assert {r.doc_id: lm.read_tokens([r.tokens])[0].tolist() for r in cut if r.n is None} == want
     assert Counter(r.word.encode() for r in cut if r.n is not None for _ in range(r.n)) == Counter({w: n for w, n in words.items() if n == 1})
+
+
+def test_lm_graphs():
+    """Graphs give the losses, gradients and scores of numpy, in parts of windows too, and training with them keeps to numpy's."""
+    from weftline.llm import lm_graph
+
+    assert lm_graph.usable()
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 700, 24, 25, 3_000, 2_500])
+    tokens = rng.integers(0, lm_model.VOCABULARY, lengths.sum()) // rng.integers(1, 4_000, lengths.sum())
+    inputs, target = lm_model.windows(tokens, lengths)
+    assert len(inputs) > 2 * lm_model.PART
+    graph, plain = (lm_model.Model(np.bincount(tokens, minlength=lm_model.VOCABULARY)) for _ in range(2))
+    plain._graph = lambda: None
+    for rounds in range(2):
+        (a, g), (b, h) = (m.loss(tokens, inputs, target) for m in (graph, plain))
+        assert abs(a - b) < 1e-4 * abs(b) and g.keys() == h.keys() == plain.p.keys()
+        assert all(g[k].shape == plain.p[k].shape and np.abs(g[k] - h[k]).max() < 1e-3 * np.abs(h[k]).max() for k in h)
+        assert np.abs(graph.score(tokens, lengths) - plain.score(tokens, lengths)).max() < 1e-2
+        for m in (graph, plain):
+            m.learn([(tokens, lengths)], 0.001)
+
+
+def test_lm_cut_words():
+    """Words are cut at six bytes only, A-Z alone are lower-cased, and texts may be null, empty or all white space."""
+    import pyarrow as pa
+
+    from weftline.llm import lm_scoring as lm
+
+    texts = ["  Ab\x0b\x0cÉx \x1cQ\u00a0Z\u0085 ", "", None, " \t\r\n", "ab AB aB", "x"]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    words, size = lm._words(pa.array(texts).slice(0), True)
+    assert words.to_pylist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+    words, size = lm._words(pa.array(texts).slice(3), False)
+    assert words.to_pylist() == ["ab", "AB", "aB", "x"] and size.tolist() == [0, 3, 1]

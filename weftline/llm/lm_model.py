@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: one attention layer, one feed-forward layer, two-level output.
+"""A small causal self-attention model: one attention layer, one feed-forward layer, two-level output.
 
 With one head as wide as the model only the products of query and key weights (``M``) and of value
 and output weights (``V``) matter, so these are what is stored. The token distribution is
@@ -6,7 +6,8 @@ p(class) * p(token | class) with ``SIDE`` classes of ``SIDE`` tokens by frequenc
 costs 2 * SIDE exponentials and all next tokens' probabilities sum to one. Windows hold ``WINDOW``
 inputs, of which the last ``STRIDE`` predict: windows overlap, and each token of a text is predicted
 once, with WINDOW - STRIDE to WINDOW - 1 tokens before it. Places before a text's start hold the
-start mark. Blocks of windows are small enough for a core's cache.
+start mark. Blocks of windows are small enough for a core's cache. Passes are made by onnxruntime (``lm_graph``), or by numpy
+where that is not there or parameters are in double precision.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ VOCABULARY = SIDE * SIDE
 #: Windows that are scored together, and that a step of training takes.
 BLOCK = 256
 STEP = 512
+#: Windows of a step that pass together where graphs are used.
+PART = 128
 _LOG10 = float(np.log(10.0))
 _BACK = WINDOW - STRIDE
 _ONES = np.ones(max(WINDOW, SIDE), dtype=np.float32)
@@ -130,8 +133,67 @@ class Model:
         where[order] = every
         return out, back.take(where, axis=0)
 
+    def _graph(self):
+        """``lm_graph``, if it can run this model's passes: they are in float32, and onnxruntime must be there."""
+        from weftline.llm import lm_graph
+
+        return lm_graph if self.p["E"].dtype == np.float32 and lm_graph.usable() else None
+
+    def _classes(self, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]], np.ndarray]:
+        """The order of hidden rows by class; the rows, with a one for the biases, and places in it; where each class lies, and its tokens' logits."""
+        order = np.argsort((place // SIDE).astype(np.int16), kind="stable")
+        one, place = np.ones((len(h), WIDTH + 1), dtype=h.dtype), place.take(order)
+        one[:, :WIDTH] = h.take(order, axis=0)
+        ends = np.searchsorted(place // SIDE, np.arange(SIDE + 1)).tolist()
+        inner, parts = np.empty((len(h), SIDE), dtype=h.dtype), [(k, slice(ends[k], ends[k + 1])) for k in range(SIDE) if ends[k] < ends[k + 1]]
+        weights = np.concatenate([self.p["T"], self.p["t"][:, None]], axis=1)
+        for k, at in parts:
+            np.matmul(one[at], weights[k], out=inner[at])
+        return order, one, place, parts, inner
+
+    def _first(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+        """What the graphs of forward passes take."""
+        return self.p | {"e": self.p["E"].take(inputs, axis=0)}
+
+    def _last(self, **more: np.ndarray) -> dict[str, np.ndarray]:
+        """What the graphs of the output take."""
+        return {"C1": np.concatenate([self.p["C"], self.p["c"][None]])} | more
+
+    def _graph_loss(self, graph, tokens: np.ndarray, inputs: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """``loss`` by ``lm_graph``: windows pass in parts that a core's cache holds, the output's classes all at once."""
+        p, target, size = self.p, target.ravel(), PART * STRIDE
+        keep = [graph.run("forward", self._first(inputs[a : a + PART])) for a in range(0, len(inputs), PART)]
+        hidden, there = np.concatenate([k["h"] for k in keep]), np.flatnonzero(target >= 0)
+        order, h, place, parts, inner = self._classes(hidden.take(there, axis=0), self.place[tokens[target[there]]])
+        got = graph.run("output", self._last(g=h, inner=inner))
+        every, group, rank, n, out = np.arange(len(h)), place // SIDE, place % SIDE, max(1, len(h)), 0.0
+        for z, at in ((got["outer_p"], group), (got["inner_p"], rank)):
+            flat, at = z.reshape(-1), every * SIDE + at
+            mine = flat.take(at)
+            out += np.log(np.maximum(mine, 1e-37)).sum(dtype=np.float64)
+            flat[at] = mine - 1
+        outer, inner = graph.run("outer", {"d": got["outer_p"], "g": h, "C": p["C"]}), got["inner_p"]
+        back, last = outer["back"], np.zeros((SIDE, WIDTH + 1, SIDE), dtype=np.float32)
+        for k, at in parts:
+            z = inner[at]
+            np.matmul(h[at].T, z, out=last[k])
+            back[at] += z @ p["T"][k].T
+        dh = np.zeros_like(hidden)
+        dh[there[order]] = back
+        more = [graph.run("backward", p | k | {"dh": dh[i * size : (i + 1) * size]}) for i, k in enumerate(keep)]
+        g = {k: sum(m["g" + k] for m in more) for k in "MVAaBP"}
+        g["B"], g["C"], g["c"], g["T"], g["t"] = np.ascontiguousarray(g["B"].T), outer["gC"][:WIDTH], outer["gC"][WIDTH], last[:, :WIDTH], last[:, WIDTH]
+        g["E"] = np.zeros_like(p["E"])
+        for i, m in enumerate(more):
+            g["E"] = graph.run("input", {"E0": g["E"], "place": inputs[i * PART : (i + 1) * PART].reshape(-1, 1), "rows_dx": m["dx"].reshape(-1, WIDTH)})["gE"]
+        for v in g.values():
+            v /= n
+        return -out / n, g
+
     def loss(self, tokens: np.ndarray, inputs: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log probability of the predicted places, and its gradient by every parameter."""
+        if graph := self._graph():
+            return self._graph_loss(graph, tokens, inputs, target)
         p, keep, g = self.p, {}, {}
         h, target = self._forward(inputs, keep), target.ravel()
         there = np.flatnonzero(target >= 0)
@@ -204,13 +266,19 @@ class Model:
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """The log10 probability of each token of texts laid end to end, given those before it in its text."""
-        out = np.zeros(len(tokens))
+        out, graph = np.zeros(len(tokens)), self._graph()
         inputs, target = windows(tokens, lengths)
         for a in range(0, len(inputs), block):
             t = target[a : a + block].ravel()
-            h, there = self._forward(inputs[a : a + block]), np.flatnonzero(t >= 0)
+            there = np.flatnonzero(t >= 0)
             t = t[there]
-            out[t] = self._out(h.take(there, axis=0), self.place[tokens[t]])[0]
+            if graph:
+                h = graph.run("hidden", self._first(inputs[a : a + block]))["h"].take(there, axis=0)
+                order, h, place, _, inner = self._classes(h, self.place[tokens[t]])
+                got = graph.run("scores", self._last(g=h, inner=inner, group=(place // SIDE)[:, None], rank=(place % SIDE)[:, None]))
+                out[t[order]] = (got["outer_l"] + got["inner_l"]).ravel()
+            else:
+                out[t] = self._out(self._forward(inputs[a : a + block]).take(there, axis=0), self.place[tokens[t]])[0]
         return out / _LOG10
 
 

@@ -1,4 +1,4 @@
-"""Language-model scores: a numpy self-attention model over subword ids, and a unigram base.
+"""Language-model scores: a self-attention model over subword ids, and a unigram base.
 
 Words of all training texts are counted by a distributed aggregation. Their subword ids are bytes
 and pieces merged from them (a word's last piece carries the word's end), learnt from the frequent
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import HELD_WORDS, Stage, chunks, count_words, crc_mod, frequent_words, small_batches, text_bytes
+from weftline.llm.common import HELD_WORDS, Stage, chunks, crc_mod, frequent_words, small_batches, text_bytes
 from weftline.llm.lm_model import VOCABULARY, Model, keep_memory
 
 #: Words that are broadcast, at most, and their length in bytes.
@@ -152,6 +152,31 @@ class Pieces:
         return out
 
 
+def count_words(texts: DataFrame, lower: bool) -> DataFrame:
+    """``common.count_words``, counted by Arrow."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def added():
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        for batch in batches:
+            v = pc.value_counts(_words(batch.column(0), lower)[0])
+            held.append(pa.table({"word": v.field("values"), "c": v.field("counts")}))
+            rows += len(v)
+            if rows > 2 * HELD_WORDS:
+                held = [added()]
+                rows = len(held[0])
+                if rows > HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from added().to_batches()
+
+    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
 def count_pieces(counts: DataFrame, pieces: Pieces) -> dict[int, int]:
     """How often each piece of the tokenizer stands in all counted words; at most a row for each piece comes back."""
     sent = counts.sparkSession.sparkContext.broadcast(ranks_of(pieces))
@@ -314,13 +339,18 @@ def _laid(pieces: Pieces, words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarra
     return np.fromiter(chain.from_iterable(parts), dtype=np.uint16, count=int(width.sum())), width
 
 
-def _numbered(texts: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of texts that ``known`` lacks, each once, and where they stand; which words stand where (the others follow the known), and how many each text has."""
-    rows = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+def _words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts end to end, A-Z lower-cased if so asked, and how many each text has."""
+    texts = pc.fill_null(texts, "")
+    rows = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, stop = rows.flatten(), rows.offsets.to_numpy()
     there = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty words
-    size = np.diff(np.r_[0, np.cumsum(there)][stop])
-    words = words.filter(pa.array(there))
+    return words.filter(pa.array(there)), np.diff(np.r_[0, np.cumsum(there)][stop])
+
+
+def _numbered(texts: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts that ``known`` lacks, each once, and where they stand; which words stand where (the others follow the known), and how many each text has."""
+    words, size = _words(texts, True)
     ids = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().copy()
     rare = np.flatnonzero(ids < 0)
     other = words.take(pa.array(rare)).dictionary_encode()
